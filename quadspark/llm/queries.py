@@ -4,16 +4,57 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import Workspace
+from .linededup import drop_boilerplate_lines
 from .sharding import shard_documents, topology
+from .warc import read_archive, write_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_boilerplate_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark, "archive").path
+    write_archive(table(spark, sf_dir, "pages"), path)
+    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), topology(16))
 
 
-QUERIES = {"op6_shard_documents": op6_shard_documents}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op4_warc_archive": op4_warc_archive, "op6_shard_documents": op6_shard_documents}
+ORACLE: dict[str, str] = {
+    "op2_line_dedup": """
+WITH lines AS (
+  SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents),
+hosts AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+often AS (
+  SELECT l.source, l.k FROM (SELECT source, trim(line, ' ') AS k, count(DISTINCT doc_id) AS n FROM lines WHERE trim(line, ' ') <> '' GROUP BY ALL) l
+  JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE n >= 5 AND n > 0.1 * pages),
+kept AS (
+  SELECT l.*, o.k IS NOT NULL AS gone FROM lines l
+  LEFT JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND trim(l.line, ' ') = o.k),
+docs AS (
+  SELECT doc_id, coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY pos), '') AS text,
+         count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped
+  FROM kept GROUP BY doc_id)
+SELECT d.doc_id, k.text, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_dropped, 0) AS BIGINT) AS n_dropped
+FROM documents d LEFT JOIN docs k USING (doc_id)""",
+    "op4_warc_archive": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (
+  SELECT page_id, h, strlen(h) AS payload_bytes, max(page_id) OVER (PARTITION BY h) AS top,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST(((CAST('0x' || substr(sha1(h), CAST(5 * (i // 4) + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1 AS INT), 1)), '') AS payload_digest
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d""",
+}
