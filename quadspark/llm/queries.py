@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import Workspace
 from .linededup import drop_boilerplate_lines
+from .pii import extract_pii
 from .sharding import shard_documents, topology
 from .warc import read_archive, write_archive
 
@@ -24,11 +25,15 @@ def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_extract_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pii(table(spark, sf_dir, "documents"))
+
+
 def op6_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), topology(16))
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op4_warc_archive": op4_warc_archive, "op6_shard_documents": op6_shard_documents}
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op4_warc_archive": op4_warc_archive, "op5_extract_pii": op5_extract_pii, "op6_shard_documents": op6_shard_documents}
 ORACLE: dict[str, str] = {
     "op2_line_dedup": """
 WITH lines AS (
