@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import Workspace
 from .linededup import drop_boilerplate_lines
+from .packing import pack
 from .pii import extract_pii
 from .sharding import shard_documents, topology
 from .warc import read_archive, write_archive
@@ -33,7 +34,13 @@ def op6_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), topology(16))
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op4_warc_archive": op4_warc_archive, "op5_extract_pii": op5_extract_pii, "op6_shard_documents": op6_shard_documents}
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op4_warc_archive": op4_warc_archive, "op5_extract_pii": op5_extract_pii, "op6_shard_documents": op6_shard_documents, "op7_pack": op7_pack}
 ORACLE: dict[str, str] = {
     "op2_line_dedup": """
 WITH lines AS (
