@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textops import mix64, prefix_hash, runs, seeded, string_buffers, window_hash, words
 
@@ -126,5 +127,5 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, keep:
             more = [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], *more], [*keep, "score", "predicted"])
 
-    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*keep).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
