@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,3 +102,37 @@ def components(ws: Workspace, edges: DataFrame, a: str = "a", b: str = "b") -> D
             break
         seen = tuple(now)
     return e.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "id")
+
+
+def groups_of(batches: Iterator, keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Groups of consecutive rows with equal integer keys, from Arrow batches of rows sorted by them.
+
+    A group may go on in the next batch; numeric columns come as numpy arrays, others as lists.  One group is held at a time.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def give(parts: list[pa.RecordBatch]) -> dict:
+        t = pa.Table.from_batches(parts)
+        return {k: t[k].to_numpy() if pa.types.is_integer(t.schema.field(k).type) or pa.types.is_floating(t.schema.field(k).type) else t[k].to_pylist() for k in t.column_names}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, dtype=bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        if held:
+            last = held[-1]
+            same = all(last.column(last.schema.get_field_index(k))[last.num_rows - 1].as_py() == c[0] for k, c in zip(keys, cols, strict=True))
+            if not same:
+                yield give(held)
+                held = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield give(held)
+                held = []
+    if held:
+        yield give(held)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 from .linededup import drop_boilerplate_lines
+from .neardup import near_duplicates
 from .packing import pack
 from .pii import extract_pii
 from .quality import score_documents, train
@@ -22,6 +23,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark, "archive").path
     write_archive(table(spark, sf_dir, "pages"), path)
@@ -49,7 +54,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op4_warc_archive": op4_warc_archive, "op5_extract_pii": op5_extract_pii, "op6_shard_documents": op6_shard_documents, "op7_pack": op7_pack, "op10_quality": op10_quality}
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op3_near_duplicates": op3_near_duplicates, "op4_warc_archive": op4_warc_archive, "op5_extract_pii": op5_extract_pii, "op6_shard_documents": op6_shard_documents, "op7_pack": op7_pack, "op10_quality": op10_quality}
 ORACLE: dict[str, str] = {
     "op2_line_dedup": """
 WITH lines AS (
@@ -68,6 +73,22 @@ docs AS (
   FROM kept GROUP BY doc_id)
 SELECT d.doc_id, k.text, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_dropped, 0) AS BIGINT) AS n_dropped
 FROM documents d LEFT JOIN docs k USING (doc_id)""",
+    "op3_near_duplicates": """
+WITH RECURSIVE
+low AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM low),
+cls AS (SELECT min(doc_id) AS cid, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+each AS (SELECT cid, len(s) AS n, unnest(s) AS x FROM cls),
+pairs AS (
+  SELECT a.cid AS a, b.cid AS b FROM each a JOIN each b ON a.x = b.x AND a.cid < b.cid
+  GROUP BY a.cid, b.cid, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach(a, b) AS (SELECT cid, cid FROM cls UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT t.doc_id, CAST(len(t.s) AS BIGINT) AS n_shingles, coalesce(m.c, t.doc_id) AS component_id, coalesce(m.c, t.doc_id) = t.doc_id AS kept
+FROM sets t LEFT JOIN cls k ON list_sort(t.s) = k.s LEFT JOIN comp m ON m.a = k.cid""",
     "op4_warc_archive": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (
