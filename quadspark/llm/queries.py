@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 from .decontaminate import find_leaks
+from .embeddings import near_duplicate_vectors
 from .linededup import drop_boilerplate_lines
 from .neardup import near_duplicates
 from .packing import pack
@@ -52,6 +53,10 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -59,7 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_find_leaks": op1_find_leaks, "op2_line_dedup": op2_line_dedup, "op3_near_duplicates": op3_near_duplicates, "op4_warc_archive": op4_warc_archive, "op5_extract_pii": op5_extract_pii, "op6_shard_documents": op6_shard_documents, "op7_pack": op7_pack, "op10_quality": op10_quality}
+QUERIES = {"op1_find_leaks": op1_find_leaks, "op2_line_dedup": op2_line_dedup, "op3_near_duplicates": op3_near_duplicates, "op4_warc_archive": op4_warc_archive, "op5_extract_pii": op5_extract_pii, "op6_shard_documents": op6_shard_documents, "op7_pack": op7_pack, "op8_near_duplicate_vectors": op8_near_duplicate_vectors, "op10_quality": op10_quality}
 ORACLE: dict[str, str] = {
     "op2_line_dedup": """
 WITH lines AS (
@@ -104,4 +109,15 @@ d AS (
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> top THEN top END AS refers_to
 FROM d""",
+    "op8_near_duplicate_vectors": """
+WITH RECURSIVE
+v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, comp.c AS component_id, comp.c = vec_id AS kept
+FROM embeddings JOIN comp ON comp.a = vec_id LEFT JOIN n ON n.a = vec_id""",
 }
