@@ -10,6 +10,7 @@ from .decontaminate import find_leaks
 from .embeddings import near_duplicate_vectors
 from .linededup import drop_boilerplate_lines
 from .neardup import near_duplicates
+from .ngram import score_documents as score_language
 from .packing import pack
 from .pii import extract_pii
 from .quality import score_documents, train
@@ -57,6 +58,10 @@ def op8_near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op9_score_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_language(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -64,7 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_find_leaks": op1_find_leaks, "op2_line_dedup": op2_line_dedup, "op3_near_duplicates": op3_near_duplicates, "op4_warc_archive": op4_warc_archive, "op5_extract_pii": op5_extract_pii, "op6_shard_documents": op6_shard_documents, "op7_pack": op7_pack, "op8_near_duplicate_vectors": op8_near_duplicate_vectors, "op10_quality": op10_quality}
+QUERIES = {"op1_find_leaks": op1_find_leaks, "op2_line_dedup": op2_line_dedup, "op3_near_duplicates": op3_near_duplicates, "op4_warc_archive": op4_warc_archive, "op5_extract_pii": op5_extract_pii, "op6_shard_documents": op6_shard_documents, "op7_pack": op7_pack, "op8_near_duplicate_vectors": op8_near_duplicate_vectors, "op9_score_language": op9_score_language, "op10_quality": op10_quality}
 ORACLE: dict[str, str] = {
     "op2_line_dedup": """
 WITH lines AS (
