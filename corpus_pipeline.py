@@ -1,15 +1,56 @@
-"""Corpus cleaning as a chain of the corpus operators."""
+"""Corpus cleaning as a chain of the corpus operators: classify, drop boilerplate lines, drop near-duplicates, drop
+contaminated documents, pack."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quadspark.llm.common import shared_dir
+from quadspark.llm import quality
+from quadspark.llm.common import Workspace, shared_dir
+from quadspark.llm.decontaminate import drop_leaks
+from quadspark.llm.linededup import drop_boilerplate_lines
+from quadspark.llm.neardup import near_duplicates
+from quadspark.llm.packing import pack
 
-STAGES: list = []
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts (score of 0.3 or more)."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score_documents(docs, model, keep=docs.columns).where("predicted = 1").select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their sites' boilerplate lines; n_chars follows the text.  A document of nothing but boilerplate
+    goes; one that was null or empty before stays as it is."""
+    out = drop_boilerplate_lines(docs)
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.where((F.col("n_dropped") == 0) | (F.trim("text") != "")).withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the least id."""
+    gone = Workspace(spark, "pipeline").table(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all documents' pieces in sequences of 1024 tokens."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality", classify), ("line_dedup", dedup_lines), ("near_dedup", dedup_documents), ("decontamination", decontaminate), ("packing", pack_sequences)]
+
+#: A trained classifier and a tokenizer are not SQL; the tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
