@@ -229,24 +229,30 @@ def _store_pairs(path: str, size: int, parts: int):
     """Stores a bucket of bigrams; gives, dealt by ranges of ids, how many of its bigrams with counts 1, 2 and more each left
     token has (kind 0) and how many each right token has (kind 1), and the bucket's counts of counts (kind 2)."""
 
+    def rows(kind: int, own: np.ndarray, n: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(own)] if len(own) else [0]
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        blobs = [encode(own[x:y].astype(np.uint64), n[x:y]) for x, y in spans]
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(spans), pa.int64()), pa.array([int(part[x]) for x, _ in spans], pa.int64()), pa.array(blobs, pa.binary())], ["kind", "part", "blob"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # right tokens of all the task's buckets together: their rows do not grow with the number of buckets
+        followed = Tally()
         for g in groups_of(batches, ["bucket"]):
             b = int(g["bucket"][0])
             k, c = _merged(g)
             store(f"{path}/pair-{b}", k)
             store(f"{path}/times-{b}", np.minimum(c, 0xFFFFFFFF).astype("<u4"))
-            left, right = (k >> np.uint64(32)).astype(np.int64), (k & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            kinds, at, blobs = [2], [0], [np.array([(c == i).sum() for i in (1, 2, 3, 4)], dtype=np.int64).tobytes()]
-            cls = np.minimum(c, 3) - 1
-            for kind, own, n in ((0, *merge(left * 3 + cls, np.ones(len(c), dtype=np.int64))), (1, *np.unique(right, return_counts=True))):
-                ids = own // 3 if kind == 0 else own
-                part = ids * parts // (size + 1)
-                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(own)] if len(own) else [0]
-                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                    kinds.append(kind)
-                    at.append(int(part[x]))
-                    blobs.append(encode(own[x:y].astype(np.uint64), n[x:y]))
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(at, pa.int64()), pa.array(blobs, pa.binary())], ["kind", "part", "blob"])
+            left, right = k >> np.uint64(32), k & np.uint64(0xFFFFFFFF)
+            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int64()), pa.array([0], pa.int64()), pa.array([np.array([(c == i).sum() for i in (1, 2, 3, 4)], dtype=np.int64).tobytes()], pa.binary())], ["kind", "part", "blob"])
+            own, n = merge(left.astype(np.int64) * 3 + np.minimum(c, 3) - 1, np.ones(len(c), dtype=np.int64))
+            yield rows(0, own, n, own // 3 * parts // (size + 1))
+            followed.add(*np.unique(right, return_counts=True))
+            if followed.full:
+                own, n = followed.clear()
+                yield rows(1, own, n, own.astype(np.int64) * parts // (size + 1))
+        own, n = followed.clear()
+        yield rows(1, own, n, own.astype(np.int64) * parts // (size + 1))
 
     return run
 
@@ -371,7 +377,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     spark = docs.sparkSession
     ws = Workspace(spark, "ngram")
     path = qualified(spark, ws.path)
-    buckets = 4 * parallelism(spark)
+    buckets, parts = 4 * parallelism(spark), parallelism(spark)
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def dealt(df: DataFrame, *keys: str) -> DataFrame:
@@ -384,14 +390,14 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         n[r.bucket + 1], mass[r.bucket + 1] = r.n, r.tokens
     v = Vocabulary(f"{path}/words", buckets, np.cumsum(n), np.cumsum(mass), sum(r.ends for r in held))
     pairs = dealt(texts.mapInArrow(_count_pairs(v, buckets), "bucket long, blob binary"), "bucket")
-    sides = ws.table(pairs.mapInArrow(_store_pairs(f"{path}/pairs", v.size, buckets), "kind long, part long, blob binary"), "sides")
+    sides = ws.table(pairs.mapInArrow(_store_pairs(f"{path}/pairs", v.size, parts), "kind long, part long, blob binary"), "sides")
     of = np.zeros(4, dtype=np.int64)
     for r in sides.where("kind = 2").select("blob").collect():  # a row for each bucket
         of += np.frombuffer(r.blob, dtype=np.int64)
     schema = "kind long, part long, n1 long, n2 long, n3 long, n4 long, n3p long, total long"
-    sums = dealt(sides.where("kind < 2"), "kind", "part").mapInArrow(_store_sides(f"{path}/pairs", v.size, buckets), schema).where("kind = 1")
+    sums = dealt(sides.where("kind < 2"), "kind", "part").mapInArrow(_store_sides(f"{path}/pairs", v.size, parts), schema).where("kind = 1")
     s = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "n3p", "total")]).first()
-    return Model(v, f"{path}/pairs", buckets, buckets, discounts(*of.tolist()), discounts(s.n1, s.n2, s.n3, s.n4), s.total, (s.n1, s.n2, s.n3p))
+    return Model(v, f"{path}/pairs", buckets, parts, discounts(*of.tolist()), discounts(s.n1, s.n2, s.n3, s.n4), s.total, (s.n1, s.n2, s.n3p))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
