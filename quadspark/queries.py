@@ -1,31 +1,824 @@
-"""Terrain queries over the driver's tables and the same in SQL."""
+"""Terrain queries over the driver's tables and the same in SQL.
+
+The tables hold no terrain, so points, rasters, triangles and meshes are derived from them by integer arithmetic that reads
+the same in both engines.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.pyramid import height_pyramid as _height_pyramid
+from .functions import geom, grid, srs
+from .operators import encode, mesh, pyramid, raster, texture, tiles
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+GEO, MERC = grid.geodetic(), grid.mercator()
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- derived inputs ---------------------------------------------------------------------------------------------------
+
+PTS = "(SELECT event_id, CAST(event_id*7919 % 36000 AS DOUBLE)/100-180 AS lon, CAST(event_id*104729 % 17000 AS DOUBLE)/100-85 AS lat, value AS h FROM events)"
+RAS = "(SELECT 0 AS raster_id, CAST(vec_id AS INT) AS \"row\", CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS col, CAST(unnest(embedding) AS DOUBLE) AS z FROM embeddings)"
+#: Corners of triangles with heights, one for each event.
+TRI = """(SELECT event_id AS fid, CAST(event_id % 13 AS DOUBLE) AS ax, CAST(event_id % 7 AS DOUBLE) AS ay, value AS az,
+  CAST(event_id % 13 + 1 + event_id % 5 AS DOUBLE) AS bx, CAST(event_id % 7 - event_id % 3 AS DOUBLE) AS "by", value + 1 AS bz,
+  CAST(event_id % 13 + event_id % 3 AS DOUBLE) AS cx, CAST(event_id % 7 + 1 + event_id % 4 AS DOUBLE) AS cy, value + 2 AS cz FROM events)"""
+#: Meshes of 50 x 64 vertices from strips of the raster.
+GRID_V = f"(SELECT CAST(\"row\" // 50 AS INT) AS mesh_id, CAST(\"row\" % 50 * 64 + col AS BIGINT) AS vid, CAST(col AS DOUBLE) AS x, CAST(-(\"row\" % 50) AS DOUBLE) AS y, z FROM {RAS})"
+GRID_F = f"""(SELECT mesh_id, CAST((r * 63 + c) * 2 + k AS BIGINT) AS fid, CAST(r * 64 + c + k AS BIGINT) AS a, CAST(r * 64 + c + 64 AS BIGINT) AS b, CAST(r * 64 + c + 1 + k * 64 AS BIGINT) AS c
+  FROM (SELECT CAST("row" // 50 AS INT) AS mesh_id, "row" % 50 AS r, col AS c FROM {RAS}) q, (SELECT unnest([0, 1]) AS k) k WHERE r < 49 AND c < 63)"""
+#: The same with faces missing, repeated ones, and flaps at edges that have two faces already.
+FACES = f"""(SELECT * FROM {GRID_F} WHERE fid % 37 <> 0
+  UNION ALL SELECT mesh_id, fid + 100000, b, c, a FROM {GRID_F} WHERE fid % 101 = 0
+  UNION ALL SELECT mesh_id, fid + 200000, a, b, 10000 + fid FROM {GRID_F} WHERE fid % 211 = 0)"""
+VERTS = f"(SELECT * FROM {GRID_V} UNION ALL SELECT mesh_id, 10000 + fid, CAST(fid % 63 AS DOUBLE), CAST(1 + fid % 5 AS DOUBLE), CAST(0 AS DOUBLE) FROM {GRID_F} WHERE fid % 211 = 0)"
+CORNERS = "SELECT mesh_id, fid, a AS v FROM f UNION ALL SELECT mesh_id, fid, b FROM f UNION ALL SELECT mesh_id, fid, c FROM f"
+EDGES = "SELECT mesh_id, fid, least(p, q) AS a, greatest(p, q) AS b FROM (SELECT mesh_id, fid, a AS p, b AS q FROM f UNION ALL SELECT mesh_id, fid, b, c FROM f UNION ALL SELECT mesh_id, fid, c, a FROM f)"
+TRIANGLES = """SELECT f.mesh_id, f.fid, f.a, f.b, f.c, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS "by", q.z AS bz, r.x AS cx, r.y AS cy, r.z AS cz
+  FROM f JOIN v p ON f.mesh_id = p.mesh_id AND f.a = p.vid JOIN v q ON f.mesh_id = q.mesh_id AND f.b = q.vid JOIN v r ON f.mesh_id = r.mesh_id AND f.c = r.vid"""
+WITH = f"WITH f AS {FACES}, v AS {VERTS} "
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lon, lat and height of synthetic points, one for each event."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = read(spark, sf_dir, "events")
     return e.select("event_id", ((F.col("event_id") * 7919 % 36000).cast("double") / 100 - 180).alias("lon"), ((F.col("event_id") * 104729 % 17000).cast("double") / 100 - 85).alias("lat"), F.col("value").alias("h"))
 
 
-def height_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir)
-    return _height_pyramid(p.select(F.floor((F.col("lon") + 180) / (360.0 / 512)).alias("x"), F.floor((F.col("lat") + 90) / (180.0 / 256)).alias("y"), "h"), 8)
+def ras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("row"), F.posexplode("embedding").alias("col", "z"))
+    return e.select(F.lit(0).alias("raster_id"), "row", "col", F.col("z").cast("double").alias("z"))
 
 
-PTS = "(SELECT event_id, CAST(event_id*7919 % 36000 AS DOUBLE)/100-180 AS lon, CAST(event_id*104729 % 17000 AS DOUBLE)/100-85 AS lat, value AS h FROM events)"
+def tri(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, v, d = F.col("event_id"), F.col("value"), lambda c: c.cast("double")
+    e = read(spark, sf_dir, "events")
+    return e.select(
+        i.alias("fid"), d(i % 13).alias("ax"), d(i % 7).alias("ay"), v.alias("az"), d(i % 13 + 1 + i % 5).alias("bx"), d(i % 7 - i % 3).alias("by"), (v + 1).alias("bz"),
+        d(i % 13 + i % 3).alias("cx"), d(i % 7 + 1 + i % 4).alias("cy"), (v + 2).alias("cz"),
+    )
+
+
+def grid_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = ras(spark, sf_dir)
+    return r.select(F.floor(F.col("row") / 50).cast("int").alias("mesh_id"), (F.col("row") % 50 * 64 + F.col("col")).cast("long").alias("vid"), F.col("col").cast("double").alias("x"), (-(F.col("row") % 50)).cast("double").alias("y"), "z")
 
-QUERIES = {"height_pyramid": height_pyramid}
-ORACLE = {
-    "height_pyramid": f"""
+
+def grid_f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = ras(spark, sf_dir).select(F.floor(F.col("row") / 50).cast("int").alias("mesh_id"), (F.col("row") % 50).alias("r"), F.col("col").alias("c")).where("r < 49 and c < 63")
+    r = r.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    at = F.col("r") * 64 + F.col("c")
+    return r.select("mesh_id", ((F.col("r") * 63 + F.col("c")) * 2 + F.col("k")).cast("long").alias("fid"), (at + F.col("k")).cast("long").alias("a"), (at + 64).cast("long").alias("b"), (at + 1 + F.col("k") * 64).cast("long").alias("c"))
+
+
+def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = grid_f(spark, sf_dir)
+    return g.where("fid % 37 <> 0").unionAll(g.where("fid % 101 = 0").selectExpr("mesh_id", "fid + 100000", "b", "c", "a")).unionAll(g.where("fid % 211 = 0").selectExpr("mesh_id", "fid + 200000", "a", "b", "10000 + fid"))
+
+
+def verts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = grid_f(spark, sf_dir).where("fid % 211 = 0").selectExpr("mesh_id", "10000 + fid", "cast(fid % 63 as double)", "cast(1 + fid % 5 as double)", "cast(0 as double)")
+    return grid_v(spark, sf_dir).unionAll(more)
+
+
+def xyz(k: str):
+    return tuple(F.col(f"{k}{c}") for c in "xyz")
+
+
+def xy(k: str):
+    return tuple(F.col(f"{k}{c}") for c in "xy")
+
+
+# -- pyramids and tile grids ------------------------------------------------------------------------------------------
+
+
+@query(f"""
 SELECT CAST(8-k AS INT) AS zoom, x >> k AS x, y >> k AS y, min(h) AS min_h, max(h) AS max_h, count(*) AS n
-FROM (SELECT CAST(floor((lon+180)/(360.0/512)) AS BIGINT) AS x, CAST(floor((lat+90)/(180.0/256)) AS BIGINT) AS y, h FROM {PTS}) p,
+FROM (SELECT CAST(floor((lon+180)/(360e0/512)) AS BIGINT) AS x, CAST(floor((lat+90)/(180e0/256)) AS BIGINT) AS y, h FROM {PTS}) p,
      (SELECT CAST(unnest(range(9)) AS INT) AS k) z
-GROUP BY ALL"""
-}
+GROUP BY ALL""")
+def height_pyramid(spark, d):
+    p = points(spark, d)
+    return pyramid.height_pyramid(p.select(F.floor((F.col("lon") + 180) / (360.0 / 512)).alias("x"), F.floor((F.col("lat") + 90) / (180.0 / 256)).alias("y"), "h"), 8)
+
+
+@query(f"""
+SELECT event_id, CAST(floor((lon+180)/(360e0/2/256/power(2,8))) AS BIGINT) AS px, CAST(floor((lat+90)/(360e0/2/256/power(2,8))) AS BIGINT) AS py,
+  CAST(floor((lon+180)/(360e0/2/256/power(2,8))) AS BIGINT) // 256 AS x, CAST(floor((lat+90)/(360e0/2/256/power(2,8))) AS BIGINT) // 256 AS y FROM {PTS}""")
+def tile_of_point(spark, d):
+    px, py = GEO.crs_to_pixels(F.col("lon"), F.col("lat"), F.lit(8))
+    x, y = GEO.pixels_to_tile(px, py)
+    return points(spark, d).select("event_id", px.alias("px"), py.alias("py"), x.alias("x"), y.alias("y"))
+
+
+@query("""
+SELECT event_id, CAST(z AS INT) AS zoom, CAST(event_id AS DOUBLE)*r - 20037508.342789244e0 AS x, CAST(event_id % 256 AS DOUBLE)*r - 20037508.342789244e0 AS y, r AS resolution
+FROM (SELECT event_id, event_id % 20 AS z, 156543.03392804097e0/power(2e0, event_id % 20) AS r FROM events)""")
+def pixels_to_crs(spark, d):
+    e = read(spark, d, "events")
+    z = (F.col("event_id") % 20).cast("int")
+    x, y = MERC.pixels_to_crs(F.col("event_id").cast("double"), (F.col("event_id") % 256).cast("double"), z)
+    return e.select("event_id", z.alias("zoom"), x.alias("x"), y.alias("y"), MERC.resolution(z).alias("resolution"))
+
+
+_TILE = "(SELECT event_id, CAST(event_id % 12 AS INT) AS zoom, event_id % CAST(power(2, event_id % 12) AS BIGINT) AS x, event_id * 7 % CAST(power(2, event_id % 12) AS BIGINT) AS y FROM events)"
+
+
+def some_tiles(spark, d):
+    n = F.pow(F.lit(2), F.col("event_id") % 12).cast("long")
+    return read(spark, d, "events").select("event_id", (F.col("event_id") % 12).cast("int").alias("zoom"), (F.col("event_id") % n).alias("x"), (F.col("event_id") * 7 % n).alias("y"))
+
+
+def _bounds_sql(border: int) -> str:
+    h, r = "20037508.342789244e0", "156543.03392804097e0/power(2e0, zoom)"
+    return f"""SELECT event_id, x*256e0*({r})-{h} AS xmin, y*256e0*({r})-{h} AS ymin, ((x+1)*256e0+{border}e0)*({r})-{h} AS xmax, ((y+1)*256e0+{border}e0)*({r})-{h} AS ymax FROM {_TILE}"""
+
+
+def _bounds(border: int):
+    def f(spark, d):
+        b = MERC.bounds(F.col("zoom"), F.col("x"), F.col("y"), border)
+        return some_tiles(spark, d).select("event_id", *[v.alias(k) for k, v in b.items()])
+
+    f.__name__ = "tile_bounds_border" if border else "tile_bounds"
+    return f
+
+
+query(_bounds_sql(0))(_bounds(0))
+query(_bounds_sql(1))(_bounds(1))
+
+
+@query(f"SELECT event_id, 'https://tiles.example.org/' || zoom || '/' || (CAST(power(2, zoom) AS BIGINT)-1-y) || '/' || x || '.jpeg' AS url FROM {_TILE}")
+def slippy_url(spark, d):
+    url = grid.tile_url("https://tiles.example.org/{zoom}/{y}/{x}{ext}", F.col("zoom"), F.col("x"), grid.slippy_y(F.col("zoom"), F.col("y")), ".jpeg")
+    return some_tiles(spark, d).select("event_id", url.alias("url"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(ceil(log2(156543.03392804097e0)-log2(l_extendedprice)) AS INT) AS zoom FROM lineitem")
+def zoom_for_resolution(spark, d):
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", MERC.zoom_for_resolution(F.col("l_extendedprice")).alias("zoom"))
+
+
+@query(f"SELECT event_id, CAST(zoom+1 AS INT) AS zoom, x*2+i%2 AS x, y*2+i//2 AS y, x//2 AS px, y//2 AS py FROM {_TILE}, (SELECT unnest(range(4)) AS i)")
+def tile_children(spark, d):
+    t = some_tiles(spark, d).select("event_id", F.explode(grid.children(F.col("zoom"), F.col("x"), F.col("y"))).alias("c"), grid.parent(F.col("x")).alias("px"), grid.parent(F.col("y")).alias("py"))
+    return t.select("event_id", "c.*", "px", "py")
+
+
+@query("""
+SELECT CAST(z AS INT) AS zoom, x, y FROM (SELECT unnest(range(3, 9)) AS z), LATERAL (SELECT unnest(range(5*(1<<(z-3)), 6*(1<<(z-3)))) AS x), LATERAL (SELECT unnest(range(2*(1<<(z-3)), 3*(1<<(z-3)))) AS y)""")
+def tile_tree(spark, d):
+    return tiles.subtree(spark, 3, 5, 2, 8)
+
+
+_BOX = "(SELECT event_id, lon AS xmin, lat AS ymin, lon + CAST(event_id % 17 + 1 AS DOUBLE)/8 AS xmax, lat + CAST(event_id % 11 + 1 AS DOUBLE)/8 AS ymax FROM " + PTS + " WHERE lon < 170 AND lat < 80)"
+
+
+def boxes(spark, d):
+    p = points(spark, d).where("lon < 170 and lat < 80")
+    return p.select("event_id", F.col("lon").alias("xmin"), F.col("lat").alias("ymin"), (F.col("lon") + (F.col("event_id") % 17 + 1).cast("double") / 8).alias("xmax"), (F.col("lat") + (F.col("event_id") % 11 + 1).cast("double") / 8).alias("ymax"))
+
+
+def _geo_tile(v: str, half: str, z: str) -> str:
+    return f"(CAST(floor(({v}+{half})/(0.703125e0/power(2e0,{z}))) AS BIGINT)//256)"
+
+
+def _end(v: str, z: str) -> str:
+    return f"({v}-(0.703125e0/power(2e0,{z}))/100)"
+
+
+@query(f"""
+SELECT event_id, CAST(z AS INT) AS zoom, x, y FROM {_BOX} b, (SELECT unnest([6,7,8]) AS z) zs,
+ LATERAL (SELECT unnest(range({_geo_tile('xmin','180e0','z')}, {_geo_tile(_end('xmax','z'),'180e0','z')}+1)) AS x) xs,
+ LATERAL (SELECT unnest(range({_geo_tile('ymin','90e0','z')}, {_geo_tile(_end('ymax','z'),'90e0','z')}+1)) AS y) ys""")
+def covering_tiles(spark, d):
+    return tiles.covering_tiles(boxes(spark, d), GEO, (6, 8), keep=("event_id",))
+
+
+@query(f"""
+WITH e AS (SELECT event_id, CAST(z AS INT) AS zoom, {_geo_tile('xmin','180e0','z')} AS x, {_geo_tile('ymin','90e0','z')} AS y,
+   {_geo_tile(_end('xmax','z'),'180e0','z')} AS x1, {_geo_tile(_end('ymax','z'),'90e0','z')} AS y1 FROM {_BOX}, (SELECT unnest(range(24)) AS z)),
+ b AS (SELECT event_id, max(zoom) AS zoom, arg_max(x, zoom) AS x, arg_max(y, zoom) AS y FROM e WHERE x = x1 AND y = y1 GROUP BY event_id)
+SELECT o.event_id, b.zoom, b.x, b.y FROM {_BOX} o LEFT JOIN b USING (event_id)""")
+def encompassing_tile(spark, d):
+    return tiles.encompassing_tile(boxes(spark, d), GEO).select("event_id", "zoom", "x", "y")
+
+
+@query(f"""
+WITH e AS (SELECT event_id, CAST(z AS INT) AS zoom, s, CAST(ceil((xmin+180e0)/s-1e-9) AS BIGINT) AS x, CAST(ceil((ymin+90e0)/s-1e-9) AS BIGINT) AS y, xmax, ymax
+   FROM (SELECT *, (0.703125e0/power(2e0,z))*256 AS s FROM {_BOX}, (SELECT unnest(range(24)) AS z))),
+ b AS (SELECT event_id, min(zoom) AS zoom, arg_min(x, zoom) AS x, arg_min(y, zoom) AS y FROM e WHERE (x+1)*s-180e0 <= xmax+s*1e-9 AND (y+1)*s-90e0 <= ymax+s*1e-9 GROUP BY event_id)
+SELECT o.event_id, b.zoom, b.x, b.y FROM {_BOX} o LEFT JOIN b USING (event_id)""")
+def largest_contained_tile(spark, d):
+    return tiles.largest_contained_tile(boxes(spark, d), GEO).select("event_id", "zoom", "x", "y")
+
+
+@query("SELECT event_id, CAST(10 + round_even(log2((1000e0/(event_id%97+1) + 500e0/(event_id%89+1))/2), 0) AS INT) AS zoom FROM events")
+def zoom_estimate(spark, d):
+    i = F.col("event_id")
+    return read(spark, d, "events").select("event_id", grid.estimate_zoom(F.lit(10), F.lit(1000.0), F.lit(500.0), i % 97 + 1, i % 89 + 1).alias("zoom"))
+
+
+@query("SELECT event_id, list_extract([156543e0,78272e0,39136e0,19568e0,9784e0,4892e0,2446e0,1223e0,611.496e0,305.748e0,152.874e0,76.437e0,38.219e0,19.109e0,9.555e0,4.777e0,2.389e0,1.194e0,0.597e0,0.299e0,0.149e0], event_id % 23 + 1) AS error FROM events")
+def target_error(spark, d):
+    return read(spark, d, "events").select("event_id", grid.target_error(F.col("event_id") % 23).alias("error"))
+
+
+@query("""
+WITH w AS (SELECT event_id % 4 AS ds, min(event_id % 300)::DOUBLE - 150 AS xmin, -20e0 + 10*(event_id % 4) AS ymin, min(event_id % 300)::DOUBLE - 150 + 30*(1 + event_id % 4) AS xmax, -5e0 + 10*(event_id % 4) AS ymax FROM events GROUP BY event_id % 4),
+ t AS (SELECT CAST(5 AS INT) AS zoom, x, y FROM (SELECT unnest(range(64)) AS x), (SELECT unnest(range(32)) AS y))
+SELECT ds, zoom, x, y FROM w, t WHERE x*5.625e0-180 < xmax AND xmin < (x+1)*5.625e0-180 AND y*5.625e0-90 < ymax AND ymin < (y+1)*5.625e0-90""")
+def tiles_overlap_bounds(spark, d):
+    i = F.col("event_id")
+    w = read(spark, d, "events").groupBy((i % 4).alias("ds")).agg((F.min(i % 300).cast("double") - 150).alias("xmin"))
+    w = w.select("ds", "xmin", (F.col("ds") * 10 - 20.0).alias("ymin"), (F.col("xmin") + (F.col("ds") + 1) * 30).alias("xmax"), (F.col("ds") * 10 - 5.0).alias("ymax"))
+    t = tiles.subtree(spark, 0, 0, 0, 5).unionAll(tiles.subtree(spark, 0, 1, 0, 5)).where("zoom = 5")
+    return tiles.tiles_of_datasets(w, t, GEO, 3).select("ds", "zoom", "x", "y")
+
+
+@query(f"WITH t AS (SELECT DISTINCT zoom, x, y FROM {_TILE}) SELECT * FROM t ANTI JOIN (SELECT zoom, x, y FROM {_TILE} WHERE event_id % 3 = 0) e USING (zoom, x, y)")
+def missing_outputs(spark, d):
+    t = some_tiles(spark, d)
+    return tiles.missing_outputs(t.select("zoom", "x", "y").distinct(), t.where("event_id % 3 = 0"))
+
+
+# -- coordinate systems -----------------------------------------------------------------------------------------------
+
+_ECEF = """round((6378137e0/sqrt(1e0-0.0066943799901413165e0*sin(radians(lat))*sin(radians(lat)))+h)*cos(radians(lat))*cos(radians(lon)), 3) AS x,
+  round((6378137e0/sqrt(1e0-0.0066943799901413165e0*sin(radians(lat))*sin(radians(lat)))+h)*cos(radians(lat))*sin(radians(lon)), 3) AS y,
+  round((6378137e0/sqrt(1e0-0.0066943799901413165e0*sin(radians(lat))*sin(radians(lat)))*(1e0-0.0066943799901413165e0)+h)*sin(radians(lat)), 3) AS z"""
+
+
+@query(f"SELECT event_id, {_ECEF} FROM {PTS}")
+def ecef_points(spark, d):
+    e = srs.to_ecef(F.col("lon"), F.col("lat"), F.col("h"))
+    return points(spark, d).select("event_id", *[F.round(c, 3).alias(k) for c, k in zip(e, "xyz", strict=True)])
+
+
+@query(f"SELECT event_id, round(lon, 6) AS lon, round(lat, 6) AS lat, round(h, 3) AS h FROM {PTS}")
+def ecef_round_trip(spark, d):
+    e = srs.transform(4978, 4326, *srs.to_ecef(F.col("lon"), F.col("lat"), F.col("h")))
+    return points(spark, d).select("event_id", *[F.round(c, n).alias(k) for c, k, n in zip(e, ("lon", "lat", "h"), (6, 6, 3), strict=True)])
+
+
+@query(f"SELECT event_id, round(6378137e0*radians(lon), 3) AS x, round(6378137e0*ln(tan(pi()/4+radians(lat)/2)), 3) AS y FROM {PTS}")
+def mercator_points(spark, d):
+    x, y = srs.to_mercator(F.col("lon"), F.col("lat"))
+    return points(spark, d).select("event_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query(f"""
+WITH p AS (SELECT event_id, unnest([xmin+(xmax-xmin)*t, xmin+(xmax-xmin)*t, xmin, xmax]) AS lon, unnest([ymin, ymax, ymin+(ymax-ymin)*t, ymin+(ymax-ymin)*t]) AS lat
+  FROM {_BOX}, (SELECT CAST(unnest(range(11)) AS DOUBLE)/10 AS t) WHERE event_id % 10 = 0)
+SELECT event_id, round(min(6378137e0*radians(lon)), 3) AS xmin, round(min(6378137e0*ln(tan(pi()/4+radians(lat)/2))), 3) AS ymin,
+  round(max(6378137e0*radians(lon)), 3) AS xmax, round(max(6378137e0*ln(tan(pi()/4+radians(lat)/2))), 3) AS ymax FROM p GROUP BY event_id""")
+def bounds_densified(spark, d):
+    b = srs.transform_bounds(4326, 3857, *[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")], steps=10)
+    return boxes(spark, d).where("event_id % 10 = 0").select("event_id", F.struct(*[F.round(v, 3).alias(k) for k, v in b.items()]).alias("b")).select("event_id", "b.*")
+
+
+@query(f"""
+WITH p AS (SELECT event_id, unnest([xmin+(xmax-xmin)*t, xmin+(xmax-xmin)*t, xmin, xmax]) AS lon, unnest([ymin, ymax, ymin+(ymax-ymin)*t, ymin+(ymax-ymin)*t]) AS lat
+  FROM {_BOX}, (SELECT CAST(unnest(range(6)) AS DOUBLE)/5 AS t) WHERE event_id % 10 = 0),
+ e AS (SELECT event_id, {_ECEF} FROM p, (SELECT unnest([0e0, 1000e0]) AS h))
+SELECT event_id, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, min(z) AS zmin, max(z) AS zmax FROM e GROUP BY event_id""")
+def ecef_bbox(spark, d):
+    b = srs.ecef_bounds(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")], F.lit(0.0), F.lit(1000.0), steps=5)
+    return boxes(spark, d).where("event_id % 10 = 0").select("event_id", F.struct(*[F.round(v, 3).alias(k) for k, v in b.items()]).alias("b")).select("event_id", "b.*")
+
+
+@query(f"""
+SELECT event_id, CAST(floor((xmin+180)/0.25e0) AS BIGINT) AS col0, CAST(floor((ymax-90)/(-0.25e0)) AS BIGINT) AS row0, CAST(ceil((xmax+180)/0.25e0) AS BIGINT) AS col1, CAST(ceil((ymin-90)/(-0.25e0)) AS BIGINT) AS row1 FROM {_BOX}""")
+def geotransform_window(spark, d):
+    gt = [F.lit(-180.0), F.lit(0.25), F.lit(0.0), F.lit(90.0), F.lit(0.0), F.lit(-0.25)]
+    w = srs.pixel_window(gt, *[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+    return boxes(spark, d).select("event_id", *[v.alias(k) for k, v in w.items()])
+
+
+# -- geometry ---------------------------------------------------------------------------------------------------------
+
+_AREA2 = '((bx-ax)*(cy-ay)-("by"-ay)*(cx-ax))'
+
+
+@query(f"SELECT fid, CASE WHEN abs({_AREA2}) < 1e-16 THEN 0 WHEN {_AREA2} > 0 THEN 1 ELSE -1 END AS w, {_AREA2} > 0 AS up FROM {TRI}")
+def winding_class(spark, d):
+    return tri(spark, d).select("fid", geom.winding(xy("a"), xy("b"), xy("c")).alias("w"), geom.facing_up(xy("a"), xy("b"), xy("c")).alias("up"))
+
+
+@query(f"""
+WITH p AS (SELECT *, (ax+bx+cx)/3 AS px, CAST(fid % 5 AS DOUBLE) AS py FROM {TRI}),
+ e AS (SELECT fid, unnest([ax,bx,cx]) AS ux, unnest([ay,"by",cy]) AS uy, unnest([bx,cx,ax]) AS vx, unnest(["by",cy,ay]) AS vy, px, py FROM p),
+ w AS (SELECT fid, (vx-ux)*(py-uy)-(vy-uy)*(px-ux) AS a, vy < uy OR (vy = uy AND vx < ux) AS tl FROM e)
+SELECT fid, bool_and(CASE WHEN abs(a) < 1e-16 THEN tl ELSE a > 0 END) AS inside FROM w GROUP BY fid""")
+def point_in_triangle(spark, d):
+    p = ((F.col("ax") + F.col("bx") + F.col("cx")) / 3, (F.col("fid") % 5).cast("double"))
+    return tri(spark, d).select("fid", geom.in_triangle(p, xy("a"), xy("b"), xy("c")).alias("inside"))
+
+
+@query(f"""
+WITH m AS (SELECT fid, ax-px AS x0, ay-py AS y0, bx-px AS x1, "by"-py AS y1, cx-px AS x2, cy-py AS y2 FROM (SELECT *, CAST(fid % 11 AS DOUBLE) AS px, CAST(fid % 6 AS DOUBLE) AS py FROM {TRI}))
+SELECT fid, x0*(y1*(x2*x2+y2*y2)-y2*(x1*x1+y1*y1)) - y0*(x1*(x2*x2+y2*y2)-x2*(x1*x1+y1*y1)) + (x0*x0+y0*y0)*(x1*y2-x2*y1) > 0 AS inside FROM m""")
+def in_circle(spark, d):
+    p = ((F.col("fid") % 11).cast("double"), (F.col("fid") % 6).cast("double"))
+    return tri(spark, d).select("fid", geom.in_circle(xy("a"), xy("b"), xy("c"), p).alias("inside"))
+
+
+@query(f"""
+WITH t AS (SELECT *, nullif((bx-ax)*(cy-ay)-("by"-ay)*(cx-ax), 0) AS dd FROM {TRI}),
+ c AS (SELECT fid, ((bz-az)*(cy-ay)-(cz-az)*("by"-ay))/dd AS p, ((bx-ax)*(cz-az)-(cx-ax)*(bz-az))/dd AS q, ax, ay, az FROM t)
+SELECT fid, round(p, 9) AS p, round(q, 9) AS q, round(az-p*ax-q*ay, 6) AS r FROM c""")
+def plane_fit(spark, d):
+    p = geom.plane(xyz("a"), xyz("b"), xyz("c"))
+    return tri(spark, d).select("fid", F.round(p[0], 9).alias("p"), F.round(p[1], 9).alias("q"), F.round(p[2], 6).alias("r"))
+
+
+@query(f"""
+WITH t AS (SELECT *, bx-ax AS rx, "by"-ay AS ry, CAST(fid % 3 AS DOUBLE)-cx AS sx, CAST(fid % 4 AS DOUBLE)-cy AS sy FROM {TRI}),
+ u AS (SELECT *, nullif(rx*sy-ry*sx, 0) AS den FROM t),
+ w AS (SELECT fid, ((cx-ax)*sy-(cy-ay)*sx)/den AS t, ((cx-ax)*ry-(cy-ay)*rx)/den AS u FROM u)
+SELECT fid, round(t, 9) AS t, round(u, 9) AS u, coalesce(t > 0 AND t < 1 AND u > 0 AND u < 1, false) AS hit FROM w""")
+def edge_intersections(spark, d):
+    o = ((F.col("fid") % 3).cast("double"), (F.col("fid") % 4).cast("double"))
+    t, u, _, _ = geom.intersect(xy("a"), xy("b"), xy("c"), o)
+    return tri(spark, d).select("fid", F.round(t, 9).alias("t"), F.round(u, 9).alias("u"), geom.segments_cross(xy("a"), xy("b"), xy("c"), o).alias("hit"))
+
+
+@query(f"""
+WITH t AS (SELECT *, (ax+bx)/2 AS px, cy AS py, nullif({_AREA2}, 0) AS dd FROM {TRI}),
+ u AS (SELECT *, ((cx-bx)*(py-"by")-(cy-"by")*(px-bx))/dd AS u, ((ax-cx)*(py-cy)-(ay-cy)*(px-cx))/dd AS v FROM t)
+SELECT fid, CASE WHEN u >= 0 AND v >= 0 AND 1-u-v >= 0 THEN round(u*az+v*bz+(1-u-v)*cz, 6) END AS z FROM u""")
+def barycentric_height(spark, d):
+    z = geom.interpolate(((F.col("ax") + F.col("bx")) / 2, F.col("cy")), xyz("a"), xyz("b"), xyz("c"))
+    return tri(spark, d).select("fid", F.round(z, 6).alias("z"))
+
+
+@query(f"""
+WITH t AS (SELECT *, nullif(2*((bx-ax)*(cy-ay)-("by"-ay)*(cx-ax)), 0) AS dd, (bx-ax)*(bx-ax)+("by"-ay)*("by"-ay) AS bl, (cx-ax)*(cx-ax)+(cy-ay)*(cy-ay) AS cl FROM {TRI})
+SELECT fid, round(ax+((cy-ay)*bl-("by"-ay)*cl)/dd, 6) AS x, round(ay+((bx-ax)*cl-(cx-ax)*bl)/dd, 6) AS y FROM t""")
+def circumcentres(spark, d):
+    c = geom.circumcentre(xy("a"), xy("b"), xy("c"))
+    return tri(spark, d).select("fid", F.round(c[0], 6).alias("x"), F.round(c[1], 6).alias("y"))
+
+
+@query(f"SELECT fid, round(abs({_AREA2})/2, 6) AS area FROM {TRI}")
+def clip_keeps_inner_triangles(spark, d):
+    """Triangles shrunk into the unit square come out of the clip as they are."""
+    p = lambda k: F.struct(*[((F.col(f"{k}{c}") + 5) / 64 if c != "z" else F.col(f"{k}{c}")).alias(c) for c in "xyz"])
+    t = tri(spark, d).select("fid", F.explode_outer(geom.clip_to_unit_square(p("a"), p("b"), p("c"))).alias("t"))
+    area = (F.col("t")[1]["x"] - F.col("t")[0]["x"]) * (F.col("t")[2]["y"] - F.col("t")[0]["y"]) - (F.col("t")[1]["y"] - F.col("t")[0]["y"]) * (F.col("t")[2]["x"] - F.col("t")[0]["x"])
+    return t.groupBy("fid").agg(F.round(F.coalesce(F.sum(F.abs(area)), F.lit(0.0)) / 2 * 4096, 6).alias("area"))
+
+
+@query(f"SELECT fid, least(ax,bx,cx) <= 6 + 0.5 AND 4 - 0.5 <= greatest(ax,bx,cx) AND least(ay,\"by\",cy) <= 3 + 0.5 AND 1 - 0.5 <= greatest(ay,\"by\",cy) AS hit FROM {TRI}")
+def box_overlap(spark, d):
+    other = {"xmin": F.lit(4.0), "xmax": F.lit(6.0), "ymin": F.lit(1.0), "ymax": F.lit(3.0)}
+    return tri(spark, d).select("fid", geom.boxes_overlap(geom.box(xy("a"), xy("b"), xy("c")), other, 0.25).alias("hit"))
+
+
+# -- rasters ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT \"row\", col, z FROM {RAS} WHERE z BETWEEN -0.1e0 AND 0.1e0 AND NOT isnan(z)")
+def valid_heights(spark, d):
+    return raster.valid_heights(ras(spark, d), limit=0.1).select("row", "col", "z")
+
+
+@query(f"SELECT \"row\"-10 AS \"row\", col-5 AS col, z FROM {RAS} WHERE \"row\" BETWEEN 10 AND 109 AND col BETWEEN 5 AND 34")
+def raster_crop(spark, d):
+    return raster.crop(ras(spark, d), 10, 5, 100, 30).select("row", "col", "z")
+
+
+@query(f"SELECT 499-\"row\" AS \"row\", 63-col AS col, z FROM {RAS} WHERE \"row\" < 500")
+def raster_flip(spark, d):
+    return raster.flip(raster.window(ras(spark, d), 0, 0, 64, 500), 64, 500).select("row", "col", "z")
+
+
+@query(f"SELECT CAST(\"row\"//4 AS INT) AS \"row\", CAST(col//4 AS INT) AS col, round(avg(z), 9) AS z FROM {RAS} WHERE \"row\" < 500 GROUP BY ALL")
+def raster_downsample(spark, d):
+    return raster.downsample(ras(spark, d).where("row < 500"), 4, 4, 500, 64).select("row", "col", F.round("z", 9).alias("z"))
+
+
+@query(f"""
+WITH l0 AS (SELECT \"row\", col, z FROM {RAS}),
+ l1 AS (SELECT CAST(\"row\"//2 AS INT) AS \"row\", CAST(col//2 AS INT) AS col, avg(z) AS z FROM l0 GROUP BY ALL),
+ l2 AS (SELECT CAST(\"row\"//2 AS INT) AS \"row\", CAST(col//2 AS INT) AS col, avg(z) AS z FROM l1 GROUP BY ALL)
+SELECT 0 AS level, \"row\", col, round(z, 9) AS z FROM l0 UNION ALL SELECT 1, \"row\", col, round(z, 9) FROM l1 UNION ALL SELECT 2, \"row\", col, round(z, 9) FROM l2""")
+def raster_pyramid_2x2(spark, d):
+    return raster.mean_pyramid(ras(spark, d), 2).select("level", "row", "col", F.round("z", 9).alias("z"))
+
+
+@query(f"SELECT min(\"row\") AS min_row, max(\"row\") AS max_row, min(col) AS min_col, max(col) AS max_col, min(z) AS min_z, max(z) AS max_z FROM {RAS}")
+def raster_bbox(spark, d):
+    return raster.extent(ras(spark, d)).drop("raster_id")
+
+
+_DIFF = f"""(SELECT a.\"row\", a.col, a.z - b.z AS d FROM (SELECT * FROM {RAS}) a JOIN (SELECT \"row\", 63-col AS col, z FROM {RAS}) b ON a.\"row\" = b.\"row\" AND a.col = b.col
+  WHERE a.\"row\" BETWEEN 2 AND 497 AND a.col BETWEEN 2 AND 61)"""
+
+
+def _difference(spark, d):
+    r = ras(spark, d)
+    return raster.compare(r, raster.flip(r, width=64), 500, 64)
+
+
+@query(f"SELECT round(sqrt(avg(d*d)), 9) AS rms, max(abs(d)) AS max_abs FROM {_DIFF}")
+def raster_rms(spark, d):
+    return raster.rms_error(_difference(spark, d)).select(F.round("rms", 9).alias("rms"), "max_abs")
+
+
+@query(f"SELECT count(d) AS n, round(avg(d), 9) AS mean, round(stddev_pop(d), 9) AS std, round(avg(d*d), 9) AS mse, max(abs(d)) AS max_abs FROM {_DIFF}")
+def raster_error_stats(spark, d):
+    return raster.error_statistics(_difference(spark, d)).select("n", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), F.round("mse", 9).alias("mse"), "max_abs")
+
+
+@query("SELECT CAST(0 AS INT) AS raster_id, count(*) FILTER (l_quantity = 7) AS n FROM lineitem")
+def raster_value_count(spark, d):
+    return raster.value_count(read(spark, d, "lineitem").select(F.lit(0).alias("raster_id"), F.col("l_quantity").alias("z")), 7.0)
+
+
+@query("WITH v AS (SELECT DISTINCT l_extendedprice AS v FROM lineitem) SELECT min(v) AS lo, max(v) AS hi, min(d) AS step FROM (SELECT v, v - lag(v) OVER (ORDER BY v) AS d FROM v)")
+def raster_min_step(spark, d):
+    return raster.smallest_step(read(spark, d, "lineitem"), "l_extendedprice")
+
+
+_LATTICE = "(SELECT CAST(event_id % 90 AS DOUBLE)*0.5 AS x, CAST(event_id // 90 % 40 AS DOUBLE)*2 AS y, value AS z FROM events)"
+
+
+def lattice(spark, d):
+    i = F.col("event_id")
+    return read(spark, d, "events").select(((i % 90).cast("double") * 0.5).alias("x"), (F.floor(i / 90) % 40).cast("double").alias("y0"), F.col("value").alias("z")).select("x", (F.col("y0") * 2).alias("y"), "z")
+
+
+@query(f"SELECT CAST((78 - y)/2 AS INT) AS \"row\", CAST(x/0.5e0 AS INT) AS col, max(z) AS z FROM {_LATTICE} GROUP BY ALL")
+def points_to_raster(spark, d):
+    return raster.points_to_raster(lattice(spark, d)).select("row", "col", "z")
+
+
+@query(f"""
+SELECT CAST((SELECT count(DISTINCT y) FROM {_LATTICE} q WHERE q.y > p.y) AS INT) AS \"row\", CAST((SELECT count(DISTINCT x) FROM {_LATTICE} q WHERE q.x < p.x) AS INT) AS col, z
+FROM (SELECT x, y, max(z) AS z FROM {_LATTICE} GROUP BY ALL) p""")
+def points_to_rank_raster(spark, d):
+    return raster.points_to_rank_raster(lattice(spark, d)).select("row", "col", "z")
+
+
+@query(f"""
+WITH r AS {RAS}, n AS (
+ SELECT a.\"row\", a.col, a.z, avg(b.z) FILTER (abs(a.\"row\"-b.\"row\")+abs(a.col-b.col) = 1) AS c, avg(b.z) FILTER (abs(a.\"row\"-b.\"row\")+abs(a.col-b.col) = 2) AS g
+ FROM r a JOIN (SELECT \"row\" + dr AS nr, col + dc AS nc, \"row\", col, z FROM r, (SELECT unnest([-1,0,1]) AS dr), (SELECT unnest([-1,0,1]) AS dc)) b ON a.\"row\" = b.nr AND a.col = b.nc GROUP BY ALL)
+SELECT \"row\", col, round((3*z + 2*c + g)/6, 9) AS smooth FROM n""")
+def stencil_3x3(spark, d):
+    return raster.smooth(ras(spark, d)).select("row", "col", F.round("smooth", 9).alias("smooth"))
+
+
+@query(f"""
+WITH m AS (SELECT \"row\", col, z > 0.15e0 AS inside FROM {RAS})
+SELECT a.\"row\", a.col, bool_or(b.inside) AS inside FROM m a JOIN (SELECT \"row\" + dr AS nr, col + dc AS nc, inside FROM m, (SELECT unnest([-1,0,1]) AS dr), (SELECT unnest([-2,-1,0]) AS dc)) b
+ON a.\"row\" = b.nr AND a.col = b.nc GROUP BY ALL""")
+def border_dilate(spark, d):
+    m = ras(spark, d).select("raster_id", "row", "col", (F.col("z") > 0.15).alias("inside"))
+    return raster.dilate(m, top=1, bottom=1, left=2).select("row", "col", "inside")
+
+
+@query(f"SELECT \"row\", col, CAST(floor((z-lo)*255/(hi-lo)) AS INT) AS grey FROM {RAS}, (SELECT min(z) AS lo, max(z) AS hi FROM {RAS})")
+def grey_stretch(spark, d):
+    return raster.grey(ras(spark, d)).select("row", "col", "grey")
+
+
+@query(f"""SELECT a.\"row\", a.col, a.z AS z00, b.z AS z01, c.z AS z10, e.z AS z11 FROM {RAS} a JOIN {RAS} b ON b.\"row\" = a.\"row\" AND b.col = a.col+1
+ JOIN {RAS} c ON c.\"row\" = a.\"row\"+1 AND c.col = a.col JOIN {RAS} e ON e.\"row\" = a.\"row\"+1 AND e.col = a.col+1""")
+def quads(spark, d):
+    return raster.quads(ras(spark, d)).drop("raster_id")
+
+
+@query(f"""
+WITH k AS (SELECT vec_id AS id, CAST(vec_id AS DOUBLE)*0.37e0 AS v, CAST(vec_id % 50 AS DOUBLE)*1.13e0 AS u FROM embeddings WHERE vec_id < 400),
+ t AS (SELECT *, floor(u) AS c0, floor(v) AS r0, u-floor(u) AS fu, v-floor(v) AS fv FROM k),
+ w AS (SELECT id, r0+j-1 AS \"row\", c0+i-1 AS col,
+   list_extract([-0.5e0*(fu+1)*(fu+1)*(fu+1)+2.5e0*(fu+1)*(fu+1)-4*(fu+1)+2, 1.5e0*fu*fu*fu-2.5e0*fu*fu+1, 1.5e0*(1-fu)*(1-fu)*(1-fu)-2.5e0*(1-fu)*(1-fu)+1, -0.5e0*(2-fu)*(2-fu)*(2-fu)+2.5e0*(2-fu)*(2-fu)-4*(2-fu)+2], i+1)
+  *list_extract([-0.5e0*(fv+1)*(fv+1)*(fv+1)+2.5e0*(fv+1)*(fv+1)-4*(fv+1)+2, 1.5e0*fv*fv*fv-2.5e0*fv*fv+1, 1.5e0*(1-fv)*(1-fv)*(1-fv)-2.5e0*(1-fv)*(1-fv)+1, -0.5e0*(2-fv)*(2-fv)*(2-fv)+2.5e0*(2-fv)*(2-fv)-4*(2-fv)+2], j+1) AS w
+  FROM t, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j))
+SELECT id, round(sum(w.w*r.z)/sum(w.w), 6) AS z FROM w JOIN {RAS} r USING (\"row\", col) GROUP BY id HAVING sum(w.w) >= 0.5e0""")
+def cubic_resample(spark, d):
+    e = read(spark, d, "embeddings").where("vec_id < 400")
+    t = e.select(F.col("vec_id").alias("id"), F.lit(0).alias("raster_id"), ((F.col("vec_id") % 50).cast("double") * 1.13).alias("u"), (F.col("vec_id").cast("double") * 0.37).alias("v"))
+    return raster.resample(t, ras(spark, d)).where("z is not null").select("id", F.round("z", 6).alias("z"))
+
+
+@query(f"SELECT CAST(0 AS INT) AS raster_id, CAST(col AS DOUBLE)*1.5e0+42 AS x, 23+(499-\"row\")*1.5e0 AS y, z FROM {RAS}")
+def raster_to_points(spark, d):
+    return raster.to_points(ras(spark, d), 42.0, 23.0, 1.5, 500)
+
+
+# -- meshes -----------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH s AS (SELECT n_nationkey AS raster_id, n_nationkey % 7 + 2 AS width, n_nationkey % 5 + 2 AS height FROM nation),
+ q AS (SELECT raster_id, width AS n, r, c FROM s, LATERAL (SELECT unnest(range(height-1)) AS r), LATERAL (SELECT unnest(range(width-1)) AS c))
+SELECT raster_id, CAST((r*(n-1)+c)*2+k AS BIGINT) AS fid, CAST(r*n+c+k AS BIGINT) AS a, CAST(r*n+c+n AS BIGINT) AS b, CAST(r*n+c+1+k*n AS BIGINT) AS c FROM q, (SELECT unnest([0,1]) AS k)""")
+def dense_grid_faces(spark, d):
+    s = read(spark, d, "nation").select(F.col("n_nationkey").alias("raster_id"), (F.col("n_nationkey") % 7 + 2).alias("width"), (F.col("n_nationkey") % 5 + 2).alias("height"))
+    return mesh.grid_faces(s)[1].select("raster_id", *[F.col(c).cast("long").alias(c) for c in ("fid", "a", "b", "c")])
+
+
+@query(f"""
+WITH r AS (SELECT * FROM {RAS} WHERE z BETWEEN -0.3e0 AND 0.3e0 AND \"row\" < 200),
+ q AS (SELECT a.\"row\", a.col FROM r a JOIN r b ON b.\"row\" = a.\"row\" AND b.col = a.col+1 JOIN r c ON c.\"row\" = a.\"row\"+1 AND c.col = a.col JOIN r e ON e.\"row\" = a.\"row\"+1 AND e.col = a.col+1
+   WHERE 100+(a.col+1)*2 BETWEEN 110 AND 190 AND 900-(a.\"row\"+1)*2 BETWEEN 600 AND 850)
+SELECT 'face' AS kind, count(*)*2 AS n FROM q UNION ALL
+SELECT 'vertex', count(*) FROM (SELECT DISTINCT \"row\"+dr, col+dc FROM q, (SELECT unnest([0,1]) AS dr), (SELECT unnest([0,1]) AS dc))""")
+def reference_mesh(spark, d):
+    r = ras(spark, d).where("z between -0.3 and 0.3 and row < 200")
+    v, f = mesh.reference_mesh(r, (100.0, 2.0, 900.0, -2.0), 64, (110.0, 600.0, 190.0, 850.0))
+    n = lambda df, k: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n")
+    return n(f, "face").unionAll(n(v, "vertex"))
+
+
+@query(f"""
+WITH t AS (SELECT *, unnest(range(CAST(least(ay,"by",cy) AS INT), CAST(greatest(ay,"by",cy) AS INT)+1)) AS py FROM {TRI}),
+ p AS (SELECT *, unnest(range(CAST(least(ax,bx,cx) AS INT), CAST(greatest(ax,bx,cx) AS INT)+1)) AS px FROM t),
+ e AS (SELECT fid, px, py, unnest([ax,bx,cx]) AS ux, unnest([ay,"by",cy]) AS uy, unnest([bx,cx,ax]) AS vx, unnest(["by",cy,ay]) AS vy FROM p),
+ w AS (SELECT fid, px, py, (vx-ux)*(py-uy)-(vy-uy)*(px-ux) AS a, vy < uy OR (vy = uy AND vx < ux) AS tl FROM e)
+SELECT fid, CAST(px AS INT) AS px, CAST(py AS INT) AS py FROM w GROUP BY ALL HAVING bool_and(CASE WHEN abs(a) < 1e-16 THEN tl ELSE a > 0 END)""")
+def covered_pixels(spark, d):
+    return mesh.covered_pixels(tri(spark, d), ("fid",)).select("fid", "px", "py")
+
+
+@query(f"""
+WITH t AS (SELECT *, unnest(range(CAST(least(ay,"by",cy) AS INT), CAST(greatest(ay,"by",cy) AS INT)+1)) AS py FROM {TRI}),
+ p AS (SELECT *, unnest(range(CAST(least(ax,bx,cx) AS INT), CAST(greatest(ax,bx,cx) AS INT)+1)) AS px FROM t),
+ u AS (SELECT *, nullif({_AREA2}, 0) AS dd FROM p),
+ w AS (SELECT *, ((cx-bx)*(py-"by")-(cy-"by")*(px-bx))/dd AS u, ((ax-cx)*(py-cy)-(ay-cy)*(px-cx))/dd AS v FROM u)
+SELECT CAST(px AS INT) AS px, CAST(py AS INT) AS py, round(arg_max(u*az+v*bz+(1-u-v)*cz, fid), 6) AS z FROM w WHERE u >= 0 AND v >= 0 AND 1-u-v >= 0 GROUP BY px, py""")
+def rasterise_triangles(spark, d):
+    t = mesh.rasterize(tri(spark, d).withColumn("mesh_id", F.lit(0)))
+    return t.select("px", "py", F.round("z", 6).alias("z"))
+
+
+@query(WITH + f"SELECT mesh_id, fid, ax, ay, az, bx, \"by\", bz, cx, cy, cz FROM ({TRIANGLES})")
+def compose_triangles(spark, d):
+    return mesh.triangles(verts(spark, d), faces(spark, d)).drop("a", "b", "c")
+
+
+@query(f"""
+WITH c AS (SELECT fid, unnest([0,1,2]) AS k, unnest([ax,bx,cx]) AS x, unnest([ay,"by",cy]) AS y, unnest([az,bz,cz]) AS z FROM {TRI}),
+ f AS (SELECT x, y, z, min(fid*3+k) AS "first" FROM c GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY "first")-1 AS vid, x, y, z FROM f""")
+def weld_exact(spark, d):
+    v, _ = mesh.decompose(tri(spark, d).withColumn("mesh_id", F.lit(0)))
+    return v.select("vid", "x", "y", "z")
+
+
+_MV = "(SELECT CAST(event_id % 4 AS INT) AS mesh_id, event_id // 4 AS vid, CAST(event_id // 4 % 50 AS DOUBLE) + CAST(event_id % 4 AS DOUBLE)/10 AS x, CAST(event_id // 200 AS DOUBLE) + CAST(event_id % 3 AS DOUBLE)/10 AS y, CAST(0 AS DOUBLE) AS z FROM events)"
+
+
+def mverts(spark, d):
+    i = F.col("event_id")
+    f = lambda c: c.cast("double")
+    return read(spark, d, "events").select((i % 4).cast("int").alias("mesh_id"), F.floor(i / 4).alias("vid"), (f(F.floor(i / 4) % 50) + f(i % 4) / 10).alias("x"), (f(F.floor(i / 200)) + f(i % 3) / 10).alias("y"), F.lit(0.0).alias("z"))
+
+
+_PAIRS = f"""SELECT a.mesh_id AS m1, a.vid AS v1, b.mesh_id AS m2, b.vid AS v2, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS distance
+ FROM (SELECT *, CAST(floor(x/0.12e0) AS BIGINT) AS kx, CAST(floor(y/0.12e0) AS BIGINT) AS ky FROM {_MV}) a
+ JOIN (SELECT *, CAST(floor(x/0.12e0) AS BIGINT)+dx AS kx, CAST(floor(y/0.12e0) AS BIGINT)+dy AS ky FROM {_MV}, (SELECT unnest([-1,0,1]) AS dx), (SELECT unnest([-1,0,1]) AS dy)) b
+ ON a.kx = b.kx AND a.ky = b.ky AND a.mesh_id < b.mesh_id WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) < 0.12e0"""
+
+
+@query(f"SELECT m1, v1, m2, v2, round(distance, 9) AS distance FROM ({_PAIRS})")
+def close_pairs(spark, d):
+    return mesh.close_pairs(mverts(spark, d), 0.12).select("m1", "v1", "m2", "v2", F.round("distance", 9).alias("distance"))
+
+
+_WELD = f"""WITH RECURSIVE p AS ({_PAIRS}), e AS (SELECT m1*4294967296+v1 AS a, m2*4294967296+v2 AS b FROM p UNION SELECT m2*4294967296+v2, m1*4294967296+v1 FROM p),
+ v AS (SELECT *, mesh_id*4294967296+vid AS id FROM {_MV}),
+ reach(a, b) AS (SELECT id, id FROM v UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+ g AS (SELECT a, min(b) AS l FROM reach GROUP BY a),
+ m AS (SELECT v.*, dense_rank() OVER (ORDER BY g.l)-1 AS merged_vid FROM v JOIN g ON v.id = g.a) """
+
+
+@query(_WELD + "SELECT mesh_id, vid, merged_vid FROM m")
+def weld_epsilon(spark, d):
+    return mesh.weld(mverts(spark, d), 0.12)
+
+
+@query(_WELD + "SELECT merged_vid AS vid, arg_max(x, id) AS x, arg_max(y, id) AS y FROM m GROUP BY merged_vid")
+def apply_mapping(spark, d):
+    v = mverts(spark, d)
+    none = spark.createDataFrame([], "mesh_id int, fid long, a long, b long, c long")
+    return mesh.apply_mapping(v, none, mesh.written(mesh.weld(v, 0.12), "mapping"))[0].select("vid", "x", "y")
+
+
+@query(WITH + f"SELECT v.* FROM v ANTI JOIN (SELECT mesh_id, v AS vid FROM ({CORNERS})) c USING (mesh_id, vid)")
+def isolated_vertices(spark, d):
+    return mesh.isolated_vertices(verts(spark, d), faces(spark, d))
+
+
+@query(WITH + f"SELECT mesh_id, a, b FROM ({EDGES}) GROUP BY ALL HAVING count(*) = 1")
+def border_edges(spark, d):
+    return mesh.border_edges(faces(spark, d))
+
+
+@query(WITH + f"SELECT mesh_id, a, b, count(*) AS n FROM ({EDGES}) GROUP BY ALL HAVING count(*) > 2")
+def non_manifold_edges(spark, d):
+    return mesh.non_manifold_edges(faces(spark, d))
+
+
+@query(WITH + f""", e AS ({EDGES}), bad AS (SELECT mesh_id, a, b FROM e GROUP BY ALL HAVING count(*) > 2), c AS ({CORNERS}),
+ lone AS (SELECT mesh_id, v FROM c GROUP BY ALL HAVING count(DISTINCT fid) <= 1)
+SELECT DISTINCT e.mesh_id, e.fid FROM e JOIN bad USING (mesh_id, a, b) JOIN c ON c.mesh_id = e.mesh_id AND c.fid = e.fid JOIN lone ON lone.mesh_id = c.mesh_id AND lone.v = c.v""")
+def flaps(spark, d):
+    return mesh.flaps(faces(spark, d))
+
+
+@query(WITH + """SELECT mesh_id, fid, CASE WHEN a <= b AND a <= c THEN a WHEN b <= a AND b <= c THEN b ELSE c END AS a,
+ CASE WHEN a <= b AND a <= c THEN b WHEN b <= a AND b <= c THEN c ELSE a END AS b, CASE WHEN a <= b AND a <= c THEN c WHEN b <= a AND b <= c THEN a ELSE b END AS c FROM f""")
+def normalized_triangles(spark, d):
+    return mesh.normalized(faces(spark, d))
+
+
+@query(WITH + "SELECT mesh_id, fid FROM (SELECT mesh_id, fid, min(fid) OVER (PARTITION BY mesh_id, list_sort([a, b, c])) AS m FROM f) WHERE fid > m")
+def duplicate_triangles(spark, d):
+    return mesh.duplicate_faces(faces(spark, d), oriented=False)
+
+
+@query(WITH + f"SELECT mesh_id, v AS vid, count(DISTINCT fid) AS n FROM ({CORNERS}) GROUP BY ALL")
+def vertex_valence(spark, d):
+    return mesh.valence(faces(spark, d))
+
+
+@query(WITH + f"SELECT mesh_id, count(*) AS edges FROM (SELECT DISTINCT mesh_id, a, b FROM ({EDGES})) GROUP BY mesh_id")
+def edge_count(spark, d):
+    return mesh.edges(faces(spark, d)).select("mesh_id", "a", "b").distinct().groupBy("mesh_id").agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query(WITH + f"""SELECT e.mesh_id, round(min(sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z))), 9) AS length
+ FROM (SELECT DISTINCT mesh_id, a, b FROM ({EDGES})) e JOIN v p ON p.mesh_id = e.mesh_id AND p.vid = e.a JOIN v q ON q.mesh_id = e.mesh_id AND q.vid = e.b GROUP BY e.mesh_id""")
+def min_edge_length(spark, d):
+    return mesh.min_edge_length(verts(spark, d), faces(spark, d)).select("mesh_id", F.round("length", 9).alias("length"))
+
+
+@query(f"WITH f AS {GRID_F}, v AS {GRID_V}, t AS ({TRIANGLES}) SELECT t.mesh_id, sum(abs({_AREA2})/2) AS area, any_value(b.box) AS box_area, any_value(b.box) = sum(abs({_AREA2})/2) AS filled FROM t JOIN (SELECT mesh_id, (max(x)-min(x))*(max(y)-min(y)) AS box FROM v GROUP BY mesh_id) b USING (mesh_id) GROUP BY t.mesh_id")
+def hole_test(spark, d):
+    return mesh.areas(grid_v(spark, d), grid_f(spark, d)).drop("mean_area")
+
+
+@query(WITH + f", t AS (SELECT mesh_id, fid, abs({_AREA2})/2 AS area FROM ({TRIANGLES})) SELECT mesh_id, fid FROM (SELECT *, avg(area) OVER (PARTITION BY mesh_id) AS m FROM t) WHERE area < 0.5e0*m")
+def negligible_triangles(spark, d):
+    return mesh.negligible(verts(spark, d), faces(spark, d), 0.5)
+
+
+@query(WITH + f"""SELECT mesh_id, kind, n FROM (
+ SELECT mesh_id, 'duplicate' AS kind, count(*) AS n FROM (SELECT mesh_id, fid, min(fid) OVER (PARTITION BY mesh_id, list_sort([a,b,c])) AS m FROM f) WHERE fid > m GROUP BY mesh_id
+ UNION ALL SELECT mesh_id, 'isolated', count(*) FROM v ANTI JOIN (SELECT mesh_id, v AS vid FROM ({CORNERS})) c USING (mesh_id, vid) GROUP BY mesh_id
+ UNION ALL SELECT mesh_id, 'non-manifold', count(*) FROM (SELECT mesh_id, a, b FROM ({EDGES}) GROUP BY ALL HAVING count(*) > 2) GROUP BY mesh_id)""")
+def mesh_report(spark, d):
+    return mesh.mesh_report(verts(spark, d), faces(spark, d))
+
+
+@query(WITH + f"SELECT mesh_id, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, min(z) AS zmin, max(z) AS zmax FROM v GROUP BY mesh_id")
+def mesh_bbox(spark, d):
+    return mesh.bounding_box(verts(spark, d))
+
+
+@query(f"SELECT DISTINCT mesh_id, true AS square FROM {GRID_V}")
+def mesh_is_square(spark, d):
+    return mesh.is_square(grid_v(spark, d))
+
+
+@query(f"WITH v AS {GRID_V} SELECT mesh_id, vid, round(x - avg(x) OVER w, 6) AS x, round(y - avg(y) OVER w, 6) AS y, round(z - avg(z) OVER w, 6) AS z FROM v WINDOW w AS (PARTITION BY mesh_id)")
+def mesh_centred(spark, d):
+    return mesh.centred(grid_v(spark, d)).select("mesh_id", "vid", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
+@query(f"WITH f AS {GRID_F}, v AS {GRID_V} SELECT CAST(0 AS BIGINT) AS n")
+def mesh_equality(spark, d):
+    """A mesh against its own faces turned round: no difference."""
+    v, f = grid_v(spark, d), grid_f(spark, d)
+    turned = f.select("mesh_id", "fid", F.col("b").alias("a"), F.col("c").alias("b"), F.col("a").alias("c"))
+    return mesh.different(mesh.triangles(v, f), mesh.triangles(v, turned)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_WELD + "SELECT count(DISTINCT mesh_id) AS meshes, count(*) AS vertices, count(DISTINCT merged_vid) AS merged, max(merged_vid) AS last, CAST(0 AS BIGINT) AS ambiguous FROM m")
+def mapping_report(spark, d):
+    return mesh.mapping_report(mesh.written(mesh.weld(mverts(spark, d), 0.12), "mapping"))
+
+
+# -- encodings, textures, text ----------------------------------------------------------------------------------------
+
+_Q = f"(SELECT mesh_id, vid AS ord, CAST(CASE WHEN hi > lo THEN floor((z-lo)/(hi-lo)*32767+0.5e0) ELSE 0 END AS INT) AS q FROM {GRID_V} JOIN (SELECT mesh_id, min(z) AS lo, max(z) AS hi FROM {GRID_V} GROUP BY mesh_id) USING (mesh_id))"
+
+
+def quantized(spark, d):
+    v = grid_v(spark, d)
+    e = v.groupBy("mesh_id").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
+    return v.join(e, "mesh_id").select("mesh_id", F.col("vid").alias("ord"), encode.quantize(F.col("z"), F.col("lo"), F.col("hi")).alias("q"))
+
+
+@query(f"WITH q AS {_Q}, x AS (SELECT mesh_id, ord, q - lag(q, 1, 0) OVER (PARTITION BY mesh_id ORDER BY ord) AS e FROM q) SELECT mesh_id, ord, CAST(CASE WHEN e >= 0 THEN 2*e ELSE -2*e-1 END AS INT) AS q FROM x")
+def zigzag_stream(spark, d):
+    return encode.deltas(quantized(spark, d), ["q"])
+
+
+@query(f"SELECT mesh_id, ord, q FROM {_Q}")
+def zigzag_round_trip(spark, d):
+    return encode.undeltas(encode.deltas(quantized(spark, d), ["q"]), ["q"])
+
+
+_STREAM = f"""f AS {GRID_F}, c AS (SELECT mesh_id, row_number() OVER (PARTITION BY mesh_id ORDER BY fid, k)-1 AS pos, v FROM (SELECT mesh_id, fid, unnest([0,1,2]) AS k, unnest([a,b,c]) AS v FROM f)),
+ u AS (SELECT mesh_id, v, min(pos) AS p0 FROM c GROUP BY ALL), o AS (SELECT mesh_id, v, row_number() OVER (PARTITION BY mesh_id ORDER BY p0)-1 AS ord FROM u),
+ s AS (SELECT c.mesh_id, c.pos, o.ord AS idx FROM c JOIN o USING (mesh_id, v))"""
+
+
+@query(f"WITH {_STREAM} SELECT mesh_id, CAST(pos AS INT) AS pos, CAST(coalesce(max(idx+1) OVER (PARTITION BY mesh_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - idx AS INT) AS code FROM s")
+def watermark_codes(spark, d):
+    return encode.watermark(encode.first_use(grid_f(spark, d))[1])
+
+
+@query(f"WITH {_STREAM} SELECT mesh_id, CAST(pos AS INT) AS pos, CAST(idx AS INT) AS idx FROM s")
+def watermark_round_trip(spark, d):
+    return encode.unwatermark(encode.watermark(encode.first_use(grid_f(spark, d))[1]))
+
+
+@query(f"SELECT mesh_id, list_sort(list(vid) FILTER (x = 0)) AS west, list_sort(list(vid) FILTER (y = -49)) AS south, list_sort(list(vid) FILTER (x = 63)) AS east, list_sort(list(vid) FILTER (y = 0)) AS north FROM {GRID_V} GROUP BY mesh_id")
+def edge_lists(spark, d):
+    v = grid_v(spark, d)
+    q = v.select("mesh_id", F.col("vid").alias("ord"), encode.quantize(F.col("x"), F.lit(0.0), F.lit(63.0)).alias("u"), encode.quantize(F.col("y"), F.lit(-49.0), F.lit(0.0)).alias("v"))
+    return encode.edge_lists(q)
+
+
+_HEAD = f"(SELECT event_id % 25 AS mesh_id, lon/100 + event_id % 25 AS lon, lat/100 + 40 AS lat, h FROM {PTS})"
+
+
+@query(f"""
+WITH e AS (SELECT mesh_id, h, {_ECEF.replace('round(', '(').replace(', 3)', ')')} FROM {_HEAD}),
+ b AS (SELECT mesh_id, min(h) AS min_h, max(h) AS max_h, (min(x)+max(x))/2 AS cx, (min(y)+max(y))/2 AS cy, (min(z)+max(z))/2 AS cz FROM e GROUP BY mesh_id)
+SELECT mesh_id, round(any_value(cx), 3) AS cx, round(any_value(cy), 3) AS cy, round(any_value(cz), 3) AS cz, any_value(min_h) AS min_h, any_value(max_h) AS max_h,
+  round(sqrt(max((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))), 3) AS radius FROM e JOIN b USING (mesh_id) GROUP BY mesh_id""")
+def qm_header(spark, d):
+    p = points(spark, d).select((F.col("event_id") % 25).alias("mesh_id"), (F.col("lon") / 100 + F.col("event_id") % 25).alias("x"), (F.col("lat") / 100 + 40).alias("y"), F.col("h").alias("z"))
+    h = encode.header(p)
+    return h.select("mesh_id", *[F.round(c, 3).alias(c) for c in ("cx", "cy", "cz")], "min_h", "max_h", F.round("radius", 3).alias("radius"))
+
+
+@query("SELECT event_id, CAST(v >> 16 & 255 AS INT) AS r, CAST(v >> 8 & 255 AS INT) AS g, CAST(v & 255 AS INT) AS b FROM (SELECT event_id, CAST(floor((value+32768)*256+0.5e0) AS BIGINT) AS v FROM events)")
+def height_rgb(spark, d):
+    return read(spark, d, "events").select("event_id", *[c.alias(k) for c, k in zip(encode.height_to_rgb(F.col("value")), "rgb", strict=True)])
+
+
+@query("""
+WITH a AS (SELECT DISTINCT CAST(z AS INT) AS zoom, event_id % (1 << z) AS x, event_id * 3 % (1 << z) AS y FROM (SELECT event_id, event_id % 5 AS z FROM events) WHERE event_id % 7 < 4),
+ l4 AS (SELECT zoom, x, y FROM a WHERE zoom = 4),
+ w3 AS (SELECT 3 AS zoom, x//2 AS x, y//2 AS y FROM l4 GROUP BY ALL HAVING count(*) = 4), c3 AS (SELECT zoom, x, y FROM a WHERE zoom = 3 UNION SELECT * FROM w3),
+ w2 AS (SELECT 2 AS zoom, x//2 AS x, y//2 AS y FROM c3 GROUP BY ALL HAVING count(*) = 4), c2 AS (SELECT zoom, x, y FROM a WHERE zoom = 2 UNION SELECT * FROM w2),
+ w1 AS (SELECT 1 AS zoom, x//2 AS x, y//2 AS y FROM c2 GROUP BY ALL HAVING count(*) = 4), c1 AS (SELECT zoom, x, y FROM a WHERE zoom = 1 UNION SELECT * FROM w1),
+ w0 AS (SELECT 0 AS zoom, x//2 AS x, y//2 AS y FROM c1 GROUP BY ALL HAVING count(*) = 4)
+SELECT * FROM a ANTI JOIN (SELECT * FROM w3 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w0) w USING (zoom, x, y)""")
+def texture_tiles(spark, d):
+    e = read(spark, d, "events").where("event_id % 7 < 4").select("event_id", (F.col("event_id") % 5).cast("int").alias("zoom"))
+    n = F.pow(F.lit(2), F.col("zoom")).cast("long")
+    a = e.select("zoom", (F.col("event_id") % n).alias("x"), (F.col("event_id") * 3 % n).alias("y")).distinct()
+    h = MERC.half_width
+    return texture.tiles_to_paint(a, MERC, (-h, -h, h, h), (0, 0, 0), 4)
+
+
+@query(f"""SELECT event_id, CAST(round_even(x*1024e0/power(2, zoom), 0) AS INT) AS "left", CAST(round_even(1024e0-(y+1)*1024e0/power(2, zoom), 0) AS INT) AS top,
+ CAST(round_even((x+1)*1024e0/power(2, zoom), 0) AS INT) AS "right", CAST(round_even(1024e0-y*1024e0/power(2, zoom), 0) AS INT) AS bottom FROM {_TILE} WHERE zoom < 9""")
+def texture_region(spark, d):
+    h = F.lit(MERC.half_width)
+    b = {"xmin": -h, "ymin": -h, "xmax": h, "ymax": h}
+    r = texture.region(MERC, F.col("zoom"), F.col("x"), F.col("y"), b, F.lit(1024), F.lit(1024))
+    return some_tiles(spark, d).where("zoom < 9").select("event_id", *[v.alias(k) for k, v in r.items()])
+
+
+@query("SELECT doc_id, list_filter(string_split_regex(text, '[ \\n\\r\\t]+'), lambda w: w <> '') AS tokens FROM documents")
+def tokens(spark, d):
+    return read(spark, d, "documents").select("doc_id", encode.tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(url, '^.*/', ''), '\\.[^.]*$', '') AS stem, lower(url) = url AS low FROM pages")
+def file_stem(spark, d):
+    return read(spark, d, "pages").select("page_id", encode.stem(F.col("url")).alias("stem"), (F.lower("url") == F.col("url")).alias("low"))
+
+
+@query(f"SELECT mesh_id, vid, 'v ' || CAST(CAST(x AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(y AS BIGINT) AS VARCHAR) AS line FROM {GRID_V}")
+def obj_lines(spark, d):
+    return grid_v(spark, d).select("mesh_id", "vid", F.format_string("v %d %d", F.col("x").cast("long"), F.col("y").cast("long")).alias("line"))
+
+
