@@ -59,9 +59,13 @@ def barycentric(p: Point, a: Point, b: Point, c: Point) -> tuple[Column, Column,
 
 
 def interpolate(p: Point, a: Point, b: Point, c: Point) -> Column:
-    """Height at p of the triangle, null outside; its boundary counts as inside."""
+    """Height at p of the triangle, null outside; its boundary counts as inside.
+
+    Inside is told by the signs of three areas, so a point on an edge that two triangles share is never lost to rounding."""
     u, v, w = barycentric(p, a, b, c)
-    return F.when((u >= 0) & (v >= 0) & (w >= 0), u * a[2] + v * b[2] + w * c[2])
+    d = F.nullif(area2(a, b, c), F.lit(0.0))
+    inside = (u >= 0) & (v >= 0) & (area2(a, b, p) / d >= 0)
+    return F.when(inside, u * a[2] + v * b[2] + w * c[2])
 
 
 def distance2(a: Point, b: Point) -> Column:

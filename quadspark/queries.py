@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geom, grid, srs
-from .operators import encode, mesh, pyramid, raster, texture, tiles
+from .operators import encode, local, mesh, pyramid, raster, texture, tiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -363,7 +363,7 @@ def edge_intersections(spark, d):
 @query(f"""
 WITH t AS (SELECT *, (ax+bx)/2 AS px, cy AS py, nullif({_AREA2}, 0) AS dd FROM {TRI}),
  u AS (SELECT *, ((cx-bx)*(py-"by")-(cy-"by")*(px-bx))/dd AS u, ((ax-cx)*(py-cy)-(ay-cy)*(px-cx))/dd AS v FROM t)
-SELECT fid, CASE WHEN u >= 0 AND v >= 0 AND 1-u-v >= 0 THEN round(u*az+v*bz+(1-u-v)*cz, 6) END AS z FROM u""")
+SELECT fid, CASE WHEN u >= 0 AND v >= 0 AND ((bx-ax)*(py-ay)-("by"-ay)*(px-ax))/dd >= 0 THEN round(u*az+v*bz+(1-u-v)*cz, 6) END AS z FROM u""")
 def barycentric_height(spark, d):
     z = geom.interpolate(((F.col("ax") + F.col("bx")) / 2, F.col("cy")), xyz("a"), xyz("b"), xyz("c"))
     return tri(spark, d).select("fid", F.round(z, 6).alias("z"))
@@ -566,7 +566,7 @@ WITH t AS (SELECT *, unnest(range(CAST(least(ay,"by",cy) AS INT), CAST(greatest(
  p AS (SELECT *, unnest(range(CAST(least(ax,bx,cx) AS INT), CAST(greatest(ax,bx,cx) AS INT)+1)) AS px FROM t),
  u AS (SELECT *, nullif({_AREA2}, 0) AS dd FROM p),
  w AS (SELECT *, ((cx-bx)*(py-"by")-(cy-"by")*(px-bx))/dd AS u, ((ax-cx)*(py-cy)-(ay-cy)*(px-cx))/dd AS v FROM u)
-SELECT CAST(px AS INT) AS px, CAST(py AS INT) AS py, round(arg_max(u*az+v*bz+(1-u-v)*cz, fid), 6) AS z FROM w WHERE u >= 0 AND v >= 0 AND 1-u-v >= 0 GROUP BY px, py""")
+SELECT CAST(px AS INT) AS px, CAST(py AS INT) AS py, round(arg_max(u*az+v*bz+(1-u-v)*cz, fid), 6) AS z FROM w WHERE u >= 0 AND v >= 0 AND ((bx-ax)*(py-ay)-("by"-ay)*(px-ax))/dd >= 0 GROUP BY px, py""")
 def rasterise_triangles(spark, d):
     t = mesh.rasterize(tri(spark, d).withColumn("mesh_id", F.lit(0)))
     return t.select("px", "py", F.round("z", 6).alias("z"))
@@ -822,3 +822,42 @@ def obj_lines(spark, d):
     return grid_v(spark, d).select("mesh_id", "vid", F.format_string("v %d %d", F.col("x").cast("long"), F.col("y").cast("long")).alias("line"))
 
 
+# -- local algorithms, without SQL: held by invariants in the tests ---------------------------------------------------
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("mesh_id").agg(F.count_if(F.col("kind") == "vertex").alias("vertices"), F.count_if(F.col("kind") == "face").alias("faces"))
+
+
+@query()
+def delaunay(spark, d):
+    p = points(spark, d).select(F.floor((F.col("lon") + 180) / 36).cast("long").alias("tx"), F.floor((F.col("lat") + 90) / 18).cast("long").alias("ty"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("h").alias("z"))
+    return _counts(local.delaunay_meshes(p.select((F.col("ty") * 10 + F.col("tx")).alias("mesh_id"), "x", "y", "z")))
+
+
+@query()
+def terra_tin(spark, d):
+    r = ras(spark, d).select(F.floor(F.col("row") / 50).alias("mesh_id"), (F.col("row") % 50).alias("row"), "col", "z")
+    return _counts(local.terra_meshes(r, 0.3))
+
+
+@query()
+def simplified(spark, d):
+    return _counts(local.simplify_meshes(grid_v(spark, d).where("mesh_id < 4"), grid_f(spark, d).where("mesh_id < 4"), 0.5))
+
+
+@query()
+def uv_map(spark, d):
+    return _counts(local.uv_meshes(grid_v(spark, d).where("mesh_id < 4"), grid_f(spark, d).where("mesh_id < 4"), "mean_value", "square"))
+
+
+@query()
+def nearest_valid_fill(spark, d):
+    r = ras(spark, d).withColumn("z", F.when((F.col("row") + F.col("col") * 7) % 5 != 0, F.col("z")))
+    return raster.fill_missing(r, 3, 8).select("row", "col", F.round("z", 9).alias("z"))
+
+
+@query(WITH + f", t AS ({TRIANGLES}) SELECT t.mesh_id, t.fid FROM t WHERE {_AREA2} <= 0")
+def faces_that_look_down(spark, d):
+    t = mesh.triangles(verts(spark, d), faces(spark, d))
+    return t.where(~geom.facing_up(xyz("a"), xyz("b"), xyz("c"))).select("mesh_id", "fid")
