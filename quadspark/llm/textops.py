@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Batches are cut into runs of documents of about this many bytes, which bounds the temporaries (8 bytes each a byte).
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
