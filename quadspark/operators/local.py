@@ -423,3 +423,36 @@ def uv_meshes(vertices: DataFrame, faces: DataFrame, weights: str = "conformal",
         return _rows(pdf[M].iloc[0], p, f, uv_map(p, f, weights, border))
 
     return joined(vertices, faces).groupBy(M).applyInPandas(run, MESH)
+
+
+def warp_textures(images: list[np.ndarray], source: np.ndarray, target: np.ndarray, owner: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """Atlas of merged meshes: for each face the affine map from its corners in its own mesh's image to those in the atlas.
+
+    images: (height, width, channels) of each mesh; source and target: (faces, 3, 2) texture coordinates, v upwards; owner: the
+    image of each face.  Faces are grown by a hundredth about their middle so that no seam stays open; sampling is bilinear, and
+    later faces paint over earlier ones."""
+    h, w = size
+    out = np.zeros((h, w, images[0].shape[2]))
+    for src, dst, o in zip(source, target, owner, strict=True):
+        img = images[o]
+        to = lambda t, hh, ww: np.stack((t[:, 0] * (ww - 1), (1 - t[:, 1]) * (hh - 1)), axis=1)
+        d, s = to(dst, h, w), to(src, *img.shape[:2])
+        mid = d.mean(axis=0)
+        grown = mid + (d - mid) * 1.01
+        x0, y0 = np.maximum(np.floor(grown.min(axis=0)).astype(int), 0)
+        x1, y1 = np.minimum(np.ceil(grown.max(axis=0)).astype(int), (w - 1, h - 1))
+        m = np.array([d[1] - d[0], d[2] - d[0]]).T
+        if x1 < x0 or y1 < y0 or abs(np.linalg.det(m)) < 1e-12:
+            continue
+        x, y = np.meshgrid(np.arange(x0, x1 + 1), np.arange(y0, y1 + 1))
+        b = np.linalg.solve(m, np.stack((x.ravel() - d[0, 0], y.ravel() - d[0, 1])))
+        e = 0.01
+        inside = (b[0] >= -e) & (b[1] >= -e) & (b.sum(axis=0) <= 1 + e)
+        p = s[0][:, None] + np.array([s[1] - s[0], s[2] - s[0]]).T @ b
+        px, py = np.clip(p[0], 0, img.shape[1] - 1), np.clip(p[1], 0, img.shape[0] - 1)
+        i, j = np.floor(py).astype(int), np.floor(px).astype(int)
+        i1, j1 = np.minimum(i + 1, img.shape[0] - 1), np.minimum(j + 1, img.shape[1] - 1)
+        fy, fx = (py - i)[:, None], (px - j)[:, None]
+        v = img[i, j] * (1 - fy) * (1 - fx) + img[i, j1] * (1 - fy) * fx + img[i1, j] * fy * (1 - fx) + img[i1, j1] * fy * fx
+        out[y.ravel()[inside], x.ravel()[inside]] = v[inside]
+    return out

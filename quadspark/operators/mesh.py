@@ -277,6 +277,15 @@ def components(spark: SparkSession, pairs: DataFrame) -> DataFrame:
             return label
 
 
+def pieces(faces: DataFrame) -> DataFrame:
+    """Number of connected pieces of each mesh."""
+    top = F.lit(1 << 32)
+    code = lambda c: F.col(M).cast("long") * top + F.col(c).cast("long")
+    pairs = faces.select(code("a").alias("a"), code("b").alias("b")).union(faces.select(code("b"), code("c")))
+    comp = components(faces.sparkSession, pairs)
+    return comp.groupBy(F.floor(F.col("id") / top).cast("int").alias(M)).agg(F.countDistinct("l").alias("pieces"))
+
+
 def weld(vertices: DataFrame, eps: float) -> DataFrame:
     """Mapping (mesh_id, vid, merged_vid) that merges vertices of different meshes nearer than eps, and chains of them.
 

@@ -114,3 +114,27 @@ def test_xyz_and_images(spark, tmp_path):
     assert [(r.zoom, r.x, r.y) for r in files.existing_tiles(spark, str(tmp_path / "t"), ".png").collect()] == [(3, 7, 2)]
     back = binary.png_pixels(files.read_files(spark, str(tmp_path / "t"), ".png"))
     assert {(r.row, r.col): r.value for r in back.collect()} == {(r, c): r * 10 + c for r in range(3) for c in range(4)}
+
+
+def test_by_format(spark, tmp_path):
+    from quadspark.sources.meshes import load_meshes, save_meshes
+
+    v, t = tables(spark)
+    for kind in ("obj", "off", "glb", "geojson", "parquet"):
+        save_meshes(v, t, str(tmp_path / kind), kind).collect()
+        if kind != "geojson":
+            bv, bf = load_meshes(spark, str(tmp_path / kind), kind)
+            assert (bv.count(), bf.count()) == (8, 4)
+    with pytest.raises(ValueError):
+        save_meshes(v, t, str(tmp_path), "stl")
+    assert {r.pieces for r in mesh.pieces(t).collect()} == {1}
+
+
+def test_atlas():
+    a, b = np.full((4, 4, 3), 10.0), np.full((4, 4, 3), 20.0)
+    half = np.array([[(0, 0), (1, 0), (1, 1)], [(0, 0), (1, 1), (0, 1)]], float)
+    out = local.warp_textures([a, b], half, half, np.array([0, 1]), (9, 9))
+    assert (out[:, :, 0] > 0).all() and out[8, 8, 0] in (10, 20) and out[7, 8, 0] == 10 and out[0, 1, 0] == 20
+    ramp = np.broadcast_to(np.arange(5.0)[None, :, None], (5, 5, 1))
+    same = local.warp_textures([ramp], half, half, np.array([0, 0]), (5, 5))
+    assert np.allclose(same, ramp)
