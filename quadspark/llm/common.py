@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -73,35 +73,49 @@ def numbered(df: DataFrame, group: list[Column | str], order: list[str], out: st
     return local.join(shift, on).withColumn(out, (F.col("__before") + F.col("__r")).cast("long")).drop(*names, *[f"{n}s" for n in names], "__b", "__bs", "__r", "__before")
 
 
+def _small_star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of edges (u, v), v < u, sorted by both: u's least neighbour, and an edge of each other neighbour to that one."""
+    last, least, before = None, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.ones(len(u), dtype=bool)
+        new[1:] = u[1:] != u[:-1]
+        new[0] = last is None or u[0] != last
+        at = np.maximum.accumulate(np.where(new, np.arange(len(u)), -1))
+        low = np.where(at >= 0, v[np.maximum(at, 0)], least)
+        again = np.zeros(len(u), dtype=bool)
+        again[1:] = ~new[1:] & (v[1:] == v[:-1])
+        again[0] = not new[0] and v[0] == before
+        other = ~new & ~again & (v != low)
+        last, least, before = u[-1], low[-1], v[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((u[new], v[other]))), pa.array(np.concatenate((v[new], low[other]))), pa.array(np.concatenate((np.ones(new.sum(), bool), np.zeros(other.sum(), bool))))], ["u", "v", "own"])
+
+
 def components(ws: Workspace, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest id of the connected component of every id that has an edge to another: columns id, component_id.
 
-    Large-star and small-star rounds in turn (each a partial aggregation and a join that adaptive execution may split), until
-    no edge changes; the number of rounds grows with the logarithm of the size of a component.  Edges are checkpointed as
-    tables after each round.
+    Each round sorts the edges by their larger end, ties every id to its least neighbour and its other neighbours to that
+    one, and then moves every edge on to the least neighbour of its smaller end, which halves the way to the root.  It ends
+    when nothing is left to tie or to move; the number of rounds grows with the logarithm of a component's diameter.  The
+    edges of a round are tables, so both sides of its join have plain exchanges, which adaptive execution splits at a hub.
     """
-    e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct()
-    e, path = ws.write(e, "edges")
-    seen = None
+    spark = ws.spark
+    e, path = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v"), None
     while True:
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # as tables, both sides of a join below have plain exchanges, which adaptive execution can split at a hot hub
-        least, least_path = ws.write(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "least")
-        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large, large_path = ws.write(large.where("u <> v").distinct(), "large")
-        # small star: the smaller neighbours of u, and u itself, go to the least of them
-        low, low_path = ws.write(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low.select(F.col("u").alias("k"), "m"), F.col("u") == F.col("k"))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        new, new_path = ws.write(small.where("u <> v").distinct(), "edges")
-        now = new.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
-        for old in (path, least_path, large_path, low_path):
-            ws.drop(old)
-        e, path = new, new_path
-        if seen == tuple(now):
-            break
-        seen = tuple(now)
-    return e.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "id")
+        ties, moves = Observation(), Observation()
+        star = e.repartition(parallelism(spark), "u").sortWithinPartitions("u", "v").mapInArrow(_small_star, "u long, v long, own boolean")
+        star, star_path = ws.write(star.observe(ties, F.count_if(~F.col("own")).alias("n")), "star")
+        up = star.where("own").select(F.col("u").alias("k"), F.col("v").alias("p"))
+        step = star.select("u", "v").join(up, F.col("v") == F.col("k"), "left").select("u", F.coalesce("p", "v").alias("v"), F.col("p").isNotNull().alias("moved"))
+        e, new_path = ws.write(step.observe(moves, F.count_if("moved").alias("n")), "step")
+        for old in (path, star_path):
+            if old:
+                ws.drop(old)
+        path = new_path
+        if not ties.get.get("n") and not moves.get.get("n"):
+            return e.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
 
 
 def groups_of(batches: Iterator, keys: list[str]) -> Iterator[dict[str, np.ndarray]]:

@@ -222,7 +222,7 @@ def near_duplicate_vectors(rows: DataFrame, cosine: float = 0.98, id_col: str =
     met = met.withColumn("at", F.explode(at)).select("cid", "weight", "tab", "label", "key", "vec", "keys", "at.*")
     met = met.repartition("tab", "label", "key", "left", "right").sortWithinPartitions("tab", "label", "key", "left", "right")
     found = ws.table(met.mapInArrow(_blocks(t, dtype), "cid long, links long, root long"), "links")
-    comp = ws.table(components(ws, found.select("cid", "root"), "cid", "root"), "components")
+    comp = components(ws, found.select("cid", "root"), "cid", "root")
     links = found.groupBy(F.col("cid").alias("i")).agg(F.sum("links").alias("links"))
     per_class = c.join(links, F.col("cid") == F.col("i"), "left").drop("i").join(comp, F.col("cid") == F.col("id"), "left")
     per_class = ws.table(per_class.select("l", "e1", "e2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "cid").alias("component_id")), "results")
