@@ -89,6 +89,14 @@ def grid_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("mesh_id", ((F.col("r") * 63 + F.col("c")) * 2 + F.col("k")).cast("long").alias("fid"), (at + F.col("k")).cast("long").alias("a"), (at + 64).cast("long").alias("b"), (at + 1 + F.col("k") * 64).cast("long").alias("c"))
 
 
+def grid_mesh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Vertices, and the faces whose corners are all there: the last strip may be shorter than the others."""
+    v, f = grid_v(spark, sf_dir), grid_f(spark, sf_dir)
+    for k in "abc":
+        f = f.join(v.select("mesh_id", F.col("vid").alias(k)), ["mesh_id", k], "left_semi")
+    return v, f.select("mesh_id", "fid", "a", "b", "c")
+
+
 def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grid_f(spark, sf_dir)
     return g.where("fid % 37 <> 0").unionAll(g.where("fid % 101 = 0").selectExpr("mesh_id", "fid + 100000", "b", "c", "a")).unionAll(g.where("fid % 211 = 0").selectExpr("mesh_id", "fid + 200000", "a", "b", "10000 + fid"))
@@ -843,12 +851,12 @@ def terra_tin(spark, d):
 
 @query()
 def simplified(spark, d):
-    return _counts(local.simplify_meshes(grid_v(spark, d).where("mesh_id < 4"), grid_f(spark, d).where("mesh_id < 4"), 0.5))
+    return _counts(local.simplify_meshes(*grid_mesh(spark, d), 0.5))
 
 
 @query()
 def uv_map(spark, d):
-    return _counts(local.uv_meshes(grid_v(spark, d).where("mesh_id < 4"), grid_f(spark, d).where("mesh_id < 4"), "mean_value", "square"))
+    return _counts(local.uv_meshes(*grid_mesh(spark, d), "mean_value", "square"))
 
 
 @query()
