@@ -23,12 +23,15 @@ PATTERNS = {
 }
 #: A word with a digit or an at sign: what may turn out to be an identifier.
 CANDIDATE = r"(?:\G|(?<![^\x20\x09-\x0D]))[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Words of digits and their punctuation, one blank between two: identifiers written in groups are runs of these.
+_DIGITS = r"[+(]{0,2}[0-9][().0-9-]*+(?![^\x20\x09-\x0D,;:!?\]}>\"'])"
+GROUPS = rf"(?<![^\x20\x09-\x0D]){_DIGITS}(?:\x20{_DIGITS})++"
 #: What a candidate must look like to become an identifier of a kind.
 SHAPES = {
     "email": r"^[^@]+@[^@]+$",
     "ip": r"^[0-9]+(\.[0-9]+){2,}$",
-    "card": r"^[0-9](-?[0-9]){11,}$",
-    "phone": r"^[+(]?[0-9][().0-9-]{5,}[0-9]$",
+    "card": r"^[0-9]([ -]?[0-9]){11,}$",
+    "phone": r"^[+(]{0,2}[0-9][ ().0-9-]{5,}[0-9]$",
 }
 _CONTEXT = 40
 _BYTE255 = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -53,25 +56,45 @@ def _valid(kind: Column, token: Column) -> Column:
 
 
 def _matches(text: Column, kind: str, pattern: str, first: str) -> Column:
-    """For each match: the length of the text before it (back to the last match), its last word, and the match itself."""
+    """For each match: the length of the text before it (back to the last match), its last word, the match itself, and the first word after it."""
     tail = lambda p: F.lower(F.substring_index(F.rtrim(F.translate(F.substring(p, -_CONTEXT, _CONTEXT), "\t\n\x0b\x0c\r", "     ")), " ", -1))
     parts = F.split(text, pattern, -1)
+    head = lambda p: F.lower(F.substring_index(F.regexp_replace(F.translate(F.substring(p, 1, _CONTEXT), "\t\n\x0b\x0c\r", "     "), r"^[.,;:!?)\]}>\"']*\x20+|^[^\x20].*$", ""), " ", 1))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.zip_with(found, parts, lambda m, p: F.struct(F.lit(kind).alias("kind"), F.length(p).alias("gap"), tail(p).alias("context"), m.alias("token")))
-    none = F.array().cast("array<struct<kind:string,gap:int,context:string,token:string>>")
+    both = F.zip_with(both, F.slice(parts, F.lit(2), F.size(parts)), lambda b, p: F.struct(b["kind"].alias("kind"), b["gap"].alias("gap"), b["context"].alias("context"), b["token"].alias("token"), head(p).alias("after")))
+    none = F.array().cast("array<struct<kind:string,gap:int,context:string,token:string,after:string>>")
     # zip_with goes on to the piece after the last match
     return F.when(text.rlike(first), F.slice(both, F.lit(1), F.size(found))).otherwise(none)
 
 
-def extract_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, confidence: float = 0.8, support: int = 5) -> DataFrame:
+def _runs(groups: DataFrame) -> DataFrame:
+    """Of each group of words of digits: its runs of two words or more with 8 to 19 digits, as candidates."""
+    w = Window.partitionBy("row", "run").orderBy("i")
+    words = groups.withColumn("start0", F.col("start")).select("row", "pos", "run", "start0", "context", "after", F.posexplode(F.split("token", " ")).alias("i", "word"))
+    words = words.withColumns({
+        "start": F.col("start0") + F.coalesce(F.sum(F.length("word") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "context": F.coalesce(F.lag("word").over(w), "context"),
+        # a word has a digit, so 19 words have 19 digits or more; one more follows the longest run
+        "next": F.collect_list("word").over(w.rowsBetween(0, 19)),
+    })
+    runs = words.withColumn("n", F.explode(F.when(F.size("next") > 1, F.sequence(F.lit(2), F.least(F.size("next"), F.lit(19))))))
+    runs = runs.withColumn("after", F.when(F.size("next") > F.col("n"), F.get("next", F.col("n"))).otherwise(F.col("after")))
+    runs = runs.withColumn("token", F.regexp_replace(F.array_join(F.slice("next", 1, F.col("n")), " "), r"[.)-]*$", ""))
+    runs = runs.where(F.length(F.regexp_replace("token", "[^0-9]", "")).between(8, 19))
+    return runs.select("row", "pos", F.lit("group").alias("kind"), F.lit(0).alias("gap"), "context", "token", "after", (F.col("start") + F.length("token")).alias("end"), "start", "run")
+
+
+def extract_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None, confidence: float = 0.8, support: int = 5) -> DataFrame:
     """Personal data in every text: the base spans, and spans found by learned contexts.
 
     Base spans of emails, IP addresses, cards and phone numbers are the seeds.  A lexical pattern is the lower-cased word
-    before an identifier; patterns and instances (words with a digit or an at sign) form a graph in which, for `rounds`
-    rounds, a pattern's confidence for a kind is the mean score of the instances it holds, with one more counted
-    as wrong, and an instance that is no seed scores as its best pattern.  A candidate outside all base spans
-    becomes a span if a pattern with `support` seeds or more gives its kind a confidence of `confidence` or more, and it
-    has the shape of the kind.
+    before or after an identifier; candidates are words with a digit or an at sign, and runs of words of digits (8 to 19
+    digits in all).  In each round patterns are induced anew: those with `support` places or more, of seeds or of tokens
+    learned in earlier rounds, that are `confidence` or more of all their places (and one more counted as wrong); then every
+    candidate beside one that has the shape of its kind makes its token a learned one.  Rounds go on until no token is new,
+    or for `rounds`.  A candidate outside all base spans becomes a span if a pattern of the last round stands beside it and
+    it has the shape; of those that overlap, the one of the greatest confidence (of both sides), then the longest.
 
     Returns doc_id, n_email, n_ip, n_card, n_phone (of the base), base_sha256, spans (`kind:start:end` by kind and start,
     comma-joined; code points, end exclusive) and n_learned.  Null and empty texts have no spans; repeated rows
@@ -81,49 +104,76 @@ def extract_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     first = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
     found = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
-    arrays = [_matches(F.col("t"), k, PATTERNS[k], first[k]) for k in KINDS] + [_matches(F.col("t"), "word", CANDIDATE, "[0-9@]")]
-    none = F.array().cast("array<array<struct<kind:string,gap:int,context:string,token:string>>>")
+    arrays = [_matches(F.col("t"), k, PATTERNS[k], first[k]) for k in KINDS] + [_matches(F.col("t"), "word", CANDIDATE, "[0-9@]"), _matches(F.col("t"), "group", GROUPS, r"[().0-9-]\x20[+(]*[0-9]")]
+    none = F.array().cast("array<array<struct<kind:string,gap:int,context:string,token:string,after:string>>>")
     rows = found.select("doc_id", F.when(F.col("t").rlike("[0-9@]"), F.array(*arrays)).otherwise(none).alias("found")).withColumn("row", F.monotonically_increasing_id())
     rows = ws.table(rows, "found")
     each = rows.select("row", F.explode("found").alias("ms")).select("row", F.posexplode("ms").alias("pos", "m")).select("row", "pos", "m.*")
     w = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("token")).over(w)
     spans = each.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - F.length("token")).where(_valid(F.col("kind"), F.col("token")))
+    spans = spans.withColumn("run", F.when(F.col("kind") == "group", F.col("start")))
+    spans = spans.where("kind <> 'group'").unionByName(_runs(spans.where("kind = 'group'")))
     # a word counts without the punctuation around it
     lead = F.length(F.regexp_extract("token", r"^[(\[{<\"']*", 0))
     trail = F.length(F.regexp_extract("token", r"[.,;:!?)\]}>\"']*$", 0))
     word = F.col("kind") == "word"
+    spans = spans.withColumn("at", F.col("start"))
     spans = spans.withColumns({"start": F.when(word, F.col("start") + lead).otherwise(F.col("start")), "end": F.when(word, F.col("end") - trail).otherwise(F.col("end"))})
     spans = spans.withColumn("token", F.when(word, F.regexp_replace("token", r"^[(\[{<\"']*|[.,;:!?)\]}>\"']*$", "")).otherwise(F.col("token"))).where("start < end")
-    spans = ws.table(spans.select("row", "kind", "start", "end", "context", "token"), "spans")
-    base = spans.where("kind <> 'word'")
+    spans = ws.table(spans.select("row", "kind", "at", "start", "end", "run", "context", "after", "token"), "spans")
+    base = spans.where("kind not in ('word', 'group')")
 
     # words that touch no base span: the last end of a base span that starts no later, the first start of one that follows
     line = Window.partitionBy("row").orderBy("start")
-    is_base = F.col("kind") != "word"
+    is_base = ~F.col("kind").isin("word", "group")
     reach = F.max(F.when(is_base, F.col("end"))).over(line.rangeBetween(Window.unboundedPreceding, 0))
     ahead = F.min(F.when(is_base, F.col("start"))).over(line.rangeBetween(0, Window.unboundedFollowing))
     free = spans.withColumns({"reach": reach, "ahead": ahead}).where(~is_base & (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce("ahead", F.col("end")) >= F.col("end")))
-    free = ws.table(free.where("context <> ''").select("row", "start", "end", "context", "token"), "words")
-
-    seeds = base.where("context <> ''").groupBy("context", "kind").agg(F.count(F.lit(1)).alias("seeds"))
-    # words are counted by context and token, so that the rounds read counts and no occurrences
-    pairs = ws.table(free.groupBy("context", "token").agg(F.count(F.lit(1)).alias("n")), "pairs")
-    total = seeds.groupBy("context").agg(F.sum("seeds").alias("n")).unionByName(pairs.groupBy("context").agg(F.sum("n").alias("n"))).groupBy("context").agg(F.sum("n").alias("total"))
-    graph = ws.table(seeds.join(total, "context").where(F.col("seeds") >= support), "patterns")
-    scored = graph.select("context", "kind", (F.col("seeds") / (F.col("total") + 1.0)).alias("confidence"))
-    for _ in range(rounds - 1):
-        held = pairs.join(scored.withColumnRenamed("confidence", "c"), "context").select("token", "kind", "c").groupBy("token", "kind").agg(F.max("c").alias("score"))
-        held = ws.table(held.where(F.col("score") >= confidence / 2), "instances")
-        gain = pairs.join(held, "token").groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("gain"))
-        scored = graph.join(gain, ["context", "kind"], "left").select("context", "kind", ((F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / (F.col("total") + 1.0)).alias("confidence"))
-        scored = ws.table(scored, "scores")
-    sure = ws.table(scored.where(F.col("confidence") >= confidence).select(F.col("context").alias("pattern"), "kind", "confidence"), "sure")
+    free = ws.table(free.select("row", "at", "start", "end", "run", "context", "after", "token"), "words")
+
+    # a place is a start of candidates (side 0, the word before) or an end (side 1, the word after)
+    sides = lambda: F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("context").alias("word"), F.col("at").alias("place")), F.struct(F.lit(1).alias("side"), F.col("after").alias("word"), F.col("end").alias("place"))))
+    seeds = base.withColumn("at", F.col("start")).select("kind", sides().alias("p")).select("kind", "p.side", "p.word").where("word <> ''").groupBy("side", "word", "kind").agg(F.count(F.lit(1)).alias("n"))
+    seeds = ws.table(seeds, "seeds")
+    beside = ws.table(free.select("row", "token", sides().alias("p")).select("row", "token", "p.*").where("word <> ''"), "places")
+    places = beside.select("side", "word", "row", "place").distinct().groupBy("side", "word").agg(F.count(F.lit(1)).alias("n"))
+    total = seeds.groupBy("side", "word").agg(F.sum("n").alias("n")).unionByName(places).groupBy("side", "word").agg(F.sum("n").alias("total"))
+    total = ws.table(total.where(F.col("total") >= support), "totals")
+    digits = F.length(F.regexp_replace("token", "[^0-9]", ""))
     fits = F.lit(False)
     for k in KINDS:
-        fits = fits | ((F.col("kind") == k) & F.col("token").rlike(SHAPES[k]))
-    learned = free.join(sure, F.col("context") == F.col("pattern")).where(fits)
-    learned = learned.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+        fits = fits | ((F.col("kind") == k) & F.col("token").rlike(SHAPES[k]) & ((F.lit(k) != "phone") | ~F.col("token").contains(" ") | (digits <= 15)))
+    pairs = ws.table(beside.select("side", "word", "token").distinct(), "pairs")
+
+    known, count, turn = None, 0, 0
+    while True:
+        held = seeds
+        if known is not None:
+            more = beside.join(known, "token").select("side", "word", "kind", "row", "place").distinct().groupBy("side", "word", "kind").agg(F.count(F.lit(1)).alias("n"))
+            held = seeds.unionByName(more).groupBy("side", "word", "kind").agg(F.sum("n").alias("n"))
+        sure = held.where(F.col("n") >= support).join(total, ["side", "word"]).withColumn("confidence", F.col("n") / (F.col("total") + 1.0))
+        sure = ws.table(sure.where(F.col("confidence") >= confidence).select("side", "word", "kind", "confidence"), "sure")
+        turn += 1
+        if turn == rounds:
+            break
+        # places and totals stay as they are, so patterns and tokens only grow
+        known = ws.table(pairs.join(sure, ["side", "word"]).where(fits).select("token", "kind").distinct(), "instances")
+        last, count = count, known.count()
+        if count == last:
+            break
+    marks = free.select("row", "start", "end", "run", "token", sides().alias("p")).select("row", "start", "end", "run", "token", "p.side", "p.word")
+    learned = marks.join(sure, ["side", "word"]).where(fits).groupBy("row", "start", "end", "kind").agg(F.sum("confidence").alias("c"))
+    # candidates that overlap are words of one line of touching candidates
+    learned = learned.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("c", "kind")).alias("kind"), F.max("c").alias("c"))
+    before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    learned = learned.withColumn("new", (F.col("start") >= F.coalesce(F.max("end").over(before), F.lit(0))).cast("int"))
+    learned = learned.withColumn("line", F.sum("new").over(Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), (F.col("start") - F.col("end")).alias("size"), "start", "end", "kind")))
+    clash = lambda kept, x: F.exists(kept, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    none = F.array().cast("array<struct<c:double,size:bigint,start:bigint,end:bigint,kind:string>>")
+    learned = learned.groupBy("row", "line").agg(ranked.alias("all"))
+    learned = learned.select("row", F.explode(F.aggregate("all", none, lambda kept, x: F.when(clash(kept, x), kept).otherwise(F.concat(kept, F.array(x))))).alias("s")).select("row", "s.start", "s.end", "s.kind")
 
     both = base.select("row", "kind", "start", "end", F.lit(True).alias("base")).unionByName(learned.select("row", "kind", "start", "end", F.lit(False).alias("base")))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))

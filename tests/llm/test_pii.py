@@ -74,5 +74,24 @@ def test_learned_context(spark):
     assert got[101].spans == ""
 
 
+def test_patterns_of_learned_instances(spark):
+    """A learned number makes the word before its other places a pattern, and so on; numbers may be of several words."""
+    rows = [(i, f"please write Hotline: +1 (386) 555-{1000 + i} then") for i in range(200)]
+    rows += [(1000 + i, f"the Hotline: 555-123-40{i:02d}, always") for i in range(40)]
+    rows += [(1200 + i, f"see Desk: 555-123-40{i:02d} later") for i in range(40)]
+    rows += [(1300 + i, f"or Desk: 555-777-60{i:02d}, or") for i in range(8)] + [(1400 + i, f"a Bell: 555-777-60{i:02d}, b") for i in range(8)] + [(500, "our Bell: 555-888-7000, yes")]
+    rows += [(600, "the Hotline: 555 123 9999, always"), (601, "the Hotline: +1 (826) 555-4081 190.137.223.204 end"), (602, "nothing 555-888-7001, here")]
+    got = {r.doc_id: r for r in extract_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1200].spans == "phone:10:22" and got[500].spans == "phone:10:22" and got[600].spans == "phone:13:25"
+    assert got[601].spans == "ip:31:46,phone:13:30" and got[601].n_learned == 1 and got[601].n_phone == 0
+    assert got[602].spans == ""
+
+
+def test_word_after(spark):
+    rows = [(i, f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} +1 (386) 555-{1000 + i} (callback)") for i in range(30)] + [(100, "so 555-123-4567 (callback)")]
+    got = {r.doc_id: r for r in extract_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100].spans == "phone:3:15"
+
+
 def test_empty(spark):
     assert extract_pii(spark.createDataFrame([], "doc_id long, text string, row int, kind string")).collect() == []
