@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
-from collections import defaultdict
+from bisect import bisect_left, insort
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,18 +16,25 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, numbered
 
-_ENCODERS: dict[str, object] = {}
+_ENCODERS: dict[tuple, object] = {}
 
 
-def encoder(path: str, pattern: str):
-    """A byte-level BPE encoder from a file of ranks, kept by worker; it has no special tokens, so every text is plain text."""
-    if path not in _ENCODERS:
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's JSON file, by their strings: wherever a text holds one, it is that one token."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def encoder(path: str, pattern: str, added: dict[str, int] | None = None):
+    """A byte-level BPE encoder from a file of ranks and the added tokens, kept by worker."""
+    key = path, pattern, tuple(sorted((added or {}).items()))
+    if key not in _ENCODERS:
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path]
+        _ENCODERS[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
+    return _ENCODERS[key]
 
 
 def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -37,18 +46,18 @@ def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
         yield at, at + capacity
 
 
-def pieces(docs: DataFrame, ranks: str, pattern: str, end_id: int, capacity: int, id_col: str, text_col: str) -> DataFrame:
+def pieces(docs: DataFrame, ranks: str, pattern: str, added: dict[str, int] | None, end_id: int, capacity: int, id_col: str, text_col: str) -> DataFrame:
     """Token pieces of each document with an end token: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks, pattern)
+        enc = encoder(ranks, pattern, added)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             seen: dict[str, list] = {}  # copies within a batch are encoded once
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
                 if (rows := seen.get(text)) is None:
-                    ids = np.append(enc.encode_to_numpy(text, disallowed_special=()).astype("<u4"), np.uint32(end_id)).astype("<u4")
+                    ids = np.append(enc.encode_to_numpy(text, allowed_special="all").astype("<u4"), np.uint32(end_id)).astype("<u4")
                     rows = seen[text] = [(k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(cut(len(ids), capacity))]
                 for row in rows:
                     for column, value in zip(out, (doc, *row), strict=True):
@@ -70,16 +79,16 @@ def plan(counts: dict[int, int], capacity: int, reserve: int = 2) -> list[tuple[
     c = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         c[length] += n
+    spare = c > reserve  # lengths of which pairs and triples may still take
     made: list[tuple[tuple[int, ...], int]] = []
 
     def take(pattern: tuple[int, ...]) -> None:
-        need: dict[int, int] = defaultdict(int)
-        for x in pattern:
-            need[x] += 1
+        need = Counter(pattern)
         n = min(max(0, int(c[x]) - (reserve if len(pattern) > 2 else 0)) // k for x, k in need.items())
-        for x, k in need.items():
-            c[x] -= n * k
         if n:
+            for x, k in need.items():
+                c[x] -= n * k
+                spare[x] = c[x] > reserve
             made.append((pattern, n))
 
     rest: dict[int, int] = {}
@@ -89,44 +98,54 @@ def plan(counts: dict[int, int], capacity: int, reserve: int = 2) -> list[tuple[
         gap = capacity - first
         if c[first] and gap <= first:
             take((first, gap))
-        if c[first]:  # pairs, the larger piece first
+        if spare[first]:  # pairs, the larger piece first
             a = np.arange(gap - 1, (gap - 1) // 2, -1)
-            for x in a[(c[a] > 0) & (c[gap - a] > 0)]:
-                if not c[first]:
+            for x in a[spare[a] & spare[gap - a]].tolist():
+                if not spare[first]:
                     break
-                take((first, int(x), gap - int(x)))
-        if c[first] and gap >= 3:
-            for x in range(gap - 2, (gap - 1) // 3, -1):
-                if not c[first]:
+                take((first, x, gap - x))
+        if spare[first] and gap >= 3:
+            left = np.flatnonzero(spare[(gap - 1) // 3 + 1 : gap - 1])[::-1] + (gap - 1) // 3 + 1
+            for x in left.tolist():
+                if not spare[first]:
                     break
-                if not c[x]:
-                    continue
                 b = np.arange(min(x, gap - x - 1), (gap - x - 1) // 2, -1)
-                for y in b[(c[b] > 0) & (c[gap - x - b] > 0)]:
-                    if not c[first] or not c[x]:
+                for y in b[spare[b] & spare[gap - x - b]].tolist():
+                    if not spare[first] or not spare[x]:
                         break
-                    take((first, x, int(y), gap - x - int(y)))
+                    take((first, x, y, gap - x - y))
         if c[first]:
             rest[first] = int(c[first])
             c[first] = 0
+            spare[first] = False
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)  # by gap
+    gaps: list[int] = []  # those with open sequences, sorted
+
+    def opened(gap: int, pattern: tuple[int, ...], n: int) -> None:
+        if not open_[gap]:
+            insort(gaps, gap)
+        open_[gap].append((pattern, n))
+
     for length in sorted(rest, reverse=True):
         left = rest[length]
         while left:
-            gap = next((g for g in range(length, capacity) if open_.get(g)), None)
-            if gap is None:
+            at = bisect_left(gaps, length)
+            if at == len(gaps) or gaps[at] >= capacity:
                 each = capacity // length
                 full, some = divmod(left, each)
                 for k, n in ((each, full), (some, 1)):
                     if k and n:
-                        open_[capacity - k * length].append(((length,) * k, n))
+                        opened(capacity - k * length, (length,) * k, n)
                 left = 0
             else:
+                gap = gaps[at]
                 pattern, n = open_[gap].pop()
                 k = min(n, left)
                 if n > k:
                     open_[gap].append((pattern, n - k))
-                open_[gap - length].append(((*pattern, length), k))
+                if not open_[gap]:
+                    del gaps[at]
+                opened(gap - length, (*pattern, length), k)
                 left -= k
     return made + [x for group in open_.values() for x in group]
 
@@ -145,16 +164,18 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
 
 
-def pack(docs: DataFrame, ranks: str, pattern: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, ranks: str, pattern: str, added: dict[str, int] | None = None, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs all documents into few sequences of at most `capacity` tokens.
 
+    Ids are those of the ranks and the split `pattern`; a string of `added` is that token wherever it stands.
+
     Returns a row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset.  A null or empty text is
     its end token alone; repeated rows are packed each; an empty table gives no rows.  The driver holds the histogram of
     lengths (at most `capacity` rows) and the patterns made of it; pieces get their rank within their length, and so their
     place, without meeting in one task.
     """
     ws = Workspace(docs.sparkSession, "packing")
-    cut_ = ws.table(pieces(docs, ranks, pattern, end_id, capacity, id_col, text_col), "pieces")
+    cut_ = ws.table(pieces(docs, ranks, pattern, added, end_id, capacity, id_col, text_col), "pieces")
     counts = {r[0]: r[1] for r in cut_.groupBy("length").count().collect()}
     where = slots(plan(counts, capacity))
     buckets = min(4096, max(64, max(counts.values(), default=0) // 50_000))

@@ -11,7 +11,7 @@ from .embeddings import near_duplicate_vectors
 from .linededup import drop_boilerplate_lines
 from .neardup import near_duplicates
 from .ngram import score_documents as score_language
-from .packing import pack
+from .packing import added_tokens, pack
 from .pii import extract_pii
 from .quality import score_documents, train
 from .sharding import shard_documents, topology
@@ -51,7 +51,8 @@ def op6_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added)
 
 
 def op8_near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Packing: places are sound, ids equal those of the tokenizers library, and few sequences are used."""
 
+import time
 import zlib
 from collections import defaultdict
 
@@ -9,14 +10,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quadspark.llm.packing import pack, plan
+from quadspark.llm.packing import added_tokens, pack, plan
 
-PATHS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+PATHS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check(rows, texts, capacity):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -42,7 +42,7 @@ def check(rows, texts, capacity):
 
 
 def test_edges(spark):
-    texts = {1: None, 2: "", 3: "a", 4: "word " * 3000, 5: "x" * 3000, 6: "<|endoftext|> é😀\n\n  ", 7: " " * 2000, 8: "y " * 1022, 9: "y " * 1023}
+    texts = {1: None, 2: "", 3: "a", 4: "word " * 3000, 5: "x" * 3000, 6: "<|endoftext|> é😀\n\n  ", 7: " " * 2000, 8: "y " * 1022, 9: "y " * 1023, 10: "hi <|endoftext|> there<|endoftext|><|endoftext|>x<|endoftext", 11: "a<|endoftext|>" * 900}
     rows = pack(spark.createDataFrame([(k, v, 0) for k, v in texts.items()], "doc_id long, text string, length int"), *PATHS).collect()
     check(rows, texts, 1024)
 
@@ -69,3 +69,19 @@ def test_plan_uses_each_piece_once(counts):
         for x in pattern:
             used[x] += n
     assert used == counts
+
+
+def test_plan_of_a_large_histogram():
+    """Few sequences, and in time: the driver waits for it."""
+    rng = np.random.default_rng(6)
+    lengths = np.minimum(1024, rng.lognormal(5.5, 1.2, 100_000).astype(int) + 1)
+    counts = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+    began = time.process_time()
+    made = plan(counts, 1024)
+    assert time.process_time() - began < 1
+    used = defaultdict(int)
+    for pattern, n in made:
+        for x in pattern:
+            used[x] += n
+    assert used == counts
+    assert sum(n for _, n in made) <= -(-int(lengths.sum()) // 1024) + 2
