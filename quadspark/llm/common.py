@@ -10,21 +10,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Read from `spark.checkpoint.dir`; where the cluster names none (tests, local mode) a temporary folder is set once.
+    Read from `spark.checkpoint.dir`; where none is named a temporary folder is set once, in local mode only: on a cluster
+    no other machine would see it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quadspark-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
+def as_long(df: DataFrame, name: str) -> Column:
+    """An id column as long: integers by their value, of other types what a lenient cast gives (null where there is none)."""
+    return F.expr(f"try_cast(`{name}` as bigint)") if not isinstance(df.schema[name].dataType, T.LongType) else F.col(f"`{name}`")
+
+
 class Workspace:
     """Tables of one operator call in the shared folder.  Written tables cut lineage and survive lost executors."""
 
@@ -74,39 +83,48 @@ def numbered(df: DataFrame, group: list[Column | str], order: list[str], out: st
 
 
 def _small_star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of edges (u, v), v < u, sorted by both: u's least neighbour, and an edge of each other neighbour to that one."""
+    """Of edges (u, v) with a part, v < u, sorted by u, part and v: u's least neighbour of each part, and an edge of each other
+    neighbour of the part to that one."""
     last, least, before = None, 0, 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        u, v, part = (batch.column(k).to_numpy() for k in range(3))
         new = np.ones(len(u), dtype=bool)
-        new[1:] = u[1:] != u[:-1]
-        new[0] = last is None or u[0] != last
+        new[1:] = (u[1:] != u[:-1]) | (part[1:] != part[:-1])
+        new[0] = last is None or (u[0], part[0]) != last
         at = np.maximum.accumulate(np.where(new, np.arange(len(u)), -1))
         low = np.where(at >= 0, v[np.maximum(at, 0)], least)
         again = np.zeros(len(u), dtype=bool)
         again[1:] = ~new[1:] & (v[1:] == v[:-1])
         again[0] = not new[0] and v[0] == before
         other = ~new & ~again & (v != low)
-        last, least, before = u[-1], low[-1], v[-1]
+        last, least, before = (u[-1], part[-1]), low[-1], v[-1]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((u[new], v[other]))), pa.array(np.concatenate((v[new], low[other]))), pa.array(np.concatenate((np.ones(new.sum(), bool), np.zeros(other.sum(), bool))))], ["u", "v", "own"])
 
 
+PARTS = 16  # tasks over which the edges of one end are dealt at first
+
+
 def components(ws: Workspace, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest id of the connected component of every id that has an edge to another: columns id, component_id.
 
     Each round sorts the edges by their larger end, ties every id to its least neighbour and its other neighbours to that
     one, and then moves every edge on to the least neighbour of its smaller end, which halves the way to the root.  It ends
-    when nothing is left to tie or to move; the number of rounds grows with the logarithm of a component's diameter.  The
-    edges of a round are tables, so both sides of its join have plain exchanges, which adaptive execution splits at a hub.
+    when nothing is left to tie or to move; the number of rounds grows with the logarithm of a component's diameter.  An id
+    with many edges is tied in parts first, each in a task of its own, then by the parts' least.  The edges of a round are
+    tables, so both sides of its join have plain exchanges, which adaptive execution splits at a hub.
     """
     spark = ws.spark
     e, path = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v"), None
+    schema = "u long, v long, own boolean"
+
+    def tied(df: DataFrame, part: Column) -> DataFrame:
+        return df.select("u", "v", part.cast("long").alias("part")).repartition(parallelism(spark), "u", "part").sortWithinPartitions("u", "part", "v").mapInArrow(_small_star, schema)
+
     while True:
         ties, moves = Observation(), Observation()
-        star = e.repartition(parallelism(spark), "u").sortWithinPartitions("u", "v").mapInArrow(_small_star, "u long, v long, own boolean")
-        star, star_path = ws.write(star.observe(ties, F.count_if(~F.col("own")).alias("n")), "star")
+        star, star_path = ws.write(tied(tied(e, F.pmod(F.xxhash64("v"), F.lit(PARTS))), F.lit(0)).observe(ties, F.count_if(~F.col("own")).alias("n")), "star")
         up = star.where("own").select(F.col("u").alias("k"), F.col("v").alias("p"))
         step = star.select("u", "v").join(up, F.col("v") == F.col("k"), "left").select("u", F.coalesce("p", "v").alias("v"), F.col("p").isNotNull().alias("moved"))
         e, new_path = ws.write(step.observe(moves, F.count_if("moved").alias("n")), "step")
@@ -114,6 +132,7 @@ def components(ws: Workspace, edges: DataFrame, a: str = "a", b: str = "b") -> D
             if old:
                 ws.drop(old)
         path = new_path
+        # one edge for every id, to one that has none: no parts' ties are left either
         if not ties.get.get("n") and not moves.get.get("n"):
             return e.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
 

@@ -66,3 +66,29 @@ def test_parameters():
     t = Tables.for_rows(10**9, 0.98)
     assert t.k > Tables.for_rows(1000, 0.98).k == 2
     assert (1 - t.same_cell(t.radius) ** t.k) ** t.tables <= t.miss and t.count < t.lines
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    v, far = [1.0, 2.0, 3.0], [3.0, -1.0, 0.0]
+    rows = [(1, v, 1), (1, far, 1), (2, [1.0, 2.0, 3.01], 1), (3, [3.0, -1.0, 0.01], 1), (1, v, 2), (9, v, 3)]
+    df = spark.createDataFrame([(*r, "x", 4, 5, [6]) for r in rows], "vec_id long, embedding array<double>, label int, key string, cid long, kept int, vec array<int>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(df).collect())
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (9, 0, 9, True)]
+    text = spark.createDataFrame([("5", v, "a"), ("07", v, "a"), ("x", v, "a")], "vec_id string, embedding array<double>, label string")
+    assert sorted((str(r.vec_id), r.n_links, r.component_id) for r in near_duplicate_vectors(text).collect()) == [("5", 1, 5), ("7", 1, 5), ("None", 0, None)]
+
+
+def test_windows_hold_every_pair():
+    """Pairs of a block are those of the table's window with enough collisions, each once."""
+    t = Tables.for_rows(1000, 0.98)
+    rng = np.random.default_rng(2)
+    q = rng.integers(-20, 20, (300, t.lines)).astype(np.int16)
+    q[200:] = q[:100] + rng.integers(-3, 4, (100, t.lines)).astype(np.int16)
+    near = np.abs(q[:, None] - q[None]) <= t.window
+    want = near[:, :, 5] & (near.sum(axis=2) >= t.count)
+    every = np.arange(300)
+    i, j = t.met(5, q, every, every)
+    assert len(i) and sorted(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist(), strict=True)) == [(a, b) for a in range(300) for b in range(a + 1, 300) if want[a, b]]
+    a, b = every[:150], every[150:]
+    i, j = t.met(5, q, a, b)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(x, y) for x in a for y in b if want[x, y]]
