@@ -34,11 +34,21 @@ def as_long(df: DataFrame, name: str) -> Column:
     return F.expr(f"try_cast(`{name}` as bigint)") if not isinstance(df.schema[name].dataType, T.LongType) else F.col(f"`{name}`")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class Workspace:
-    """Tables of one operator call in the shared folder.  Written tables cut lineage and survive lost executors."""
+    """Tables of one operator call in the shared folder.  Written tables cut lineage and survive lost executors; those that
+    the result does not read are deleted by `clear`, the rest when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
+        self.tables: list[tuple[str, str]] = []
 
     def new(self, name: str) -> str:
         self.n += 1
@@ -47,15 +57,27 @@ class Workspace:
     def write(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
         path = self.new(name)
         df.write.parquet(path)
+        if not self.tables:
+            self._on_path(self.path, "deleteOnExit")
+        self.tables.append((name, path))
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         return self.write(df, name)[0]
 
+    def _on_path(self, path: str, method: str, *more) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        getattr(p.getFileSystem(self.spark._jsc.hadoopConfiguration()), method)(p, *more)
+
     def drop(self, path: str) -> None:
         """Deletes a table that no later step reads."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self._on_path(path, "delete", True)
+
+    def clear(self, *keep: str) -> None:
+        """Deletes all tables but those of the names that the result reads."""
+        for name, path in self.tables:
+            if name not in keep:
+                self.drop(path)
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from .common import Workspace
 from .textops import lower_table, runs, string_buffers
 
 _BITS = 20
@@ -26,16 +29,37 @@ def normal(text: str) -> str:
     return " ".join(w for w in text.translate(_PLAIN).split(" ") if w)
 
 
+WORD = 10  # items of fewer characters count only where they stand as whole words
+
+
 @dataclass
 class Item:
-    item_id: int
+    item_id: object
     text: str
     budget: int
 
-    def __post_init__(self):
-        self.masks: dict[str, int] = {}
+    @cached_property
+    def masks(self) -> dict[str, int]:
+        out: dict[str, int] = {}
         for i, c in enumerate(self.text):
-            self.masks[c] = self.masks.get(c, 0) | 1 << i
+            out[c] = out.get(c, 0) | 1 << i
+        return out
+
+    @property
+    def shortest(self) -> int:
+        """Bytes of the shortest piece, which the index looks up; 8 at most."""
+        return min(8, *(len(p) for p, _ in self.pieces()))
+
+    def pieces(self) -> list[tuple[bytes, int]]:
+        """The budget + 1 pieces and where they start, as even as they get; an item of no more characters is one piece a character."""
+        n = min(self.budget + 1, len(self.text))
+        cuts = [len(self.text) * i // n for i in range(n + 1)]
+        return [(self.text[a:b].encode(), a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def whole(self, text: str, at: int) -> bool:
+        """Whether the item stands at a place unchanged and as whole words."""
+        end = at + len(self.text)
+        return text.startswith(self.text, at) and not (at and text[at - 1].isalnum() and self.text[0].isalnum()) and not (end < len(text) and text[end].isalnum() and self.text[-1].isalnum())
 
 
 def myers(masks: dict[str, int], m: int, text: str) -> list[int]:
@@ -79,10 +103,7 @@ class Index:
 
     def __init__(self, items: list[Item]):
         self.items = items
-        rows = []
-        for k, it in enumerate(items):
-            cuts = [len(it.text) * i // (it.budget + 1) for i in range(it.budget + 2)]
-            rows += [(it.text[a:b].encode(), k, a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        rows = [(piece, k, a) for k, it in enumerate(items) for piece, a in it.pieces()]
         self.q = min(8, *(len(p) for p, _, _ in rows)) if rows else 8
         self.mask = np.uint64((1 << 8 * self.q) - 1)
         key = lambda b: int.from_bytes(b[:8].ljust(8, b"\0"), "little")
@@ -90,6 +111,7 @@ class Index:
         self.piece = [p for p, _, _ in rows]
         self.head = np.array([key(p[: self.q]) for p in self.piece], dtype=np.uint64)
         self.length = np.array([len(p) for p in self.piece], dtype=np.int64)
+        self.start = np.array([key(p) for p in self.piece], dtype=np.uint64)
         self.tail = np.array([key(p[-8:]) for p in self.piece], dtype=np.uint64)
         self.item = np.array([r[1] for r in rows], dtype=np.int64)
         self.before = np.array([r[2] for r in rows], dtype=np.int64)
@@ -97,7 +119,7 @@ class Index:
         self.slack = np.array([4 * it.budget for it in items], dtype=np.int64)
         self.size = np.array([len(it.text.encode()) for it in items], dtype=np.int64)
         # an edit takes away 3 of an item's byte 4-grams and one more for each byte of the character
-        self.need = np.array([n - 3 - (3 + max(len(c.encode()) for c in it.masks)) * it.budget for it, n in zip(items, self.size.tolist(), strict=True)], dtype=np.int64)
+        self.need = np.array([n - 3 - (3 + max(len(c.encode()) for c in set(it.text))) * it.budget for it, n in zip(items, self.size.tolist(), strict=True)], dtype=np.int64)
         self.grams = np.zeros(1 << _GRAM_BITS, dtype=bool)
         for k, it in enumerate(items):
             b = np.frombuffer(it.text.encode(), dtype=np.uint8).astype(np.uint64)
@@ -150,8 +172,10 @@ class Index:
         ok = pos + size <= off[doc + 1]
         long = ok & (size >= 8)
         ok[long] = b8[(pos + size - 8)[long]] == self.tail[piece[long]]
-        # two windows of 8 bytes cover pieces of 8 to 16; others are compared whole
-        for i in np.flatnonzero(ok & ((size > 16) | ((size < 8) & (size > self.q)))):
+        short = np.minimum(size, 8).astype(np.uint64)
+        ok &= (b8[pos] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * short))) == self.start[piece]
+        # two windows of 8 bytes cover pieces of up to 16; longer ones are compared whole
+        for i in np.flatnonzero(ok & (size > 16)):
             ok[i] = data[pos[i] : pos[i] + size[i]].tobytes() == self.piece[piece[i]]
         doc, pos, piece = doc[ok], pos[ok], piece[ok]
         ok = self.alike(b4, off, doc, pos, piece)
@@ -188,6 +212,9 @@ class Index:
                 start = chars[pos[g] - foff[d]] - 1 - self.before[piece[g]]
                 best, lo, hi = None, -1, -1
                 spans = []
+                if m < WORD and not k:
+                    best, lo, hi = next(((0, s, s + m) for s in np.unique(start).tolist() if it.whole(text, s)), (None, -1, -1))
+                    start = start[:0]
                 for s in np.unique(start).tolist():
                     a, b = max(0, s - k), min(len(text), s + m + k)
                     if spans and a <= spans[-1][1]:
@@ -206,13 +233,20 @@ class Index:
                     yield i + d, int(item[g[0]]), best, before, before + int(((data[b0 : b1 + 1] & 0xC0) != 0x80).sum())
 
 
-def _blocks(benchmark: DataFrame, ratio: float, min_chars: int, block_chars: int) -> Iterator[list[Item]]:
+def _indexes(items: list[Item]) -> list[Index]:
+    """Items whose shortest pieces are of one length share an index: a short item does not shorten the keys of the others."""
+    by: dict[int, list[Item]] = {}
+    for it in items:
+        by.setdefault(it.shortest, []).append(it)
+    return [Index(x) for _, x in sorted(by.items())]
+
+
+def _blocks(benchmark: DataFrame, ratio: float, block_chars: int) -> Iterator[list[Item]]:
     """Items in blocks of about `block_chars` characters, which bounds what the driver and each worker hold."""
     held: list[Item] = []
     size = 0
     for r in benchmark.select("item_id", "text").where("text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
-        text = normal(r.text)
-        if len(text) >= min_chars:
+        if text := normal(r.text):
             held.append(Item(r.item_id, text, int(ratio * len(text))))
             size += len(text)
         if size >= block_chars:
@@ -222,45 +256,59 @@ def _blocks(benchmark: DataFrame, ratio: float, min_chars: int, block_chars: int
         yield held
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.1, min_chars: int = 40, block_chars: int = 4_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.1, block_chars: int = 4_000_000) -> DataFrame:
     """Benchmark items found in documents within an edit distance of `ratio` of the item's length.
 
     Both sides are compared with A-Z in lower case and white space runs as one space.  Each pair of a row and an item that
-    match has one row: doc_id, item_id, distance, budget, match_start and match_end (code points of the document's text, of
-    the best match).  Items of fewer than `min_chars` characters and null items are not searched; items that repeat an id
-    with another text match each on its own; null and empty documents match nothing; repeated rows match each.  The items
-    go to the workers in blocks of bounded size, and every block is held against all documents.
+    match has one row: doc_id, item_id (both of the tables' own types), distance, budget, match_start and match_end (code
+    points of the document's text, of the best match).  Items of every length are searched; those without an error to
+    spare have one piece, and those of fewer than 10 characters must also stand as whole words.  Null and blank items
+    match nothing; items that repeat an id with another text match each on its own; null and empty documents match
+    nothing; repeated rows match each.  The items go to the workers in blocks of bounded size, and every block is held
+    against all documents; with more than one block each block's rows are written before the next is sent.
     """
     spark = docs.sparkSession
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType), *(T.StructField(k, T.LongType()) for k in ("distance", "budget", "match_start", "match_end"))])
-    out = spark.createDataFrame([], schema)
-    for block in _blocks(benchmark, ratio, min_chars, block_chars):
+    item_type = to_arrow_type(schema["item_id"].dataType)
+    out, last, ws = spark.createDataFrame([], schema), None, None
+    for block in _blocks(benchmark, ratio, block_chars):
+        if last is not None:
+            ws = ws or Workspace(spark, "leaks")
+            out = out.union(ws.table(last[0], "found"))
+            last[1].unpersist()
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+            indexes = _indexes(shared.value)
             for batch in batches:
-                rows = list(index.matches(batch.column(1)))
-                ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
-                item = [index.items[r[1]] for r in rows]
-                more = [[x.budget for x in item] if k < 0 else [r[k] for r in rows] for k in (2, -1, 3, 4)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array([x.item_id for x in item], pa.int64()), *(pa.array(x, pa.int64()) for x in more)], ["doc_id", "item_id", "distance", "budget", "match_start", "match_end"])
-
-        out = out.union(docs.select("doc_id", "text").mapInArrow(run, schema))
-    return out
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.1, min_chars: int = 40, block_chars: int = 4_000_000) -> DataFrame:
-    """The documents in which `find_leaks` finds nothing, with all their columns and without a shuffle."""
-    columns = docs.columns
-    for block in _blocks(benchmark, ratio, min_chars, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+                for index in indexes:
+                    rows = list(index.matches(batch.column(1)))
+                    ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+                    item = [index.items[r[1]] for r in rows]
+                    more = [[x.budget for x in item] if k < 0 else [r[k] for r in rows] for k in (2, -1, 3, 4)]
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([x.item_id for x in item], item_type), *(pa.array(x, pa.int64()) for x in more)], ["doc_id", "item_id", "distance", "budget", "match_start", "match_end"])
+
+        last = docs.select("doc_id", "text").mapInArrow(run, schema), shared
+    return out if last is None else last[0] if ws is None else out.union(ws.table(last[0], "found"))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.1, block_chars: int = 4_000_000) -> DataFrame:
+    """The documents in which `find_leaks` finds nothing, with all their columns and without a shuffle.  With more than one
+    block of items what each block leaves is written before the next is sent, so a worker holds one block."""
+    at, last, ws = docs.columns.index("text"), None, None
+    for block in _blocks(benchmark, ratio, block_chars):
+        if last is not None:
+            ws = ws or Workspace(docs.sparkSession, "leaks")
+            docs = ws.table(docs, "left")
+            last.unpersist()
+        last = shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+            indexes = _indexes(shared.value)
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
-                keep[[r[0] for r in index.matches(batch.column(columns.index("text")))]] = False
+                for index in indexes:
+                    keep[[r[0] for r in index.matches(batch.column(at))]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -296,6 +296,7 @@ def near_duplicate_vectors(rows: DataFrame, cosine: float = 0.98, id_col: str =
     c = classes.select("cid", "weight", F.col("label").alias("l"), F.col("d1").alias("e1"), F.col("d2").alias("e2"))
     per_class = c.join(links, (F.col("cid") == F.col("i")) & (F.col("e1") == F.col("e")) & (F.col("l") == F.col("m")), "left").join(comp, F.col("cid") == F.col("id"), "left")
     per_class = ws.table(per_class.select("l", "e1", "e2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "cid").alias("component_id")), "results")
+    ws.clear("rows", "results")
     usable = F.col("vec_id").isNotNull() & F.col("vec").isNotNull()
     same = (F.col("label") == F.col("l")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))
     out = base.select("vec_id", "label", "d1", "d2", usable.alias("ok")).join(per_class, same & F.col("ok"), "left")

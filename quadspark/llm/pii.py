@@ -220,7 +220,8 @@ def extract_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     free = spans.withColumns({"reach": reach, "ahead": ahead}).where(~is_base & (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce("ahead", F.col("end")) >= F.col("end")))
     free = ws.table(free.drop("reach", "ahead"), "words")
     marks = _marks(free)
-    sure = _learn(ws, _marks(base).unionByName(marks), rounds, confidence, support, tolerance)
+    sure = ws.table(_learn(ws, _marks(base).unionByName(marks), rounds, confidence, support, tolerance), "patterns")
+    ws.clear("found", "spans", "words", "patterns")
 
     near = marks.join(sure, ["side", "word"]).where(F.array_contains("kinds", F.col("kind")))
     learned = near.groupBy("row", "start", "end", "kind").agg(F.round(1 - F.product(1 - F.col("confidence")), 9).alias("c"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
 from .textops import mix64, prefix_hash, runs, seeded, string_buffers, window_hash, words
 
 GROUPS = 4  # words, pairs of words, character trigrams, character 5-grams
@@ -114,8 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     return fit([r.text for r in rows], [int(r.label > 0) for r in rows])
 
 
-def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of every row, score (0 to 1) and predicted (1 if score >= threshold, else 0).
+def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns `keep` of every row, score (0 to 1) and predicted (1 if score >= threshold, else 0), under `names`.
 
     Scores come from the text alone.  Null and empty texts have no features and score as the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 * 2**bits bytes, whatever the input
@@ -125,7 +126,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, keep:
         for batch in batches:
             s = scores(shared.value, batch.column(len(fields)))
             more = [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], *more], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], *more], [*keep, *names])
 
-    schema = docs.select(*keep).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    schema = docs.select(*keep).schema.add(names[0], T.DoubleType()).add(names[1], T.IntegerType())
+    return docs.select(*keep, F.col("text").alias(unused(docs, "of"))).mapInArrow(run, schema)

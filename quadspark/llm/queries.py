@@ -76,10 +76,10 @@ ORACLE: dict[str, str] = {
 WITH lines AS (
   SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents),
-hosts AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+hosts AS (SELECT source, count(DISTINCT text) AS pages FROM documents GROUP BY source),
 often AS (
-  SELECT l.source, l.k FROM (SELECT source, trim(line, ' ') AS k, count(DISTINCT doc_id) AS n FROM lines WHERE trim(line, ' ') <> '' GROUP BY ALL) l
-  JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE n >= 5 AND n > 0.1 * pages),
+  SELECT l.source, l.k FROM (SELECT source, trim(line, ' ') AS k, count(DISTINCT text) AS n FROM lines WHERE trim(line, ' ') <> '' GROUP BY ALL) l
+  JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE n >= 2 AND n > 0.05 * pages),
 kept AS (
   SELECT l.*, o.k IS NOT NULL AS gone FROM lines l
   LEFT JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND trim(l.line, ' ') = o.k),

@@ -6,6 +6,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import numbered
 
@@ -61,20 +62,25 @@ def place(key: Column, tree: Node) -> Column:
     return out
 
 
+def _key(df: DataFrame, id_col: str) -> Column:
+    """The id as it is hashed: integers of any width by their value."""
+    return F.col(id_col).cast("long") if isinstance(df.schema[id_col].dataType, T.IntegralType) else F.col(id_col)
+
+
 def shard_documents(docs: DataFrame, tree: Node, id_col: str = "doc_id", text_col: str = "text", buckets: int = 512) -> DataFrame:
     """Deals documents to the shards of a tree.
 
     Returns id, size (UTF-8 bytes plus 1; 1 for a null text), text_crc32 (0 for a null or empty text), law (`key`), shard, slot
     (gapless from 0 in each shard) and grown_shard (with one more shard).  Repeated ids share a shard and get slots of
-    their own; rows with a null id go to one shard.  Other columns of the input are left out.
+    their own; rows with a null id go to one shard.  An integer id has the same shard whatever its type's width.  Other columns of the input are left out.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    out = out.withColumns({"law": F.lit("key"), "shard": place(F.col("doc_id"), tree).cast("int"), "grown_shard": place(F.col("doc_id"), grown(tree)).cast("int")})
+    out = out.withColumns({"law": F.lit("key"), "shard": place(_key(out, "doc_id"), tree).cast("int"), "grown_shard": place(_key(out, "doc_id"), grown(tree)).cast("int")})
     out = numbered(out, ["shard"], ["doc_id", "text_crc32", "size"], "slot", F.struct("doc_id", "text_crc32"), buckets)
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def write_shards(docs: DataFrame, tree: Node, path: str, id_col: str = "doc_id") -> None:
     """Writes whole documents as Parquet with one folder for each shard; each task writes its part of every shard."""
-    docs.withColumn("shard", place(F.col(id_col), tree).cast("int")).write.partitionBy("shard").parquet(path)
+    docs.withColumn("shard", place(_key(docs, id_col), tree).cast("int")).write.partitionBy("shard").parquet(path)

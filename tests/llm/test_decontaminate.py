@@ -6,7 +6,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quadspark.llm.decontaminate import Index, Item, best_match, drop_leaks, find_leaks, normal
+from quadspark.llm.decontaminate import Index, Item, _indexes, best_match, drop_leaks, find_leaks, normal
 
 
 def semi_global(pattern, text):
@@ -90,3 +90,53 @@ def test_driver_rows(spark):
     for b in bench.collect():
         t = normal(b.text)
         assert {(k, b.item_id) for k, x in texts if t in x} <= found
+
+
+def test_short_items(spark):
+    """Items of any length: exact for those without an error to spare, as whole words under 10 characters."""
+    docs = ["The answer: Forty-two!", "catalogue", "a Cat sat", "my concat", "x 7 y", "17", "the quick brawn fox", "quick brown fix", "é", "éé", None, ""]
+    items = ["cat", "7", "quick brown fox", "forty-two", "é", " ", "the answer is known"]
+    got = {(r.doc_id, r.item_id, r.distance) for r in find_leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string"), spark.createDataFrame(list(enumerate(items)), "item_id int, text string")).collect()}
+    assert got == {(2, 0, 0), (4, 1, 0), (6, 2, 1), (7, 2, 1), (0, 3, 0), (8, 4, 0)}
+    rng = random.Random(9)
+    words = ["al", "be", "ga", "é", "x"]
+    items = [Item(k, t, int(0.1 * len(t))) for k, t in enumerate({normal(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 14)))) for _ in range(60)})]
+    docs = ["".join(rng.choice([*words, " ", " ", "ab"]) for _ in range(60)) for _ in range(60)]
+    for index in _indexes(items):
+        got = {(r, index.items[k].item_id): d for r, k, d, _, _ in index.matches(pa.array(docs))}
+        for r, t in enumerate(docs):
+            for it in index.items:
+                d, x = semi_global(it.text, normal(t)), normal(t)
+                hit = d <= it.budget
+                if len(it.text) < 10:
+                    hit = any(x.startswith(it.text, i) and not (i and x[i - 1].isalnum()) and not x[i + len(it.text) : i + len(it.text) + 1].isalnum() for i in range(len(x)))
+                assert hit == ((r, it.item_id) in got), (t, it)
+                assert not hit or got[r, it.item_id] == d
+
+
+def test_types_of_ids(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    for kind, one, two in (("string", "a", "b"), ("int", 1, 2), ("long", 1, 2)):
+        docs = spark.createDataFrame([(one, item), (two, "clean"), (None, item)], f"doc_id {kind}, text string")
+        bench = spark.createDataFrame([(one, item), (None, "alpha beta gamma")], f"item_id {kind}, text string")
+        got = find_leaks(docs, bench)
+        assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType and got.schema["item_id"].dataType == bench.schema["item_id"].dataType
+        assert sorted(((r.doc_id, r.item_id) for r in got.collect()), key=str) == sorted([(one, one), (one, None), (None, one), (None, None)], key=str)
+        assert len(find_leaks(docs, bench, block_chars=1).collect()) == 4
+        assert [r.doc_id for r in drop_leaks(docs, bench, block_chars=1).collect()] == [two]
+
+
+def test_driver_items_against_every_pair(spark):
+    """Every pair of the smallest table's documents and items, edited ones included, by the plain program."""
+    d = "/root/testdata/sf0.001"
+    docs, bench = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
+    found = {(r.doc_id, r.item_id): r.distance for r in find_leaks(docs, bench).collect()}
+    items = {b.item_id: normal(b.text) for b in bench.collect()}
+    texts = {r.doc_id: normal(r.text) for r in docs.collect()}
+    rng = random.Random(1)
+    some = set(rng.sample([(k, i) for k in texts for i in items if len(texts[k]) < 1500], 120)) | set(found)
+    for k, i in some:
+        if len(texts[k]) < 5000:
+            w = semi_global(items[i], texts[k])
+            assert ((k, i) in found) == (w <= int(0.1 * len(items[i])))
+            assert (k, i) not in found or found[k, i] == w
