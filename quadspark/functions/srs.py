@@ -111,3 +111,14 @@ def pixel_window(gt: list[Column], xmin: Column, ymin: Column, xmax: Column, yma
     lo = lambda i: F.floor(F.least(a[i], b[i])).cast("long")
     hi = lambda i: F.ceil(F.greatest(a[i], b[i])).cast("long")
     return {"col0": lo(0), "row0": lo(1), "col1": hi(0), "row1": hi(1)}
+
+
+def pixel_size(b: dict[str, Column], width: Column, height: Column) -> tuple[Column, Column]:
+    """Units of a pixel along each axis of a raster of the given bounds; null for one without pixels."""
+    over = lambda lo, hi, n: (b[hi] - b[lo]) / F.when(n > 0, n.cast("double"))
+    return over("xmin", "xmax", width), over("ymin", "ymax", height)
+
+
+def size_in_pixels(b: dict[str, Column], pixel_width: Column, pixel_height: Column) -> tuple[Column, Column]:
+    """How many pixels of a size bounds are wide and high (not rounded)."""
+    return (b["xmax"] - b["xmin"]) / pixel_width, (b["ymax"] - b["ymin"]) / pixel_height

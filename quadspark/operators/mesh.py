@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geom
-from .raster import ID, quads
+from .raster import ID, blank, fill_missing, quads
 
 M = "mesh_id"
 XYZ = ("x", "y", "z")
@@ -20,6 +20,8 @@ def shared(spark: SparkSession, name: str) -> str:
     """A folder for tables that cut lineage between rounds, in the folder that the cluster shares."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quadspark-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -206,16 +208,18 @@ def mesh_report(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return out
 
 
-def crossing_edges(vertices: DataFrame, faces: DataFrame, cells: int = 64) -> DataFrame:
+def crossing_edges(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Pairs of distinct edges of a mesh that cross at inner points.
 
-    Edges meet in the grid cells (a fixed share of the mesh's box) that their boxes touch: an equi-join, then the exact test.
+    Edges meet in the grid cells that their boxes touch: an equi-join, then the exact test.  A mesh has about as many cells
+    as edges, so the edges of a cell stay few however large the mesh is.
     """
-    e = edge_lengths(vertices, faces).select(M, "a", "b")
+    e = edges(faces).select(M, "a", "b").distinct()
+    n = e.groupBy(M).agg(F.greatest(F.sqrt(F.count(F.lit(1)).cast("double")), F.lit(1.0)).alias("cells"))
     for k in "ab":
         e = e.join(vertices.select(M, F.col("vid").alias(k), *[F.col(c).alias(f"{k}{c}") for c in XYZ]), [M, k])
-    e = e.join(bounding_box(vertices).select(M, "xmin", "xmax", "ymin", "ymax"), M)
-    at = lambda v, c: F.floor((v - F.col(f"{c}min")) / F.greatest(F.col(f"{c}max") - F.col(f"{c}min"), F.lit(1e-300)) * cells).cast("int")
+    e = e.join(bounding_box(vertices).select(M, "xmin", "xmax", "ymin", "ymax").join(n, M), M)
+    at = lambda v, c: F.floor((v - F.col(f"{c}min")) / F.greatest(F.col(f"{c}max") - F.col(f"{c}min"), F.lit(1e-300)) * F.col("cells")).cast("int")
     span = lambda c: F.sequence(at(F.least(f"a{c}", f"b{c}"), c), at(F.greatest(f"a{c}", f"b{c}"), c))
     e = e.select("*", F.explode(span("x")).alias("i")).select("*", F.explode(span("y")).alias("j"))
     o = e.select(M, "i", "j", *[F.col(c).alias(f"o_{c}") for c in ("a", "b", "ax", "ay", "bx", "by")])
@@ -239,8 +243,9 @@ def tin_report(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 def different(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Triangles (by corners, rotation ignored) of two soups that are not in the other as often: rows of both sides."""
-    key = lambda df: df.select(F.array_sort(F.array(*[F.struct(*[F.col(f"{k}{c}").alias(c) for c in XYZ]) for k in "abc"])).alias("t"))
+    """Triangles of two soups that are not in the other as often: rows of both sides.  A triangle is equal to its rotations,
+    not to its mirror image."""
+    key = lambda df: df.select(geom.canonical(*[F.struct(*[F.col(f"{k}{c}").alias(c) for c in XYZ]) for k in "abc"]).alias("t"))
     x, y = key(a), key(b)
     return x.exceptAll(y).select("t", F.lit("left").alias("side")).unionAll(y.exceptAll(x).select("t", F.lit("right").alias("side")))
 
@@ -261,6 +266,23 @@ def close_pairs(vertices: DataFrame, eps: float, across: bool = True, dims: tupl
     return both.select("m1", "v1", "m2", "v2", F.sqrt(d).alias("distance")).where(F.col("distance") < eps)
 
 
+def close_boxes(vertices: DataFrame, eps: float) -> DataFrame:
+    """Pairs of meshes whose boxes, each grown by eps, share a point: m1 < m2.
+
+    Boxes meet in the cells they touch of a grid as wide as the largest box, so a box has a few keys at most."""
+    b = bounding_box(vertices)
+    w = b.agg(F.max(F.greatest(*[F.col(f"{c}max") - F.col(f"{c}min") for c in "xy"])).alias("w"))
+    w = F.lit(float((w.first().w or 0.0) + 2 * eps) or 1.0)
+    at = lambda c: F.floor(F.col(c) / w).cast("long")
+    grown = b.select(M, *[(F.col(f"{c}{e}") + (eps if e == "max" else -eps)).alias(f"{c}{e}") for c in XYZ for e in ("min", "max")])
+    keyed = grown.select("*", F.explode(F.sequence(at("xmin"), at("xmax"))).alias("i")).select("*", F.explode(F.sequence(at("ymin"), at("ymax"))).alias("j"))
+    other = keyed.select("i", "j", F.col(M).alias("m2"), *[F.col(f"{c}{e}").alias(f"o{c}{e}") for c in XYZ for e in ("min", "max")])
+    both = keyed.withColumnRenamed(M, "m1").join(other, ["i", "j"]).where("m1 < m2")
+    for c in XYZ:
+        both = both.where((F.col(f"{c}min") <= F.col(f"o{c}max")) & (F.col(f"o{c}min") <= F.col(f"{c}max")))
+    return both.select("m1", "m2").distinct()
+
+
 def components(spark: SparkSession, pairs: DataFrame) -> DataFrame:
     """Least id of the component of each id in pairs (a, b): rounds of the least neighbouring label and of pointer jumps,
     each written to the shared folder, until nothing changes."""
@@ -383,13 +405,22 @@ def grid_faces(size: DataFrame, step: int = 1) -> tuple[DataFrame, DataFrame]:
     return vertices, q.select(ID, F.explode(two).alias("f")).select(ID, "f.*")
 
 
-def grid_mesh(raster: DataFrame, size: DataFrame, x0: float, y0: float, cell: float, step: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Dense grid mesh of rasters with valid pixels: positions from the lower left pixel (x0, y0)."""
+def grid_mesh(raster: DataFrame, size: DataFrame, x0: float, y0: float, cell: float, step: int = 1, fill_radius: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Dense grid mesh of rasters: positions from the lower left pixel (x0, y0).
+
+    Missing pixels (null, or without a row) take the height of the nearest valid ones within `fill_radius`; where there are
+    none, the vertex goes with its faces, and the numbers close up."""
     v, f = grid_faces(size, step)
-    v = v.join(raster, [ID, "row", "col"]).join(size.select(ID, "height"), ID)
+    v, f = v.withColumnRenamed(ID, M), f.withColumnRenamed(ID, M)
+    full = blank(size).drop("z").join(raster.select(ID, "row", "col", "z"), [ID, "row", "col"], "left")
+    full = full if full.where("z is null").isEmpty() else fill_missing(full, 1, fill_radius)
+    z = full.where("z is not null").withColumnRenamed(ID, M)
+    v = v.join(z, [M, "row", "col"]).join(size.select(F.col(ID).alias(M), "height"), M)
     y = F.lit(y0) + (F.col("height") - 1 - F.col("row")) * F.lit(cell)
-    vertices = v.select(F.col(ID).alias(M), "vid", (F.lit(x0) + F.col("col") * F.lit(cell)).alias("x"), y.alias("y"), "z")
-    return vertices, f.withColumnRenamed(ID, M)
+    vertices = written(v.select(M, F.col("vid").cast("long").alias("vid"), (F.lit(x0) + F.col("col") * F.lit(cell)).alias("x"), y.alias("y"), "z"), "grid")
+    for k in "abc":
+        f = f.join(vertices.select(M, F.col("vid").alias(k)), [M, k], "left_semi")
+    return renumber(vertices, f.select(M, "fid", "a", "b", "c"))
 
 
 def steps_for_vertices(width: int, height: int, count: int) -> int:

@@ -138,16 +138,48 @@ def points_to_raster(points: DataFrame, raster_id: int = 0) -> DataFrame:
     return at.groupBy("row", "col").agg(F.max_by("z", F.struct("x", "y", "z")).alias("z")).select(F.lit(raster_id).alias(ID), "row", "col", "z")
 
 
-def points_to_rank_raster(points: DataFrame, raster_id: int = 0) -> DataFrame:
-    """Raster whose columns and rows are the ranks of the distinct coordinates; the steps need not be regular.
+def _ranks(points: DataFrame, axis: str, name: str, down: bool = False) -> DataFrame:
+    """The distinct coordinates of an axis and their ranks from 0: ranked inside 1024 slices of the axis, and the slices'
+    counts (1025 rows at most) added up, so no task sorts the whole axis."""
+    v = points.select(axis).where(F.col(axis).isNotNull()).distinct()
+    ends = v.agg(F.min(axis).alias("lo"), F.max(axis).alias("hi"))
+    part = F.floor((F.col(axis) - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0) * 1024)
+    cut = v.crossJoin(F.broadcast(ends)).select(axis, (-part if down else part).alias("s"))  # the other side is one row
+    n = cut.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    before = n.select("s", F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("s").orderBy(F.desc(axis) if down else F.asc(axis))) - 1
+    return cut.withColumn("own", own).join(F.broadcast(before), "s").select(axis, (F.col("before") + F.col("own")).cast("int").alias(name))
+
 
-    Only the distinct coordinates of one axis, not the points, are ranked in one place."""
-    cols = points.select("x").distinct().select("x", (F.row_number().over(Window.orderBy("x")) - 1).alias("col"))
-    rows = points.select("y").distinct().select("y", (F.row_number().over(Window.orderBy(F.desc("y"))) - 1).alias("row"))
-    p = points.join(cols, "x").join(rows, "y")
+def points_to_rank_raster(points: DataFrame, raster_id: int = 0) -> DataFrame:
+    """Raster whose columns and rows are the ranks of the distinct coordinates; the steps need not be regular."""
+    p = points.join(_ranks(points, "x", "col"), "x").join(_ranks(points, "y", "row", down=True), "y")
     return p.groupBy("row", "col").agg(F.max("z").alias("z")).select(F.lit(raster_id).alias(ID), "row", "col", "z")
 
 
+def col_to_x(col: Column, x0: Column, cell: Column) -> Column:
+    """Position of a column; (x0, y0) is the lower left pixel."""
+    return x0 + col * cell
+
+
+def row_to_y(row: Column, y0: Column, cell: Column, height: Column) -> Column:
+    return y0 + (height - 1 - row) * cell
+
+
+def x_to_col(x: Column, x0: Column, cell: Column) -> Column:
+    """The nearest column."""
+    return F.floor((x - x0) / cell + 0.5).cast("int")
+
+
+def y_to_row(y: Column, y0: Column, cell: Column, height: Column) -> Column:
+    return (height - 1 - F.floor((y - y0) / cell + 0.5)).cast("int")
+
+
+def row_from_below(row: Column, height: Column) -> Column:
+    """Row counted from the southern edge; its own inverse."""
+    return height - 1 - row
+
+
 def neighbours(df: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     """Adds for each offset the pixel there (n0, n1, ...), null beyond the edges or where missing.
 

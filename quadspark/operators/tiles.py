@@ -10,10 +10,10 @@ from ..functions.grid import Grid, children
 LIMIT = 1_000_000_000  # tiles of one bounds and zoom
 
 
-def covering_tiles(bounds: DataFrame, grid: Grid, zooms: tuple[int, int], keep: tuple[str, ...] = ()) -> DataFrame:
+def covering_tiles(bounds: DataFrame, grid: Grid, zooms: tuple[int, int], keep: tuple[str, ...] = (), deal: bool = False) -> DataFrame:
     """All tiles of the zooms (both included) that cover each row's xmin, ymin, xmax and ymax; `keep` columns stay.
 
-    More than a thousand million tiles for one row and zoom is an error.
+    `deal` spreads the tile rows of few large bounds over many tasks before their tiles are listed.  More than a thousand million tiles for one row and zoom is an error.
     """
     z = bounds.select("*", F.explode(F.sequence(F.lit(zooms[0]), F.lit(zooms[1]))).alias("zoom"))
     x0, y0, x1, y1 = grid.covering(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), F.col("zoom"))
@@ -21,6 +21,7 @@ def covering_tiles(bounds: DataFrame, grid: Grid, zooms: tuple[int, int], keep:
     few = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1) <= LIMIT
     r = r.withColumn("x1", F.when(few, F.col("x1")).otherwise(F.raise_error(F.lit("too many tiles"))))
     r = r.select(*keep, "zoom", "x0", "x1", F.explode(F.sequence("y0", "y1")).alias("y"))
+    r = r.repartition("zoom", "y") if deal else r
     return r.select(*keep, "zoom", F.explode(F.sequence("x0", "x1")).alias("x"), "y")
 
 
@@ -28,6 +29,7 @@ def subtree(spark: SparkSession, zoom: int, x: int, y: int, target: int) -> Data
     """A tile and all tiles below it down to the target zoom."""
     out = spark.range(zoom, target + 1).select(F.col("id").cast("int").alias("zoom"), F.expr(f"1L << (id - {zoom})").alias("n"))
     out = out.select("zoom", "n", F.explode(F.sequence(F.lit(y) * F.col("n"), F.lit(y + 1) * F.col("n") - 1)).alias("y"))
+    out = out.repartition("zoom", "y")  # the rows of a level, the root of its tiles in number, are expanded by many tasks
     return out.select("zoom", F.explode(F.sequence(F.lit(x) * F.col("n"), F.lit(x + 1) * F.col("n") - 1)).alias("x"), "y")
 
 

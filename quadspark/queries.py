@@ -51,7 +51,7 @@ CORNERS = "SELECT mesh_id, fid, a AS v FROM f UNION ALL SELECT mesh_id, fid, b F
 EDGES = "SELECT mesh_id, fid, least(p, q) AS a, greatest(p, q) AS b FROM (SELECT mesh_id, fid, a AS p, b AS q FROM f UNION ALL SELECT mesh_id, fid, b, c FROM f UNION ALL SELECT mesh_id, fid, c, a FROM f)"
 TRIANGLES = """SELECT f.mesh_id, f.fid, f.a, f.b, f.c, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS "by", q.z AS bz, r.x AS cx, r.y AS cy, r.z AS cz
   FROM f JOIN v p ON f.mesh_id = p.mesh_id AND f.a = p.vid JOIN v q ON f.mesh_id = q.mesh_id AND f.b = q.vid JOIN v r ON f.mesh_id = r.mesh_id AND f.c = r.vid"""
-WITH = f"WITH f AS {FACES}, v AS {VERTS} "
+WITH = f"WITH f AS MATERIALIZED {FACES}, v AS MATERIALIZED {VERTS} "
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,15 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", ((F.col("event_id") * 7919 % 36000).cast("double") / 100 - 180).alias("lon"), ((F.col("event_id") * 104729 % 17000).cast("double") / 100 - 85).alias("lat"), F.col("value").alias("h"))
 
 
+#: Rows of the raster.
+ROWS = "(SELECT max(vec_id) + 1 FROM embeddings)"
+
+
+def height(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the raster."""
+    return (read(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or -1) + 1
+
+
 def ras(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("row"), F.posexplode("embedding").alias("col", "z"))
     return e.select(F.lit(0).alias("raster_id"), "row", "col", F.col("z").cast("double").alias("z"))
@@ -294,22 +303,22 @@ def mercator_points(spark, d):
 
 @query(f"""
 WITH p AS (SELECT event_id, unnest([xmin+(xmax-xmin)*t, xmin+(xmax-xmin)*t, xmin, xmax]) AS lon, unnest([ymin, ymax, ymin+(ymax-ymin)*t, ymin+(ymax-ymin)*t]) AS lat
-  FROM {_BOX}, (SELECT CAST(unnest(range(11)) AS DOUBLE)/10 AS t) WHERE event_id % 10 = 0)
+  FROM {_BOX}, (SELECT CAST(unnest(range(11)) AS DOUBLE)/10 AS t))
 SELECT event_id, round(min(6378137e0*radians(lon)), 3) AS xmin, round(min(6378137e0*ln(tan(pi()/4+radians(lat)/2))), 3) AS ymin,
   round(max(6378137e0*radians(lon)), 3) AS xmax, round(max(6378137e0*ln(tan(pi()/4+radians(lat)/2))), 3) AS ymax FROM p GROUP BY event_id""")
 def bounds_densified(spark, d):
     b = srs.transform_bounds(4326, 3857, *[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")], steps=10)
-    return boxes(spark, d).where("event_id % 10 = 0").select("event_id", F.struct(*[F.round(v, 3).alias(k) for k, v in b.items()]).alias("b")).select("event_id", "b.*")
+    return boxes(spark, d).select("event_id", F.struct(*[F.round(v, 3).alias(k) for k, v in b.items()]).alias("b")).select("event_id", "b.*")
 
 
 @query(f"""
 WITH p AS (SELECT event_id, unnest([xmin+(xmax-xmin)*t, xmin+(xmax-xmin)*t, xmin, xmax]) AS lon, unnest([ymin, ymax, ymin+(ymax-ymin)*t, ymin+(ymax-ymin)*t]) AS lat
-  FROM {_BOX}, (SELECT CAST(unnest(range(6)) AS DOUBLE)/5 AS t) WHERE event_id % 10 = 0),
+  FROM {_BOX}, (SELECT CAST(unnest(range(6)) AS DOUBLE)/5 AS t)),
  e AS (SELECT event_id, {_ECEF} FROM p, (SELECT unnest([0e0, 1000e0]) AS h))
 SELECT event_id, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, min(z) AS zmin, max(z) AS zmax FROM e GROUP BY event_id""")
 def ecef_bbox(spark, d):
     b = srs.ecef_bounds(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")], F.lit(0.0), F.lit(1000.0), steps=5)
-    return boxes(spark, d).where("event_id % 10 = 0").select("event_id", F.struct(*[F.round(v, 3).alias(k) for k, v in b.items()]).alias("b")).select("event_id", "b.*")
+    return boxes(spark, d).select("event_id", F.struct(*[F.round(v, 3).alias(k) for k, v in b.items()]).alias("b")).select("event_id", "b.*")
 
 
 @query(f"""
@@ -385,13 +394,29 @@ def circumcentres(spark, d):
     return tri(spark, d).select("fid", F.round(c[0], 6).alias("x"), F.round(c[1], 6).alias("y"))
 
 
-@query(f"SELECT fid, round(abs({_AREA2})/2, 6) AS area FROM {TRI}")
-def clip_keeps_inner_triangles(spark, d):
-    """Triangles shrunk into the unit square come out of the clip as they are."""
-    p = lambda k: F.struct(*[((F.col(f"{k}{c}") + 5) / 64 if c != "z" else F.col(f"{k}{c}")).alias(c) for c in "xyz"])
-    t = tri(spark, d).select("fid", F.explode_outer(geom.clip_to_unit_square(p("a"), p("b"), p("c"))).alias("t"))
-    area = (F.col("t")[1]["x"] - F.col("t")[0]["x"]) * (F.col("t")[2]["y"] - F.col("t")[0]["y"]) - (F.col("t")[1]["y"] - F.col("t")[0]["y"]) * (F.col("t")[2]["x"] - F.col("t")[0]["x"])
-    return t.groupBy("fid").agg(F.round(F.coalesce(F.sum(F.abs(area)), F.lit(0.0)) / 2 * 4096, 6).alias("area"))
+_CUT = "(SELECT event_id, event_id % 4 AS turn, 1 + CAST(event_id % 97 AS DOUBLE)/97 AS k FROM events)"
+
+
+@query(f"SELECT event_id, round(1 - (2-k)*(2-k)/2, 9) AS area, round((1 - (2-k)*(2-k)/2)*2 + CASE turn WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN 3 ELSE -3 END * (0.5e0 - (2-k)*(2-k)/2*(1-(2-k)/3)), 6) AS volume, true AS inside FROM {_CUT}")
+def clip_to_unit_square(spark, d):
+    """Right triangles that reach beyond the square in each of four ways: area and volume of what is kept, by the pieces."""
+    i = F.col("event_id")
+    e = read(spark, d, "events").select("event_id", (i % 4).alias("turn"), (F.lit(1.0) + (i % 97).cast("double") / 97).alias("k"))
+    right = F.col("turn").isin(1, 3)
+    slope = F.when(F.col("turn") == 0, 1.0).when(F.col("turn") == 1, -1.0).when(F.col("turn") == 2, 3.0).otherwise(-3.0)
+
+    def at(u, v):  # (u, v) from the square's corner; x is measured from the left or the right, z depends on u alone
+        x = F.when(right, F.lit(1.0) - u).otherwise(u)
+        y = F.when(F.col("turn") >= 2, F.lit(1.0) - v).otherwise(v)
+        return F.struct(x.alias("x"), y.alias("y"), (F.lit(2.0) + slope * u).alias("z"))
+
+    zero = F.lit(0.0)
+    e = e.withColumn("t", geom.clip_to_unit_square(at(zero, zero), at(F.col("k"), zero), at(zero, F.col("k")))).select("event_id", F.explode("t").alias("t"))
+    p = lambda n, c: F.col("t")[n][c]
+    area = F.abs((p(1, "x") - p(0, "x")) * (p(2, "y") - p(0, "y")) - (p(1, "y") - p(0, "y")) * (p(2, "x") - p(0, "x"))) / 2
+    inside = F.forall("t", lambda q: q["x"].between(-1e-12, 1 + 1e-12) & q["y"].between(-1e-12, 1 + 1e-12))
+    e = e.select("event_id", area.alias("a"), (area * (p(0, "z") + p(1, "z") + p(2, "z")) / 3).alias("v"), inside.alias("inside"))
+    return e.groupBy("event_id").agg(F.round(F.sum("a"), 9).alias("area"), F.round(F.sum("v"), 6).alias("volume"), F.bool_and("inside").alias("inside"))
 
 
 @query(f"SELECT fid, least(ax,bx,cx) <= 6 + 0.5 AND 4 - 0.5 <= greatest(ax,bx,cx) AND least(ay,\"by\",cy) <= 3 + 0.5 AND 1 - 0.5 <= greatest(ay,\"by\",cy) AS hit FROM {TRI}")
@@ -413,14 +438,19 @@ def raster_crop(spark, d):
     return raster.crop(ras(spark, d), 10, 5, 100, 30).select("row", "col", "z")
 
 
-@query(f"SELECT 499-\"row\" AS \"row\", 63-col AS col, z FROM {RAS} WHERE \"row\" < 500")
+@query(f"SELECT {ROWS}-1-\"row\" AS \"row\", 63-col AS col, z FROM {RAS}")
 def raster_flip(spark, d):
-    return raster.flip(raster.window(ras(spark, d), 0, 0, 64, 500), 64, 500).select("row", "col", "z")
+    return raster.flip(ras(spark, d), 64, height(spark, d)).select(F.col("row").cast("long").alias("row"), "col", "z")
+
 
+@query(f"SELECT \"row\", col, z FROM {RAS} WHERE \"row\" >= 20 AND \"row\" < 470 AND col >= 3 AND col < 60")
+def raster_window(spark, d):
+    return raster.window(ras(spark, d), 3, 20, 60, 470).select("row", "col", "z")
 
-@query(f"SELECT CAST(\"row\"//4 AS INT) AS \"row\", CAST(col//4 AS INT) AS col, round(avg(z), 9) AS z FROM {RAS} WHERE \"row\" < 500 GROUP BY ALL")
+
+@query(f"SELECT CAST(\"row\"//3 AS INT) AS \"row\", CAST(col//4 AS INT) AS col, round(avg(z), 9) AS z FROM {RAS} WHERE \"row\" < {ROWS} // 3 * 3 GROUP BY ALL")
 def raster_downsample(spark, d):
-    return raster.downsample(ras(spark, d).where("row < 500"), 4, 4, 500, 64).select("row", "col", F.round("z", 9).alias("z"))
+    return raster.downsample(ras(spark, d), 3, 4, height(spark, d), 64).select("row", "col", F.round("z", 9).alias("z"))
 
 
 @query(f"""
@@ -438,12 +468,12 @@ def raster_bbox(spark, d):
 
 
 _DIFF = f"""(SELECT a.\"row\", a.col, a.z - b.z AS d FROM (SELECT * FROM {RAS}) a JOIN (SELECT \"row\", 63-col AS col, z FROM {RAS}) b ON a.\"row\" = b.\"row\" AND a.col = b.col
-  WHERE a.\"row\" BETWEEN 2 AND 497 AND a.col BETWEEN 2 AND 61)"""
+  WHERE a.\"row\" BETWEEN 2 AND {ROWS} - 3 AND a.col BETWEEN 2 AND 61)"""
 
 
 def _difference(spark, d):
     r = ras(spark, d)
-    return raster.compare(r, raster.flip(r, width=64), 500, 64)
+    return raster.compare(r, raster.flip(r, width=64), height(spark, d), 64)
 
 
 @query(f"SELECT round(sqrt(avg(d*d)), 9) AS rms, max(abs(d)) AS max_abs FROM {_DIFF}")
@@ -516,7 +546,7 @@ def quads(spark, d):
 
 
 @query(f"""
-WITH k AS (SELECT vec_id AS id, CAST(vec_id AS DOUBLE)*0.37e0 AS v, CAST(vec_id % 50 AS DOUBLE)*1.13e0 AS u FROM embeddings WHERE vec_id < 400),
+WITH k AS (SELECT vec_id AS id, CAST(vec_id AS DOUBLE)*0.37e0 AS v, CAST(vec_id % 50 AS DOUBLE)*1.13e0 AS u FROM embeddings),
  t AS (SELECT *, floor(u) AS c0, floor(v) AS r0, u-floor(u) AS fu, v-floor(v) AS fv FROM k),
  w AS (SELECT id, r0+j-1 AS \"row\", c0+i-1 AS col,
    list_extract([-0.5e0*(fu+1)*(fu+1)*(fu+1)+2.5e0*(fu+1)*(fu+1)-4*(fu+1)+2, 1.5e0*fu*fu*fu-2.5e0*fu*fu+1, 1.5e0*(1-fu)*(1-fu)*(1-fu)-2.5e0*(1-fu)*(1-fu)+1, -0.5e0*(2-fu)*(2-fu)*(2-fu)+2.5e0*(2-fu)*(2-fu)-4*(2-fu)+2], i+1)
@@ -524,14 +554,14 @@ WITH k AS (SELECT vec_id AS id, CAST(vec_id AS DOUBLE)*0.37e0 AS v, CAST(vec_id
   FROM t, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j))
 SELECT id, round(sum(w.w*r.z)/sum(w.w), 6) AS z FROM w JOIN {RAS} r USING (\"row\", col) GROUP BY id HAVING sum(w.w) >= 0.5e0""")
 def cubic_resample(spark, d):
-    e = read(spark, d, "embeddings").where("vec_id < 400")
+    e = read(spark, d, "embeddings")
     t = e.select(F.col("vec_id").alias("id"), F.lit(0).alias("raster_id"), ((F.col("vec_id") % 50).cast("double") * 1.13).alias("u"), (F.col("vec_id").cast("double") * 0.37).alias("v"))
     return raster.resample(t, ras(spark, d)).where("z is not null").select("id", F.round("z", 6).alias("z"))
 
 
-@query(f"SELECT CAST(0 AS INT) AS raster_id, CAST(col AS DOUBLE)*1.5e0+42 AS x, 23+(499-\"row\")*1.5e0 AS y, z FROM {RAS}")
+@query(f"SELECT CAST(0 AS INT) AS raster_id, CAST(col AS DOUBLE)*1.5e0+42 AS x, 23+({ROWS}-1-\"row\")*1.5e0 AS y, z FROM {RAS}")
 def raster_to_points(spark, d):
-    return raster.to_points(ras(spark, d), 42.0, 23.0, 1.5, 500)
+    return raster.to_points(ras(spark, d), 42.0, 23.0, 1.5, height(spark, d))
 
 
 # -- meshes -----------------------------------------------------------------------------------------------------------
@@ -546,17 +576,43 @@ def dense_grid_faces(spark, d):
     return mesh.grid_faces(s)[1].select("raster_id", *[F.col(c).cast("long").alias(c) for c in ("fid", "a", "b", "c")])
 
 
-@query(f"""
-WITH r AS (SELECT * FROM {RAS} WHERE z BETWEEN -0.3e0 AND 0.3e0 AND \"row\" < 200),
- q AS (SELECT a.\"row\", a.col FROM r a JOIN r b ON b.\"row\" = a.\"row\" AND b.col = a.col+1 JOIN r c ON c.\"row\" = a.\"row\"+1 AND c.col = a.col JOIN r e ON e.\"row\" = a.\"row\"+1 AND e.col = a.col+1
-   WHERE 100+(a.col+1)*2 BETWEEN 110 AND 190 AND 900-(a.\"row\"+1)*2 BETWEEN 600 AND 850)
-SELECT 'face' AS kind, count(*)*2 AS n FROM q UNION ALL
-SELECT 'vertex', count(*) FROM (SELECT DISTINCT \"row\"+dr, col+dc FROM q, (SELECT unnest([0,1]) AS dr), (SELECT unnest([0,1]) AS dc))""")
+_IN = {
+    "inclusive": 'WHERE 100+(a.col+1)*2 BETWEEN 110 AND 190 AND 900-(a."row"+1)*2 BETWEEN 600 AND 850',
+    "exclusive": 'WHERE 101+a.col*2 BETWEEN 110 AND 190 AND 103+a.col*2 BETWEEN 110 AND 190 AND 899-a."row"*2 BETWEEN 600 AND 850 AND 897-a."row"*2 BETWEEN 600 AND 850',
+}
+
+
+def _reference_sql(mode: str) -> str:
+    return f"""WITH r AS (SELECT * FROM {RAS} WHERE z BETWEEN -0.3e0 AND 0.3e0),
+ q AS (SELECT a."row", a.col FROM r a JOIN r b ON b."row" = a."row" AND b.col = a.col+1 JOIN r c ON c."row" = a."row"+1 AND c.col = a.col JOIN r e ON e."row" = a."row"+1 AND e.col = a.col+1 {_IN[mode]}),
+ u AS (SELECT DISTINCT "row"+dr AS "row", col+dc AS col FROM q, (SELECT unnest([0,1]) AS dr), (SELECT unnest([0,1]) AS dc)),
+ v AS (SELECT r.mesh_id, row_number() OVER (ORDER BY r."row", r.col)-1 AS vid, r."row", r.col, 101+r.col*2e0 AS x, 899-r."row"*2e0 AS y, r.z FROM (SELECT 0 AS mesh_id, * FROM r) r JOIN u USING ("row", col)),
+ """
+
+
+def _reference(spark, d, exclusive: bool):
+    r = ras(spark, d).where("z between -0.3 and 0.3")
+    return mesh.reference_mesh(r, (100.0, 2.0, 900.0, -2.0), 64, (110.0, 600.0, 190.0, 850.0), exclusive)
+
+
+_REF_V = "b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v) SELECT vid, x, y, z, (x-x0)/(x1-x0) AS u, (y-y0)/(y1-y0) AS v FROM v, b"
+_REF_F = """f AS (SELECT (q."row"*64+q.col)*2+k AS fid, q."row" AS r0, q.col+k AS c0, q."row"+1 AS r1, q.col AS c1, q."row"+k AS r2, q.col+1 AS c2 FROM q, (SELECT unnest([0,1]) AS k))
+ SELECT fid, p.vid AS a, q.vid AS b, r.vid AS c FROM f JOIN v p ON p."row" = r0 AND p.col = c0 JOIN v q ON q."row" = r1 AND q.col = c1 JOIN v r ON r."row" = r2 AND r.col = c2"""
+
+
+@query(_reference_sql("inclusive") + _REF_V)
 def reference_mesh(spark, d):
-    r = ras(spark, d).where("z between -0.3 and 0.3 and row < 200")
-    v, f = mesh.reference_mesh(r, (100.0, 2.0, 900.0, -2.0), 64, (110.0, 600.0, 190.0, 850.0))
-    n = lambda df, k: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n")
-    return n(f, "face").unionAll(n(v, "vertex"))
+    return _reference(spark, d, False)[0].select("vid", "x", "y", "z", "u", "v")
+
+
+@query(_reference_sql("inclusive") + _REF_F)
+def reference_mesh_faces(spark, d):
+    return _reference(spark, d, False)[1].select("fid", "a", "b", "c")
+
+
+@query(_reference_sql("exclusive") + _REF_V)
+def reference_mesh_exclusive(spark, d):
+    return _reference(spark, d, True)[0].select("vid", "x", "y", "z", "u", "v")
 
 
 @query(f"""
@@ -604,14 +660,14 @@ def mverts(spark, d):
 
 
 _PAIRS = f"""SELECT a.mesh_id AS m1, a.vid AS v1, b.mesh_id AS m2, b.vid AS v2, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS distance
- FROM (SELECT *, CAST(floor(x/0.12e0) AS BIGINT) AS kx, CAST(floor(y/0.12e0) AS BIGINT) AS ky FROM {_MV}) a
- JOIN (SELECT *, CAST(floor(x/0.12e0) AS BIGINT)+dx AS kx, CAST(floor(y/0.12e0) AS BIGINT)+dy AS ky FROM {_MV}, (SELECT unnest([-1,0,1]) AS dx), (SELECT unnest([-1,0,1]) AS dy)) b
- ON a.kx = b.kx AND a.ky = b.ky AND a.mesh_id < b.mesh_id WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) < 0.12e0"""
+ FROM (SELECT *, CAST(floor(x/0.15e0) AS BIGINT) AS kx, CAST(floor(y/0.15e0) AS BIGINT) AS ky FROM {_MV}) a
+ JOIN (SELECT *, CAST(floor(x/0.15e0) AS BIGINT)+dx AS kx, CAST(floor(y/0.15e0) AS BIGINT)+dy AS ky FROM {_MV}, (SELECT unnest([-1,0,1]) AS dx), (SELECT unnest([-1,0,1]) AS dy)) b
+ ON a.kx = b.kx AND a.ky = b.ky AND a.mesh_id < b.mesh_id WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) < 0.15e0"""
 
 
 @query(f"SELECT m1, v1, m2, v2, round(distance, 9) AS distance FROM ({_PAIRS})")
 def close_pairs(spark, d):
-    return mesh.close_pairs(mverts(spark, d), 0.12).select("m1", "v1", "m2", "v2", F.round("distance", 9).alias("distance"))
+    return mesh.close_pairs(mverts(spark, d), 0.15).select("m1", "v1", "m2", "v2", F.round("distance", 9).alias("distance"))
 
 
 _WELD = f"""WITH RECURSIVE p AS ({_PAIRS}), e AS (SELECT m1*4294967296+v1 AS a, m2*4294967296+v2 AS b FROM p UNION SELECT m2*4294967296+v2, m1*4294967296+v1 FROM p),
@@ -623,19 +679,100 @@ _WELD = f"""WITH RECURSIVE p AS ({_PAIRS}), e AS (SELECT m1*4294967296+v1 AS a,
 
 @query(_WELD + "SELECT mesh_id, vid, merged_vid FROM m")
 def weld_epsilon(spark, d):
-    return mesh.weld(mverts(spark, d), 0.12)
+    return mesh.weld(mverts(spark, d), 0.15)
+
+
+#: Faces between neighbours of one mesh; one in seven has two equal corners.
+_MF = f"""(SELECT v.mesh_id, v.vid AS fid, v.vid AS a, CASE WHEN v.vid % 7 = 0 THEN v.vid ELSE v.vid+1 END AS b, v.vid+50 AS c
+  FROM {_MV} v JOIN {_MV} w ON w.mesh_id = v.mesh_id AND w.vid = v.vid+50)"""
+
+
+def mfaces(spark, d):
+    v = mverts(spark, d).select("mesh_id", "vid")
+    f = v.join(v.select("mesh_id", (F.col("vid") - 50).alias("vid")), ["mesh_id", "vid"], "left_semi")
+    return f.select("mesh_id", F.col("vid").alias("fid"), F.col("vid").alias("a"), F.when(F.col("vid") % 7 == 0, F.col("vid")).otherwise(F.col("vid") + 1).alias("b"), (F.col("vid") + 50).alias("c"))
+
+
+def _merged(spark, d):
+    v = mverts(spark, d)
+    mapping = mesh.written(mesh.weld(v, 0.15), "mapping")
+    return mapping, *mesh.apply_mapping(v, mfaces(spark, d), mapping)
+
+
+_MERGED_F = f"""g0 AS (SELECT f.mesh_id, f.fid, p.merged_vid AS a, q.merged_vid AS b, r.merged_vid AS c FROM {_MF} f JOIN m p ON p.mesh_id = f.mesh_id AND p.vid = f.a
+   JOIN m q ON q.mesh_id = f.mesh_id AND q.vid = f.b JOIN m r ON r.mesh_id = f.mesh_id AND r.vid = f.c),
+ g1 AS (SELECT row_number() OVER (ORDER BY mesh_id, fid)-1 AS fid, a, b, c FROM g0 WHERE a <> b AND b <> c AND a <> c) """
 
 
 @query(_WELD + "SELECT merged_vid AS vid, arg_max(x, id) AS x, arg_max(y, id) AS y FROM m GROUP BY merged_vid")
 def apply_mapping(spark, d):
+    return _merged(spark, d)[1].select("vid", "x", "y")
+
+
+@query(_WELD + f", {_MERGED_F} SELECT fid, a, b, c FROM g1")
+def apply_mapping_faces(spark, d):
+    return _merged(spark, d)[2].select("fid", "a", "b", "c")
+
+
+@query(_WELD + f""", {_MERGED_F}, t AS (SELECT g1.fid, p.mesh_id, p.vid AS va, q.vid AS vb, r.vid AS vc FROM g1 JOIN m p ON p.merged_vid = g1.a
+   JOIN m q ON q.merged_vid = g1.b AND q.mesh_id = p.mesh_id JOIN m r ON r.merged_vid = g1.c AND r.mesh_id = p.mesh_id)
+SELECT fid, mesh_id, va, vb, vc FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY mesh_id, va, vb, vc) AS n FROM t) WHERE n = 1""")
+def inverse_faces(spark, d):
+    mapping, _, f = _merged(spark, d)
+    return mesh.inverse_faces(f, mapping).select("fid", "mesh_id", "va", "vb", "vc")
+
+
+@query(_WELD + f""", w AS ({_PAIRS.replace('0.15e0', '0.3e0')})
+SELECT round(min(w.distance), 9) AS distance FROM w JOIN m a ON a.mesh_id = w.m1 AND a.vid = w.v1 JOIN m b ON b.mesh_id = w.m2 AND b.vid = w.v2 WHERE a.merged_vid <> b.merged_vid""")
+def min_separation(spark, d):
     v = mverts(spark, d)
-    none = spark.createDataFrame([], "mesh_id int, fid long, a long, b long, c long")
-    return mesh.apply_mapping(v, none, mesh.written(mesh.weld(v, 0.12), "mapping"))[0].select("vid", "x", "y")
+    return mesh.min_separation(v, mesh.written(mesh.weld(v, 0.15), "mapping"), 0.3).select(F.round("distance", 9).alias("distance"))
 
 
-@query(WITH + f"SELECT v.* FROM v ANTI JOIN (SELECT mesh_id, v AS vid FROM ({CORNERS})) c USING (mesh_id, vid)")
+@query(_WELD + """, e2 AS (SELECT DISTINCT a.mesh_id AS a, b.mesh_id AS b FROM m a JOIN m b USING (merged_vid)), r2(a, b) AS (SELECT a, b FROM e2 UNION SELECT r.a, e.b FROM r2 r JOIN e2 e ON r.b = e.a)
+SELECT (SELECT count(DISTINCT mesh_id) FROM m) = (SELECT max(n) FROM (SELECT count(*) AS n FROM r2 GROUP BY a)) AS "all", false AS apart""")
+def all_connected(spark, d):
+    """Whether the welded meshes hang together, and whether they would if nothing were merged."""
+    v = mverts(spark, d)
+    own = v.select("mesh_id", "vid", (F.col("mesh_id") * 1_000_000 + F.col("vid")).alias("merged_vid"))
+    return spark.createDataFrame([(mesh.all_connected(v, mesh.written(mesh.weld(v, 0.15), "mapping")), mesh.all_connected(v, own))], "all boolean, apart boolean")
+
+
+_NEAR = f"(SELECT *, CAST(floor(x/1.01e0) AS BIGINT) AS kx, CAST(floor(y/1.01e0) AS BIGINT) AS ky FROM {_MV})"
+
+
+@query(f"""SELECT a.mesh_id AS mesh_id, a.vid AS v1, b.vid AS v2 FROM {_NEAR} a JOIN (SELECT * REPLACE (kx+dx AS kx, ky+dy AS ky) FROM {_NEAR}, (SELECT unnest([-1,0,1]) AS dx), (SELECT unnest([-1,0,1]) AS dy)) b
+ ON a.mesh_id = b.mesh_id AND a.kx = b.kx AND a.ky = b.ky AND a.vid < b.vid WHERE (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) < 1.003e0""")
+def duplicate_points(spark, d):
+    return mesh.close_pairs(mverts(spark, d), 1.003**0.5, across=False).select(F.col("m1").alias("mesh_id"), "v1", "v2")
+
+
+@query(f"""WITH b AS (SELECT mesh_id, min(x)+40*mesh_id AS x0, max(x)+40*mesh_id AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM {GRID_V} GROUP BY mesh_id)
+SELECT a.mesh_id AS m1, b.mesh_id AS m2 FROM b a JOIN b ON a.mesh_id < b.mesh_id AND a.x0-9 <= b.x1+9 AND b.x0-9 <= a.x1+9 AND a.y0-9 <= b.y1+9 AND b.y0-9 <= a.y1+9 AND a.z0-9 <= b.z1+9 AND b.z0-9 <= a.z1+9""")
+def close_boxes(spark, d):
+    return mesh.close_boxes(grid_v(spark, d).withColumn("x", F.col("x") + F.col("mesh_id") * 40), 9.0)
+
+
+@query(f"""SELECT DISTINCT CAST(col AS DOUBLE) AS x, -CAST("row" - "row" // 50 AS DOUBLE) AS y FROM {RAS}""")
+def merge_auto(spark, d):
+    """Strips laid so that the last row of one is the first of the next, merged with an eps that is found."""
+    v = grid_v(spark, d).withColumns({"y": F.col("y") - F.col("mesh_id") * 49, "z": F.lit(0.0)})
+    return mesh.merge_meshes(v, grid_mesh(spark, d)[1])[0].select("x", "y")
+
+
+_F11 = f"(SELECT * FROM {FACES} WHERE a % 11 <> 0 AND b % 11 <> 0 AND c % 11 <> 0)"
+
+
+@query(f"WITH f AS MATERIALIZED {_F11}, v AS MATERIALIZED {VERTS} SELECT v.* FROM v ANTI JOIN (SELECT mesh_id, v AS vid FROM ({CORNERS})) c USING (mesh_id, vid)")
 def isolated_vertices(spark, d):
-    return mesh.isolated_vertices(verts(spark, d), faces(spark, d))
+    return mesh.isolated_vertices(verts(spark, d), faces(spark, d).where("a % 11 <> 0 and b % 11 <> 0 and c % 11 <> 0"))
+
+
+@query(f"""WITH f AS MATERIALIZED {_F11}, v AS MATERIALIZED {VERTS}, u AS (SELECT DISTINCT mesh_id, v AS vid FROM ({CORNERS}))
+SELECT v.mesh_id, row_number() OVER (PARTITION BY v.mesh_id ORDER BY v.vid)-1 AS vid, x, y, z FROM v JOIN u USING (mesh_id, vid)""")
+def renumbered_vertices(spark, d):
+    f = faces(spark, d).where("a % 11 <> 0 and b % 11 <> 0 and c % 11 <> 0")
+    return mesh.renumber(verts(spark, d), f)[0].select("mesh_id", "vid", "x", "y", "z")
 
 
 @query(WITH + f"SELECT mesh_id, a, b FROM ({EDGES}) GROUP BY ALL HAVING count(*) = 1")
@@ -705,9 +842,14 @@ def mesh_bbox(spark, d):
     return mesh.bounding_box(verts(spark, d))
 
 
-@query(f"SELECT DISTINCT mesh_id, true AS square FROM {GRID_V}")
+_NOTCHED = f"(SELECT * FROM {GRID_V} WHERE NOT (mesh_id % 3 = 1 AND vid = 0) AND NOT (mesh_id % 3 = 2 AND vid IN (63, 64)))"
+
+
+@query(f"""WITH v AS {_NOTCHED}, b AS (SELECT mesh_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v GROUP BY mesh_id)
+SELECT mesh_id, count(DISTINCT [x, y]) FILTER ((x = x0 OR x = x1) AND (y = y0 OR y = y1)) = 4 AS square FROM v JOIN b USING (mesh_id) GROUP BY mesh_id""")
 def mesh_is_square(spark, d):
-    return mesh.is_square(grid_v(spark, d))
+    v = grid_v(spark, d).where("not (mesh_id % 3 = 1 and vid = 0) and not (mesh_id % 3 = 2 and vid in (63, 64))")
+    return mesh.is_square(v)
 
 
 @query(f"WITH v AS {GRID_V} SELECT mesh_id, vid, round(x - avg(x) OVER w, 6) AS x, round(y - avg(y) OVER w, 6) AS y, round(z - avg(z) OVER w, 6) AS z FROM v WINDOW w AS (PARTITION BY mesh_id)")
@@ -715,17 +857,25 @@ def mesh_centred(spark, d):
     return mesh.centred(grid_v(spark, d)).select("mesh_id", "vid", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
-@query(f"WITH f AS {GRID_F}, v AS {GRID_V} SELECT CAST(0 AS BIGINT) AS n")
+@query(f"""WITH f AS MATERIALIZED {GRID_F}, v AS MATERIALIZED {GRID_V}, t AS ({TRIANGLES})
+SELECT 'left' AS side, bx AS x0, "by" AS y0, bz AS z0, cx AS x1, cy AS y1, cz AS z1 FROM t WHERE fid % 5 = 0 OR fid % 11 = 3
+UNION ALL SELECT 'right', bx, "by", bz, ax, ay, az FROM t WHERE fid % 5 = 0 AND fid % 11 <> 3
+UNION ALL SELECT 'right', bx, "by", bz, cx, cy, cz FROM t WHERE fid % 7 = 2 AND fid % 5 <> 0 AND fid % 11 <> 3""")
 def mesh_equality(spark, d):
-    """A mesh against its own faces turned round: no difference."""
+    """A mesh against its own faces turned round, where some look the other way, some are missing and some come twice."""
     v, f = grid_v(spark, d), grid_f(spark, d)
-    turned = f.select("mesh_id", "fid", F.col("b").alias("a"), F.col("c").alias("b"), F.col("a").alias("c"))
-    return mesh.different(mesh.triangles(v, f), mesh.triangles(v, turned)).agg(F.count(F.lit(1)).alias("n"))
+    t = mesh.triangles(v, f)
+    corner = lambda a, b, c: [F.col(f"{p}{k}").alias(f"{q}{k}") for p, q in ((a, "a"), (b, "b"), (c, "c")) for k in "xyz"]
+    there = t.where("fid % 11 <> 3")
+    other = there.where("fid % 5 <> 0").select(*corner("b", "c", "a")).unionAll(there.where("fid % 5 = 0").select(*corner("c", "b", "a")))
+    other = other.unionAll(there.where("fid % 5 <> 0 and fid % 7 = 2").select(*corner("c", "a", "b")))
+    out = mesh.different(t, other)
+    return out.select("side", *[F.col("t")[i][k].alias(f"{k}{i}") for i in (0, 1) for k in "xyz"])
 
 
 @query(_WELD + "SELECT count(DISTINCT mesh_id) AS meshes, count(*) AS vertices, count(DISTINCT merged_vid) AS merged, max(merged_vid) AS last, CAST(0 AS BIGINT) AS ambiguous FROM m")
 def mapping_report(spark, d):
-    return mesh.mapping_report(mesh.written(mesh.weld(mverts(spark, d), 0.12), "mapping"))
+    return mesh.mapping_report(mesh.written(mesh.weld(mverts(spark, d), 0.15), "mapping"))
 
 
 # -- encodings, textures, text ----------------------------------------------------------------------------------------
@@ -785,34 +935,79 @@ def qm_header(spark, d):
     return h.select("mesh_id", *[F.round(c, 3).alias(c) for c in ("cx", "cy", "cz")], "min_h", "max_h", F.round("radius", 3).alias("radius"))
 
 
+_D = "sqrt((cx/6378137e0)*(cx/6378137e0)+(cy/6378137e0)*(cy/6378137e0)+(cz/6356752.3142451793e0)*(cz/6356752.3142451793e0))"
+
+
+@query(f"""
+WITH e AS (SELECT mesh_id, {_ECEF.replace('round(', '(').replace(', 3)', ')')} FROM {_HEAD}),
+ b AS (SELECT mesh_id, (min(x)+max(x))/2 AS cx, (min(y)+max(y))/2 AS cy, (min(z)+max(z))/2 AS cz FROM e GROUP BY mesh_id),
+ s AS (SELECT mesh_id, x/6378137e0 AS sx, y/6378137e0 AS sy, z/6356752.3142451793e0 AS sz, cx/6378137e0/{_D} AS dx, cy/6378137e0/{_D} AS dy, cz/6356752.3142451793e0/{_D} AS dz FROM e JOIN b USING (mesh_id)),
+ m AS (SELECT *, sqrt(sx*sx+sy*sy+sz*sz) AS n FROM s),
+ a AS (SELECT *, (sx*dx+sy*dy+sz*dz)/n AS ca, greatest(n, 1) AS h FROM m),
+ g AS (SELECT mesh_id, dx, dy, dz, 1/(ca/h - sqrt(greatest(1-ca*ca, 0))*sqrt(h*h-1)/h) AS mag FROM a)
+SELECT mesh_id, round(max(mag)*any_value(dx), 6) AS ox, round(max(mag)*any_value(dy), 6) AS oy, round(max(mag)*any_value(dz), 6) AS oz FROM g GROUP BY mesh_id""")
+def occlusion_point(spark, d):
+    p = points(spark, d).select((F.col("event_id") % 25).alias("mesh_id"), (F.col("lon") / 100 + F.col("event_id") % 25).alias("x"), (F.col("lat") / 100 + 40).alias("y"), F.col("h").alias("z"))
+    return encode.header(p).select("mesh_id", *[F.round(c, 6).alias(c) for c in ("ox", "oy", "oz")])
+
+
 @query("SELECT event_id, CAST(v >> 16 & 255 AS INT) AS r, CAST(v >> 8 & 255 AS INT) AS g, CAST(v & 255 AS INT) AS b FROM (SELECT event_id, CAST(floor((value+32768)*256+0.5e0) AS BIGINT) AS v FROM events)")
 def height_rgb(spark, d):
     return read(spark, d, "events").select("event_id", *[c.alias(k) for c, k in zip(encode.height_to_rgb(F.col("value")), "rgb", strict=True)])
 
 
-@query("""
-WITH a AS (SELECT DISTINCT CAST(z AS INT) AS zoom, event_id % (1 << z) AS x, event_id * 3 % (1 << z) AS y FROM (SELECT event_id, event_id % 5 AS z FROM events) WHERE event_id % 7 < 4),
- l4 AS (SELECT zoom, x, y FROM a WHERE zoom = 4),
- w3 AS (SELECT 3 AS zoom, x//2 AS x, y//2 AS y FROM l4 GROUP BY ALL HAVING count(*) = 4), c3 AS (SELECT zoom, x, y FROM a WHERE zoom = 3 UNION SELECT * FROM w3),
- w2 AS (SELECT 2 AS zoom, x//2 AS x, y//2 AS y FROM c3 GROUP BY ALL HAVING count(*) = 4), c2 AS (SELECT zoom, x, y FROM a WHERE zoom = 2 UNION SELECT * FROM w2),
- w1 AS (SELECT 1 AS zoom, x//2 AS x, y//2 AS y FROM c2 GROUP BY ALL HAVING count(*) = 4), c1 AS (SELECT zoom, x, y FROM a WHERE zoom = 1 UNION SELECT * FROM w1),
- w0 AS (SELECT 0 AS zoom, x//2 AS x, y//2 AS y FROM c1 GROUP BY ALL HAVING count(*) = 4)
-SELECT * FROM a ANTI JOIN (SELECT * FROM w3 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w0) w USING (zoom, x, y)""")
+_IMAGES = "(SELECT DISTINCT CAST(event_id % 8 AS INT) AS zoom, event_id * 7919 % (1 << (event_id % 8)) AS x, event_id * 104729 // 8 % (1 << (event_id % 8)) AS y FROM events)"
+
+
+def images(spark, d):
+    n = F.pow(F.lit(2), F.col("event_id") % 8).cast("long")
+    i = F.col("event_id")
+    return read(spark, d, "events").select((i % 8).cast("int").alias("zoom"), (i * 7919 % n).alias("x"), (F.floor(i * 104729 / 8).cast("long") % n).alias("y")).distinct()
+
+
+def _painted(top: int) -> str:
+    """Tiles with an image that are not wholly covered by finer ones: level by level from the finest."""
+    out, last = [f"a AS MATERIALIZED (SELECT * FROM {_IMAGES} WHERE zoom <= {top})", f"c{top} AS (SELECT x, y FROM a WHERE zoom = {top})"], []
+    for z in range(top - 1, -1, -1):
+        out += [f"w{z} AS (SELECT x//2 AS x, y//2 AS y FROM c{z + 1} GROUP BY ALL HAVING count(*) = 4)", f"c{z} AS (SELECT x, y FROM a WHERE zoom = {z} UNION SELECT x, y FROM w{z})"]
+        last.append(f"SELECT {z} AS zoom, x, y FROM w{z}")
+    return "WITH " + ", ".join(out) + f", painted AS (SELECT * FROM a ANTI JOIN ({' UNION ALL '.join(last)}) w USING (zoom, x, y)) "
+
+
+@query(_painted(7) + "SELECT zoom, x, y FROM painted")
 def texture_tiles(spark, d):
-    e = read(spark, d, "events").where("event_id % 7 < 4").select("event_id", (F.col("event_id") % 5).cast("int").alias("zoom"))
-    n = F.pow(F.lit(2), F.col("zoom")).cast("long")
-    a = e.select("zoom", (F.col("event_id") % n).alias("x"), (F.col("event_id") * 3 % n).alias("y")).distinct()
     h = MERC.half_width
-    return texture.tiles_to_paint(a, MERC, (-h, -h, h, h), (0, 0, 0), 4)
+    return texture.tiles_to_paint(images(spark, d), MERC, (-h, -h, h, h), (0, 0, 0), 7)
+
+
+@query(_painted(3) + """, p AS (SELECT tr AS "row", tc AS col, zoom, x, y, 64 >> zoom AS s, x * (64 >> zoom) AS l, 64 - (y+1) * (64 >> zoom) AS t FROM painted, (SELECT CAST(unnest(range(64)) AS INT) AS tr), (SELECT CAST(unnest(range(64)) AS INT) AS tc)
+  WHERE tc >= x * (64 >> zoom) AND tc < (x+1) * (64 >> zoom) AND tr >= 64 - (y+1) * (64 >> zoom) AND tr < 64 - y * (64 >> zoom))
+SELECT "row", col, arg_max(zoom*1000000 + x*10000 + y*100 + least(CAST(floor(("row"-t+0.5e0)*4/s) AS INT), 3)*10 + least(CAST(floor((col-l+0.5e0)*4/s) AS INT), 3), zoom) AS value FROM p GROUP BY ALL""")
+def texture_paint(spark, d):
+    """A texture of 64 x 64 pixels from tile images of 4 x 4 pixels that say which they are."""
+    t = images(spark, d).where("zoom <= 3")
+    px = t.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("row")).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("col"))
+    px = px.withColumn("value", F.col("zoom") * 1000000 + F.col("x") * 10000 + F.col("y") * 100 + F.col("row") * 10 + F.col("col"))
+    h = MERC.half_width
+    return texture.texture(px, MERC, (-h, -h, h, h), (0, 0, 0), 3, (4, 4), (64, 64)).select("row", "col", "value")
+
+
+@query(f"""
+WITH p AS MATERIALIZED (SELECT "row" AS image_id, col // 8 AS r, col % 8 AS c, z FROM {RAS}),
+ t AS (SELECT tr, tc, least(greatest((tr+0.5e0)*8/5-0.5e0, 0), 7) AS v, least(greatest((tc+0.5e0)*8/12-0.5e0, 0), 7) AS u FROM (SELECT CAST(unnest(range(5)) AS INT) AS tr), (SELECT CAST(unnest(range(12)) AS INT) AS tc)),
+ w AS (SELECT tr, tc, CAST(least(floor(v)+i, 7) AS INT) AS r, CAST(least(floor(u)+j, 7) AS INT) AS c, (CASE i WHEN 0 THEN 1-(v-floor(v)) ELSE v-floor(v) END)*(CASE j WHEN 0 THEN 1-(u-floor(u)) ELSE u-floor(u) END) AS k FROM t, (SELECT unnest([0,1]) AS i), (SELECT unnest([0,1]) AS j))
+SELECT image_id, tr AS "row", tc AS col, round(sum(k*z), 9) AS value FROM w JOIN p USING (r, c) GROUP BY ALL""")
+def texture_resize(spark, d):
+    p = ras(spark, d).select(F.col("row").alias("image_id"), F.floor(F.col("col") / 8).cast("int").alias("row"), (F.col("col") % 8).alias("col"), F.col("z").alias("value"))
+    return texture.resize(p, (8, 8), (5, 12)).select("image_id", "row", "col", F.round("value", 9).alias("value"))
 
 
 @query(f"""SELECT event_id, CAST(round_even(x*1024e0/power(2, zoom), 0) AS INT) AS "left", CAST(round_even(1024e0-(y+1)*1024e0/power(2, zoom), 0) AS INT) AS top,
- CAST(round_even((x+1)*1024e0/power(2, zoom), 0) AS INT) AS "right", CAST(round_even(1024e0-y*1024e0/power(2, zoom), 0) AS INT) AS bottom FROM {_TILE} WHERE zoom < 9""")
+ CAST(round_even((x+1)*1024e0/power(2, zoom), 0) AS INT) AS "right", CAST(round_even(1024e0-y*1024e0/power(2, zoom), 0) AS INT) AS bottom FROM {_TILE}""")
 def texture_region(spark, d):
-    h = F.lit(MERC.half_width)
-    b = {"xmin": -h, "ymin": -h, "xmax": h, "ymax": h}
-    r = texture.region(MERC, F.col("zoom"), F.col("x"), F.col("y"), b, F.lit(1024), F.lit(1024))
-    return some_tiles(spark, d).where("zoom < 9").select("event_id", *[v.alias(k) for k, v in r.items()])
+    b = {"xmin": F.lit(-180.0), "ymin": F.lit(-90.0), "xmax": F.lit(180.0), "ymax": F.lit(90.0)}
+    r = texture.region(GEO, F.col("zoom"), F.col("x"), F.col("y"), b, F.lit(2048), F.lit(1024))
+    return some_tiles(spark, d).select("event_id", *[v.alias(k) for k, v in r.items()])
 
 
 @query("SELECT doc_id, list_filter(string_split_regex(text, '[ \\n\\r\\t]+'), lambda w: w <> '') AS tokens FROM documents")
@@ -825,11 +1020,6 @@ def file_stem(spark, d):
     return read(spark, d, "pages").select("page_id", encode.stem(F.col("url")).alias("stem"), (F.lower("url") == F.col("url")).alias("low"))
 
 
-@query(f"SELECT mesh_id, vid, 'v ' || CAST(CAST(x AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(y AS BIGINT) AS VARCHAR) AS line FROM {GRID_V}")
-def obj_lines(spark, d):
-    return grid_v(spark, d).select("mesh_id", "vid", F.format_string("v %d %d", F.col("x").cast("long"), F.col("y").cast("long")).alias("line"))
-
-
 # -- local algorithms, without SQL: held by invariants in the tests ---------------------------------------------------
 
 

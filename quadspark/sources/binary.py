@@ -5,6 +5,7 @@ The codecs work on one image or mesh; the DataFrame functions map them over rows
 
 from __future__ import annotations
 
+import gzip
 import json
 import struct
 import zlib
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.local import MESH, _parts, _rows, joined
+from ..operators.local import MESH, _parts, _rows, joined, split
 from ..operators.mesh import M
 
 # -- PNG --------------------------------------------------------------------------------------------------------------
@@ -167,6 +168,18 @@ def read_rasters(files: DataFrame) -> DataFrame:
     return files.select("name", "content").mapInPandas(run, "raster_id string, row int, col int, z double")
 
 
+def geotiff_files(pixels: DataFrame, gt: tuple[float, float, float, float], epsg: int, no_data: float = -9999.0) -> DataFrame:
+    """path and content of a GeoTIFF for each raster (raster_id, row, col, z); missing pixels hold the no-data value."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.full((int(pdf.row.max()) + 1, int(pdf.col.max()) + 1), no_data)
+        ok = pdf.z.notna()
+        a[pdf.row[ok], pdf.col[ok]] = pdf.z[ok]
+        return pd.DataFrame({"path": [f"{pdf.raster_id.iloc[0]}.tif"], "content": [geotiff(a, gt, epsg, no_data)]})
+
+    return pixels.select("raster_id", "row", "col", "z").groupBy("raster_id").applyInPandas(run, "path string, content binary")
+
+
 def raster_headers(files: DataFrame) -> DataFrame:
     """raster_id, epsg, width, height, geotransform and no-data value of GeoTIFF rows."""
 
@@ -330,13 +343,15 @@ def read_glb_files(files: DataFrame) -> DataFrame:
     return files.select("name", "content").mapInPandas(run, MESH)
 
 
-def quantized_mesh_files(vertices: DataFrame, faces: DataFrame, header: DataFrame) -> DataFrame:
+HEAD = ("cx", "cy", "cz", "min_h", "max_h", "radius", "ox", "oy", "oz")
+
+
+def quantized_mesh_files(vertices: DataFrame, faces: DataFrame, header: DataFrame, packed: bool = False) -> DataFrame:
     """path and content of a quantised mesh for each mesh: vertices (mesh_id, vid, u, v, h) as integers, header rows as
-    `encode.header` gives them."""
+    `encode.header` gives them; `packed` ones are gzipped."""
     rows = vertices.selectExpr(f"cast({M} as long) {M}", "'vertex' as kind", "cast(vid as long) i", "cast(u as double) a", "cast(v as double) b", "cast(h as double) c", "cast(0 as double) u", "cast(0 as double) v")
     rows = rows.unionByName(faces.selectExpr(f"cast({M} as long) {M}", "'face' as kind", "cast(fid as long) i", "cast(a as double) a", "cast(b as double) b", "cast(c as double) c", "cast(0 as double) u", "cast(0 as double) v"))
-    head = ("cx", "cy", "cz", "min_h", "max_h", "radius", "ox", "oy", "oz")
-    rows = rows.join(header.select(F.col(M).cast("long").alias(M), *head), M)
+    rows = rows.join(header.select(F.col(M).cast("long").alias(M), *HEAD), M)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p, f, _ = _parts(pdf)
@@ -344,11 +359,33 @@ def quantized_mesh_files(vertices: DataFrame, faces: DataFrame, header: DataFram
         q = p.astype(np.int64)
         centre = (x.cx, x.cy, x.cz)
         h = {"centre": centre, "min_h": x.min_h, "max_h": x.max_h, "sphere": (*centre, x.radius), "occlusion": (x.ox, x.oy, x.oz)}
-        return pd.DataFrame({"path": [f"{x[M]}.terrain"], "content": [quantized_mesh(q[:, 0], q[:, 1], q[:, 2], f, h)]})
+        content = quantized_mesh(q[:, 0], q[:, 1], q[:, 2], f, h)
+        return pd.DataFrame({"path": [f"{x[M]}.terrain{'.gz' if packed else ''}"], "content": [gzip.compress(content, 9, mtime=0) if packed else content]})
 
     return rows.groupBy(M).applyInPandas(run, "path string, content binary")
 
 
+def read_quantized_mesh_files(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vertices (mesh_id, vid, u, v, h as integers), faces and headers (as `encode.header` gives them) of quantised meshes, plain
+    or gzipped, from rows (name, content); the mesh's number is the name."""
+
+    def run(frames):
+        for pdf in frames:
+            for name, content in zip(pdf.name, pdf.content, strict=True):
+                u, v, h, f, _ = read_quantized_mesh(bytes(content))
+                yield _rows(int(name), np.stack((u, v, h), axis=1).astype(float), f)
+
+    def heads(frames):
+        for pdf in frames:
+            for name, content in zip(pdf.name, pdf.content, strict=True):
+                x = read_quantized_mesh(bytes(content))[4]
+                yield pd.DataFrame([(int(name), *x["centre"], x["min_h"], x["max_h"], x["sphere"][3], *x["occlusion"])], columns=[M, *HEAD])
+
+    v, f = split(files.select("name", "content").mapInPandas(run, MESH))
+    v = v.selectExpr(M, "vid", "cast(x as int) u", "cast(y as int) v", "cast(z as int) h")
+    return v, f, files.select("name", "content").mapInPandas(heads, f"{M} long, " + ", ".join(f"{c} double" for c in HEAD))
+
+
 # -- image tiles ------------------------------------------------------------------------------------------------------
 
 

@@ -1,8 +1,11 @@
 """Queries without SQL over every mesh of their tables."""
 
 import numpy as np
+import pytest
 
-from quadspark import queries
+from quadspark import queries, queries_files
+from quadspark.operators import mesh
+from quadspark.sources import meshes
 
 
 def test_every_mesh(spark, tmp_path):
@@ -14,3 +17,34 @@ def test_every_mesh(spark, tmp_path):
     assert got == {k: ((50 if k < 4 else 6) * 64, n) for k, n in faces.items()}
     got = {r.mesh_id: r.faces for r in queries.simplified(spark, str(tmp_path)).collect()}
     assert set(got) == set(faces) and all(0 < n <= 0.55 * faces[k] for k, n in got.items())
+
+
+def test_triangles_are_equal_to_their_rotations_only(spark):
+    names = [f"{k}{c}" for k in "abc" for c in "xyz"]
+    t = [0.0, 0, 0, 1, 0, 0, 0, 1, 0]
+    turned, flipped = t[3:] + t[:3], t[3:6] + t[:3] + t[6:]
+    frame = lambda *rows: spark.createDataFrame([list(map(float, r)) for r in rows], ", ".join(f"{n} double" for n in names))
+    sides = lambda a, b: sorted(r.side for r in mesh.different(frame(*a), frame(*b)).collect())
+    assert sides([t], [turned]) == [] and sides([t], [flipped]) == ["left", "right"]
+    assert sides([t, t], [turned]) == ["left"] and sides([t], [turned, flipped, t]) == ["right", "right"]
+
+
+def test_grid_mesh_fills_holes_or_drops_their_faces(spark):
+    size = spark.createDataFrame([(0, 3, 3), (1, 4, 4)], "raster_id int, width int, height int")
+    px = [(0, r, c, 5.0) for r in range(3) for c in range(3) if (r, c) != (1, 1)] + [(1, r, c, float(r)) for r in range(4) for c in range(4) if c]
+    v, f = mesh.grid_mesh(spark.createDataFrame(px, "raster_id int, row int, col int, z double"), size, 0.0, 0.0, 1.0)
+    assert v.count() == 9 + 16 and f.count() == 8 + 18 and v.where("mesh_id = 0 and z <> 5").count() == 0
+    assert mesh.mesh_report(v, f).count() == 0
+    v, f = mesh.grid_mesh(spark.createDataFrame(px, "raster_id int, row int, col int, z double"), size, 0.0, 0.0, 1.0, fill_radius=0)
+    assert mesh.mesh_report(v, f).count() == 0 and f.where("mesh_id = 0").count() == 2 and f.where("mesh_id = 1").count() == 12
+
+
+def test_formats_by_extension(spark, tmp_path):
+    assert meshes.kind_of("a/b.c/7.terrain.gz") == "terrain.gz" and meshes.kind_of("x.OBJ") == "obj"
+    with pytest.raises(ValueError):
+        meshes.kind_of("x.ply")
+
+
+def test_queries_have_sql_and_names():
+    assert set(queries.ORACLE) <= set(queries.QUERIES) and queries_files.query is queries.query
+    assert all(k == f.__name__ for k, f in queries.QUERIES.items())
