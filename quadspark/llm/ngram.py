@@ -1,7 +1,9 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark and kept as sorted hash arrays."""
+"""LM scoring: an interpolated modified Kneser-Ney trigram model, counted in Spark and kept as sorted arrays."""
 
 from __future__ import annotations
 
+import gc
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,11 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import mapped, qualified, store
-from .common import Workspace, groups_of, parallelism
-from .textops import runs, string_buffers, words
+from .common import Workspace, as_long, groups_of
+from .textops import mix64, runs, string_buffers, words
 
 END = np.uint64(0x5DEECE66D1234567)  # the hash that stands for a text's end
 FLUSH = 4_000_000  # entries a task holds before it merges them
+BUCKET_BYTES = 16 << 20  # bytes of training text for each bucket of n-grams, which is one task's
+LONG = 16  # followers from which a context's sums are stored
+BLOCK = 64  # contexts that share the base of their offsets
+LOW = np.uint64(0xFFFFFFFF)
 
 
 @dataclass(frozen=True)
@@ -67,6 +73,20 @@ def merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
+def merge_triples(contexts: np.ndarray, tokens: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of a context and a token, sorted, and the sums of their counts (of 1 if none are given)."""
+    order = np.lexsort((tokens, contexts))
+    contexts, tokens = contexts[order], tokens[order]
+    new = np.ones(len(tokens), dtype=bool)
+    new[1:] = (contexts[1:] != contexts[:-1]) | (tokens[1:] != tokens[:-1])
+    at = np.flatnonzero(new)
+    if counts is None:
+        counts = np.diff(at, append=len(tokens))
+    else:
+        counts = np.add.reduceat(counts[order], at) if len(at) else counts
+    return contexts[at], tokens[at], counts
+
+
 class Tally:
     """Counts of 64-bit keys, merged whenever many have gathered."""
 
@@ -96,22 +116,59 @@ class Tally:
         return out
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte of their places: a block compressor finds the zeros of the high ones."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplaned(blob: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    x = np.frombuffer(blob, dtype=np.uint8, count=4 * n, offset=at).reshape(4, n)
+    return np.ascontiguousarray(x.T).view("<u4").reshape(-1), at + 4 * n
+
+
 def encode(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys and counts, laid out so that a block compressor finds the repeats: high halves as differences."""
+    """Sorted keys and counts: high halves as differences, all by byte planes."""
     high = (keys >> np.uint64(32)).astype(np.uint32)
-    return np.concatenate((np.diff(high, prepend=np.uint32(0)), keys.astype(np.uint32), counts.astype(np.uint32), (counts >> 32).astype(np.uint32))).tobytes()
+    return b"".join(map(_planes, (np.diff(high, prepend=np.uint32(0)), keys & LOW, counts & 0xFFFFFFFF, counts >> 32)))
 
 
 def decode(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    a = np.frombuffer(blob, dtype=np.uint32).reshape(4, -1)
+    n, at, a = len(blob) // 16, 0, []
+    for _ in range(4):
+        x, at = _unplaned(blob, at, n)
+        a.append(x)
     keys = np.cumsum(a[0], dtype=np.uint64) << np.uint64(32) | a[1].astype(np.uint64)
     return keys, a[2].astype(np.int64) | a[3].astype(np.int64) << 32
 
 
+def encode_triples(contexts: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> bytes:
+    """Each context once with the number of its tokens, then tokens and counts."""
+    at = np.flatnonzero(np.concatenate(([True], contexts[1:] != contexts[:-1]))) if len(contexts) else np.zeros(0, np.int64)
+    own = contexts[at]
+    high = (own >> np.uint64(32)).astype(np.uint32)
+    head = np.array([len(own), len(tokens)], dtype="<u8").tobytes()
+    return head + b"".join(map(_planes, (np.diff(high, prepend=np.uint32(0)), own & LOW, np.diff(at, append=len(contexts)), tokens, counts & 0xFFFFFFFF, counts >> 32)))
+
+
+def decode_triples(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, m = np.frombuffer(blob, dtype="<u8", count=2).astype(int)
+    at, a = 16, []
+    for k in (n, n, n, m, m, m):
+        x, at = _unplaned(blob, at, k)
+        a.append(x)
+    own = np.cumsum(a[0], dtype=np.uint64) << np.uint64(32) | a[1].astype(np.uint64)
+    return np.repeat(own, a[2]), a[3], a[4].astype(np.int64) | a[5].astype(np.int64) << 32
+
+
+def _spans(of: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal numbers."""
+    cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)] if len(of) else [0]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 def _sliced(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
     """A row for each bucket, of keys sorted by it."""
-    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)] if len(keys) else [0]
-    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+    spans = _spans(bucket)
     return pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), pa.array([encode(keys[a:b], counts[a:b]) for a, b in spans], pa.binary())], ["bucket", "blob"])
 
 
@@ -160,9 +217,9 @@ def _store_words(path: str):
     return run
 
 
-def _pairs(v: Vocabulary, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each token of the rows, the end of each included: the row, the token's id (-1 if unknown), the id before it (the
-    vocabulary's size at a start), and the counts of both (of the start: the texts)."""
+def _positions(v: Vocabulary, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each token of the rows, the end of each included: the row, the token's id (-1 if unknown), its count, and the ids of
+    the one and two before it (before a text's start the vocabulary's size)."""
     n = len(first) - 1
     row = np.repeat(np.arange(n), np.diff(first) + 1)
     last = np.cumsum(np.diff(first) + 1) - 1
@@ -172,30 +229,44 @@ def _pairs(v: Vocabulary, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
     token[inner], token[last] = h, END
     distinct, back = np.unique(token, return_inverse=True)
     ids, count = (x[back] for x in v.look_up(distinct))
-    prev, before = np.empty_like(ids), np.empty_like(ids)
-    prev[1:], before[1:] = ids[:-1], count[:-1]
     start = np.concatenate(([0], last[:-1] + 1)) if n else last
-    prev[start], before[start] = v.size, v.texts
-    return row, ids, prev, count, before
+    one, two = np.empty_like(ids), np.empty_like(ids)
+    one[1:] = ids[:-1]
+    one[start] = v.size
+    two[1:] = one[:-1]
+    two[start] = v.size
+    return row, ids, count, one, two
+
+
+def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
 
 
-def _count_pairs(v: Vocabulary, buckets: int):
+def _count_triples(v: Vocabulary, buckets: int):
+    """Each task's distinct trigrams and their counts, dealt by the hash of the two first tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
 
         def give() -> pa.RecordBatch:
-            k, c = tally.clear()
-            b = pair_bucket(v, k, buckets)
+            k, t, c = merge_triples(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            b = bucket_of(mix64(k), buckets)
             order = np.argsort(b, kind="stable")
-            return _sliced(k[order], c[order], b[order])
+            k, t, c, b = k[order], t[order], c[order], b[order]
+            spans = _spans(b)
+            return pa.RecordBatch.from_arrays([pa.array([int(b[x]) for x, _ in spans], pa.int64()), pa.array([encode_triples(k[x:y], t[x:y], c[x:y]) for x, y in spans], pa.binary())], ["bucket", "blob"])
 
+        held = 0
         for batch in batches:
             for _, _, h, first in _texts(batch, 0):
-                _, ids, prev, *_ = _pairs(v, h, first)
-                tally.add(*np.unique(prev.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64), return_counts=True))
-            if tally.full:
-                yield give()
-        yield give()
+                _, ids, _, one, two = _positions(v, h, first)
+                parts.append((_key(two, one), ids.astype(np.uint32)))
+                held += len(ids)
+                if held > FLUSH:
+                    yield give()
+                    parts, held = [], 0
+        if parts:
+            yield give()
 
     return run
 
@@ -203,7 +274,7 @@ def _count_pairs(v: Vocabulary, buckets: int):
 def pair_bucket(v: Vocabulary, keys: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket of sorted bigram keys: by the share of training bigrams with a smaller left token, and within one left token by
     the share of tokens smaller than the right one.  A left token that is very frequent is dealt over many buckets."""
-    left, right = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    left, right = (keys >> np.uint64(32)).astype(np.int64), (keys & LOW).astype(np.int64)
     c, s = v_mass(v, left)
     _, r = v_mass(v, right)
     share = (s + c * (r / max(v.tokens, 1))) / max(v.tokens + v.texts, 1)
@@ -225,13 +296,71 @@ def v_mass(v: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return c[back], s[back]
 
 
+def _store_counts(path: str, b: int, counts: np.ndarray) -> None:
+    """Counts as bytes, those of 255 and more besides with their places."""
+    store(f"{path}/times-{b}", np.minimum(counts, 255).astype("<u1"))
+    big = np.flatnonzero(counts >= 255)
+    store(f"{path}/more-{b}", np.stack((big, counts[big])).astype("<i8"))
+
+
+def _counts(path: str, b: int, at: np.ndarray) -> np.ndarray:
+    c = mapped(f"{path}/times-{b}", "<u1")[at].astype(np.int64)
+    big = np.flatnonzero(c == 255)
+    if len(big):
+        place, n = mapped(f"{path}/more-{b}", "<i8").reshape(2, -1)
+        c[big] = n[np.searchsorted(place, at[big])]
+    return c
+
+
+def _of_counts(counts: np.ndarray) -> list[int]:
+    return [int((counts == i).sum()) for i in (1, 2, 3, 4)]
+
+
+def _store_triples(path: str, v: Vocabulary, buckets: int):
+    """Stores a bucket of trigrams: contexts, the offsets of their tokens, tokens and counts, and the sums of long contexts; gives,
+    dealt by buckets of bigrams, how many distinct tokens each bigram of second and third tokens has before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+
+        def give() -> pa.RecordBatch:
+            k, c = tally.clear()
+            b = pair_bucket(v, k, buckets)
+            order = np.argsort(b, kind="stable")
+            return _sliced(k[order], c[order], b[order])
+
+        for g in groups_of(batches, ["bucket"]):
+            b = int(g["bucket"][0])
+            k, t, c = merge_triples(*(np.concatenate(x) for x in zip(*(decode_triples(x) for x in g["blob"]), strict=True)))
+            at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            at = np.append(at, len(k))
+            base = at[::BLOCK]
+            off = at - np.repeat(base, BLOCK)[: len(at)]
+            wide = 2 if off.max() < 1 << 16 else 4
+            store(f"{path}/context-{b}", k[at[:-1]])
+            store(f"{path}/base-{b}", base.astype("<i8"))
+            store(f"{path}/offset-{b}", off.astype(f"<u{wide}"))
+            store(f"{path}/token-{b}", t.astype("<u4"))
+            _store_counts(path, b, c)
+            long = np.flatnonzero(np.diff(at) >= LONG)
+            sums = [np.add.reduceat(x, at[:-1])[long] if len(long) else long for x in (c, c == 1, c == 2)]
+            store(f"{path}/long-{b}", np.stack((long, *sums)).astype("<i8"))
+            store(f"{path}/meta-{b}", np.array([wide, *_of_counts(c)], dtype="<i8"))
+            tally.add(*np.unique(_key(k & LOW, t), return_counts=True))
+            if tally.full:
+                yield give()
+        yield give()
+
+    return run
+
+
 def _store_pairs(path: str, size: int, parts: int):
-    """Stores a bucket of bigrams; gives, dealt by ranges of ids, how many of its bigrams with counts 1, 2 and more each left
-    token has (kind 0) and how many each right token has (kind 1), and the bucket's counts of counts (kind 2)."""
+    """Stores a bucket of bigrams by the number of distinct tokens before them; gives, dealt by ranges of ids, for each left
+    token how many of its bigrams have 1, 2 and more and the sum (kind 0), for each right token how many bigrams end
+    with it (kind 1), and the bucket's numbers of numbers (kind 2)."""
 
     def rows(kind: int, own: np.ndarray, n: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(own)] if len(own) else [0]
-        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        spans = _spans(part)
         blobs = [encode(own[x:y].astype(np.uint64), n[x:y]) for x, y in spans]
         return pa.RecordBatch.from_arrays([pa.array([kind] * len(spans), pa.int64()), pa.array([int(part[x]) for x, _ in spans], pa.int64()), pa.array(blobs, pa.binary())], ["kind", "part", "blob"])
 
@@ -242,11 +371,11 @@ def _store_pairs(path: str, size: int, parts: int):
             b = int(g["bucket"][0])
             k, c = _merged(g)
             store(f"{path}/pair-{b}", k)
-            store(f"{path}/times-{b}", np.minimum(c, 0xFFFFFFFF).astype("<u4"))
-            left, right = k >> np.uint64(32), k & np.uint64(0xFFFFFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int64()), pa.array([0], pa.int64()), pa.array([np.array([(c == i).sum() for i in (1, 2, 3, 4)], dtype=np.int64).tobytes()], pa.binary())], ["kind", "part", "blob"])
-            own, n = merge(left.astype(np.int64) * 3 + np.minimum(c, 3) - 1, np.ones(len(c), dtype=np.int64))
-            yield rows(0, own, n, own // 3 * parts // (size + 1))
+            _store_counts(path, b, c)
+            left, right = (k >> np.uint64(32)).astype(np.int64), k & LOW
+            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int64()), pa.array([0], pa.int64()), pa.array([np.array(_of_counts(c), dtype=np.int64).tobytes()], pa.binary())], ["kind", "part", "blob"])
+            own, n = merge(np.concatenate((left * 4 + np.minimum(c, 3) - 1, left * 4 + 3)), np.concatenate((np.ones(len(c), dtype=np.int64), c)))
+            yield rows(0, own, n, own // 4 * parts // (size + 1))
             followed.add(*np.unique(right, return_counts=True))
             if followed.full:
                 own, n = followed.clear()
@@ -269,18 +398,14 @@ def _store_sides(path: str, size: int, parts: int):
             k, c = _merged(g)
             k = k.astype(np.int64)
             lo, hi = part_range(part, size, parts)
-            of = np.zeros(4, dtype=np.int64)
-            if kind == 0:
-                n = np.zeros((hi - lo) * 3, dtype="<i8")
-                n[k - 3 * lo] = c
-                store(f"{path}/left-{part}", n)
-            else:
-                n = np.zeros(hi - lo, dtype="<i8")
-                n[k - lo] = c
-                store(f"{path}/right-{part}", n)
-                of = np.array([(c == i).sum() for i in (1, 2, 3, 4)])
+            width, of = (1 if kind else 4), [0, 0, 0, 0]
+            n = np.zeros((hi - lo) * width, dtype="<i8")
+            n[k - width * lo] = c
+            store(f"{path}/{'right' if kind else 'left'}-{part}", n)
+            if kind:
+                of = _of_counts(c)
             more = int((c >= 3).sum()) if kind else 0
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (kind, part, *of.tolist(), more, int(c.sum()))], ["kind", "part", "n1", "n2", "n3", "n4", "n3p", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (kind, part, *of, more, int(c.sum()))], ["kind", "part", "n1", "n2", "n3", "n4", "n3p", "total"])
 
     return run
 
@@ -294,12 +419,18 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(d if 0 <= d <= k else f for d, k, f in zip(raw, (1, 2, 3), (0.5, 1.0, 1.5), strict=True))
 
 
+def _less(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    """Counts less their discounts."""
+    return np.maximum(counts - np.array((0.0, *d))[np.minimum(counts, 3)], 0)
+
+
 @dataclass(frozen=True)
 class Model:
     vocabulary: Vocabulary
     path: str
     buckets: int
     parts: int
+    triple_discounts: tuple[float, float, float]
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     types: int  # distinct bigrams
@@ -313,97 +444,180 @@ class Model:
         for p in np.unique(part):
             own = slice(*np.searchsorted(part, (p, p + 1)))
             try:
-                a = mapped(f"{self.path}/{name}-{p}", "<i8").reshape(-1, width)
+                a = mapped(f"{self.path}/pairs/{name}-{p}", "<i8").reshape(-1, width)
             except FileNotFoundError:
                 continue  # no id of the part has any
             out[own] = a[ids[own] - part_range(int(p), size, self.parts)[0]]
         return out
 
-    def times(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted bigram keys, 0 if not seen."""
+    def pairs(self, keys: np.ndarray) -> np.ndarray:
+        """How many distinct tokens stand before each of sorted bigrams, 0 if it was not seen."""
         out = np.zeros(len(keys), dtype=np.int64)
         bucket = pair_bucket(self.vocabulary, keys, self.buckets)
         order = np.argsort(bucket, kind="stable")
-        bucket = bucket[order]
-        for b in np.unique(bucket):
-            own = order[slice(*np.searchsorted(bucket, (b, b + 1)))]
+        for x, y in _spans(bucket[order]):
+            own, b = order[x:y], int(bucket[order[x]])
             try:
-                known = mapped(f"{self.path}/pair-{b}", "<u8")
+                known = mapped(f"{self.path}/pairs/pair-{b}", "<u8")
             except FileNotFoundError:
                 continue
             if len(known):
                 at = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
-                out[own] = np.where(known[at] == keys[own], mapped(f"{self.path}/times-{b}", "<u4")[at], 0)
+                out[own] = np.where(known[at] == keys[own], _counts(f"{self.path}/pairs", b, at), 0)
         return out
 
+    def triples(self, contexts: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each context and token: the count of the trigram, the context's total (0 if not seen) and its discounts' sum."""
+        distinct, back = np.unique(contexts, return_inverse=True)
+        order = np.argsort(back, kind="stable")
+        first = np.searchsorted(back[order], np.arange(len(distinct) + 1))
+        count, total, weight = np.zeros(len(contexts), dtype=np.int64), np.zeros(len(distinct), dtype=np.int64), np.zeros(len(distinct))
+        bucket = bucket_of(mix64(distinct), self.buckets)
+        by = np.argsort(bucket, kind="stable")
+        path = f"{self.path}/triples"
+        for x, y in _spans(bucket[by]):
+            own, b = by[x:y], int(bucket[by[x]])
+            try:
+                known = mapped(f"{path}/context-{b}", "<u8")
+            except FileNotFoundError:
+                continue
+            at = np.minimum(np.searchsorted(known, distinct[own]), len(known) - 1)
+            ok = known[at] == distinct[own]
+            own, at = own[ok], at[ok]
+            if not len(own):
+                continue
+            base, off = mapped(f"{path}/base-{b}", "<i8"), mapped(f"{path}/offset-{b}", f"<u{mapped(f'{path}/meta-{b}', '<i8')[0]}")
+            lo, hi = (base[k // BLOCK] + off[k] for k in (at, at + 1))
+            size = hi - lo
+            # sums over the followers of short contexts; those of long ones are stored
+            sums = np.zeros((3, len(own)), dtype=np.int64)
+            short = np.flatnonzero(size < LONG)
+            n = size[short]
+            ends = np.cumsum(n)
+            c = _counts(path, b, np.repeat(lo[short] - ends + n, n) + np.arange(ends[-1] if len(n) else 0))
+            for k, z in enumerate((c, c == 1, c == 2)):
+                s = np.concatenate(([0], np.cumsum(z)))
+                sums[k, short] = s[ends] - s[ends - n]
+            long = np.flatnonzero(size >= LONG)
+            if len(long):
+                table = mapped(f"{path}/long-{b}", "<i8").reshape(4, -1)
+                sums[:, long] = table[1:, np.searchsorted(table[0], at[long])]
+            total[own] = sums[0]
+            weight[own] = np.array(self.triple_discounts) @ np.stack((sums[1], sums[2], size - sums[1] - sums[2]))
+            # the tokens asked for, by bisection in their context's followers
+            m = first[own + 1] - first[own]
+            ask = order[np.repeat(first[own] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+            a, z, t = np.repeat(lo, m), np.repeat(hi, m), tokens[ask].astype(np.int64)
+            end, token = z, mapped(f"{path}/token-{b}", "<u4")
+            for _ in range(int(size.max()).bit_length()):
+                mid = (a + z) // 2
+                open_ = a < z
+                less = token[np.minimum(mid, len(token) - 1)] < t
+                a, z = np.where(open_ & less, mid + 1, a), np.where(open_ & ~less, mid, z)
+            hit = a < end
+            hit[hit] = token[a[hit]] == t[hit]
+            count[ask[hit]] = _counts(path, b, a[hit])
+        return count, total[back], weight[back]
+
     def log10(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each row: tokens, known tokens, base score and score."""
         v = self.vocabulary
-        row, ids, prev, count, pc = _pairs(v, h, first)
+        row, ids, count, one, two = _positions(v, h, first)
         n = len(first) - 1
         base = np.log10((count + 0.1) / (v.tokens + 0.1 * (v.size + 1)))
-        known, before = ids >= 0, prev >= 0
+        known = ids >= 0
         distinct, back = np.unique(ids, return_inverse=True)
         follow = np.zeros(len(distinct), dtype=np.int64)
         ok = distinct >= 0
         follow[ok] = self.side("right", distinct[ok], 1)[:, 0]
-        d, w = np.array((0.0, *self.word_discounts)), self.word_classes
-        rest = sum(a * b for a, b in zip(self.word_discounts, w, strict=True)) / max(self.types, 1) if self.types else 1.0
-        one = (np.maximum(follow - d[np.minimum(follow, 3)], 0) / max(self.types, 1) + rest / (v.size + 1))[back]
+        rest = sum(a * b for a, b in zip(self.word_discounts, self.word_classes, strict=True)) / self.types if self.types else 1.0
+        p = (_less(follow, self.word_discounts) / max(self.types, 1) + rest / (v.size + 1))[back]
+
+        # bigrams, by the number of distinct tokens before them; a context that nothing follows gives way to the lower order
+        before = one >= 0
         both = known & before
-        keys, kb = np.unique(prev[both].astype(np.uint64) << np.uint64(32) | ids[both].astype(np.uint64), return_inverse=True)
+        keys, kb = np.unique(_key(one[both], ids[both]), return_inverse=True)
         c = np.zeros(len(ids), dtype=np.int64)
-        c[both] = self.times(keys)[kb]
-        left, lb = np.unique(prev[before], return_inverse=True)
-        d = np.array((0.0, *self.pair_discounts))
-        gamma = np.ones(len(ids))
-        kept = np.zeros(len(ids))
-        use = before & (pc > 0)
-        weight = np.zeros(len(ids))
-        weight[before] = (self.side("left", left, 3) @ d[1:])[lb]
-        # a context that was never followed by anything gives way to the lower order
-        use &= weight > 0
-        gamma[use] = weight[use] / pc[use]
-        kept[use] = np.maximum(c[use] - d[np.minimum(c[use], 3)], 0) / pc[use]
-        score = np.log10(kept + gamma * one)
+        c[both] = self.pairs(keys)[kb]
+        left, lb = np.unique(one[before], return_inverse=True)
+        stats = np.zeros((len(ids), 4), dtype=np.int64)
+        stats[before] = self.side("left", left, 4)[lb]
+        use = stats[:, 3] > 0
+        kept = _less(c[use], self.pair_discounts)
+        p[use] = (kept + stats[use, :3] @ np.array(self.pair_discounts) * p[use]) / stats[use, 3]
+
+        # trigrams, by their counts
+        both = before & (two >= 0)
+        at = np.flatnonzero(both)
+        token = np.where(ids[at] >= 0, ids[at], 1 << 32)  # no token has this id
+        c, total, weight = self.triples(_key(two[at], one[at]), token)
+        use = total > 0
+        at, total = at[use], total[use]
+        p[at] = (_less(c[use], self.triple_discounts) + weight[use] * p[at]) / total
         add = lambda x: np.bincount(row, x, n)
-        return np.bincount(row, minlength=n), add(known.astype(float)).astype(np.int64), add(base), add(score)
+        return np.bincount(row, minlength=n), add(known.astype(float)).astype(np.int64), add(base), add(np.log10(p))
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """Counts the bigram model of all texts of `docs`; its arrays are written to the shared folder by the tasks that sort them.
+    """Counts the trigram model of all texts of `docs`; its arrays are written to the shared folder by the tasks that sort them.
 
-    What is counted and shuffled are each task's distinct tokens and bigrams, packed in a few blobs for each bucket."""
+    What is counted and shuffled are each task's distinct tokens and trigrams, packed in a few blobs for each bucket; bigrams
+    follow from the trigrams.  A bucket is what `BUCKET_BYTES` of text give and one task's, so no task grows with the input.
+    More than 2**32 - 2 distinct tokens are an error."""
     spark = docs.sparkSession
     ws = Workspace(spark, "ngram")
     path = qualified(spark, ws.path)
-    buckets, parts = 4 * parallelism(spark), parallelism(spark)
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(1, math.ceil(size / BUCKET_BYTES))
 
     def dealt(df: DataFrame, *keys: str) -> DataFrame:
-        return df.repartition(parallelism(spark), *keys).sortWithinPartitions(*keys)
+        return df.repartition(buckets, *keys).sortWithinPartitions(*keys)
+
+    def done() -> None:
+        """Lets Spark delete the shuffle files of steps that are over: its cleaner waits for the driver to collect garbage."""
+        gc.collect()
+        spark._jvm.System.gc()
 
     blobs = texts.mapInArrow(_count_words(buckets), "bucket long, blob binary")
     held = dealt(blobs, "bucket").mapInArrow(_store_words(f"{path}/words"), "bucket long, n long, tokens long, ends long").collect()  # a row for each bucket
+    del blobs
+    done()
     n, mass = np.zeros(buckets + 1, dtype=np.int64), np.zeros(buckets + 1, dtype=np.int64)
     for r in held:
         n[r.bucket + 1], mass[r.bucket + 1] = r.n, r.tokens
     v = Vocabulary(f"{path}/words", buckets, np.cumsum(n), np.cumsum(mass), sum(r.ends for r in held))
-    pairs = dealt(texts.mapInArrow(_count_pairs(v, buckets), "bucket long, blob binary"), "bucket")
-    sides = ws.table(pairs.mapInArrow(_store_pairs(f"{path}/pairs", v.size, parts), "kind long, part long, blob binary"), "sides")
-    of = np.zeros(4, dtype=np.int64)
+    if v.size > (1 << 32) - 2:
+        raise ValueError("the vocabulary has more tokens than ids have numbers")
+    triples = dealt(texts.mapInArrow(_count_triples(v, buckets), "bucket long, blob binary"), "bucket")
+    pairs = ws.table(triples.mapInArrow(_store_triples(f"{path}/triples", v, buckets), "bucket long, blob binary"), "pairs")
+    del triples
+    done()
+    of3 = np.zeros(4, dtype=np.int64)
+    for b in range(buckets):
+        try:
+            of3 += mapped(f"{path}/triples/meta-{b}", "<i8")[1:]
+        except FileNotFoundError:
+            continue  # an empty bucket
+    parts = buckets
+    sides = ws.table(dealt(pairs, "bucket").mapInArrow(_store_pairs(f"{path}/pairs", v.size, parts), "kind long, part long, blob binary"), "sides")
+    ws.clear("sides")
+    done()
+    of2 = np.zeros(4, dtype=np.int64)
     for r in sides.where("kind = 2").select("blob").collect():  # a row for each bucket
-        of += np.frombuffer(r.blob, dtype=np.int64)
+        of2 += np.frombuffer(r.blob, dtype=np.int64)
     schema = "kind long, part long, n1 long, n2 long, n3 long, n4 long, n3p long, total long"
     sums = dealt(sides.where("kind < 2"), "kind", "part").mapInArrow(_store_sides(f"{path}/pairs", v.size, parts), schema).where("kind = 1")
     s = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "n3p", "total")]).first()
-    return Model(v, f"{path}/pairs", buckets, parts, discounts(*of.tolist()), discounts(s.n1, s.n2, s.n3, s.n4), s.total, (s.n1, s.n2, s.n3p))
+    ws.clear()
+    return Model(v, path, buckets, parts, discounts(*of3.tolist()), discounts(*of2.tolist()), discounts(s.n1, s.n2, s.n3, s.n4), s.total, (s.n1, s.n2, s.n3p))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10 of the model's probability) of every text.
 
-    A null or empty text is its end alone.  A token that the model never saw has the probability of any one unseen token."""
+    A null or empty text is its end alone; ids are cast to long (null where they can't be); repeated rows are scored each.
+    A token that the model never saw has the probability of any one unseen token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -411,7 +625,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 tokens, known, base, total = model.log10(h, first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(tokens.astype(np.int64)), pa.array(known), pa.array(np.full(j - i, model.vocabulary.tokens)), pa.array(base), pa.array(total)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.select(as_long(docs, id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def held_out_fold(id_col: str, folds: int):

@@ -4,11 +4,12 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 
-from quadspark.llm.ngram import decode, discounts, encode, score, score_documents, train
+from quadspark.llm import ngram
+from quadspark.llm.ngram import decode, decode_triples, discounts, encode, encode_triples, score, score_documents, train
 
 
 START = ("start",)  # no word
@@ -20,23 +21,27 @@ def tokens(text):
 
 
 class Plain:
+    """The same model by plain counts: trigrams by count, bigrams and words by the number of distinct tokens before them."""
+
     def __init__(self, texts):
-        self.c, self.pairs, self.left = Counter(), Counter(), Counter()
+        self.c, self.triples = Counter(), Counter()
         for t in texts:
             w = tokens(t)
             self.c.update(w)
-            self.pairs.update(zip([START, *w[:-1]], w, strict=True))
+            self.triples.update(zip([START, START, *w[:-2]] if len(w) > 1 else [START], [START, *w[:-1]], w, strict=True))
+        self.pairs = Counter((b, c) for _, b, c in self.triples)
         self.follow = Counter(b for _, b in self.pairs)
-        n = Counter(self.pairs.values())
-        self.d = discounts(*(n[i] for i in (1, 2, 3, 4)))
-        m = Counter(self.follow.values())
-        self.w = discounts(*(m[i] for i in (1, 2, 3, 4)))
+        of = lambda counts: discounts(*(sum(k == i for k in counts.values()) for i in (1, 2, 3, 4)))
+        self.t, self.d, self.w = of(self.triples), of(self.pairs), of(self.follow)
         self.n, self.v = sum(self.c.values()), len(self.c)
-        self.of = {}
+        self.after, self.of = defaultdict(list), defaultdict(list)
+        for (a, b, _), k in self.triples.items():
+            self.after[a, b].append(k)
         for (a, _), k in self.pairs.items():
-            self.of.setdefault(a, []).append(k)
+            self.of[a].append(k)
         self.rest = sum(self.w[min(k, 3) - 1] for k in self.follow.values()) / max(1, len(self.pairs))
-        self.gamma = {a: (sum(x), sum(self.d[min(k, 3) - 1] for k in x) / sum(x)) for a, x in self.of.items()}
+        gamma = lambda x, d: (sum(x), sum(d[min(k, 3) - 1] for k in x) / sum(x))
+        self.gamma3, self.gamma = {k: gamma(x, self.t) for k, x in self.after.items()}, {k: gamma(x, self.d) for k, x in self.of.items()}
 
     def base(self, w):
         return math.log10((self.c[w] + 0.1) / (self.n + 0.1 * (self.v + 1)))
@@ -49,14 +54,21 @@ class Plain:
         return (max(k - self.w[min(k, 3) - 1], 0) if k else 0) / types + self.rest / (self.v + 1)
 
     def two(self, a, w):
-        if a not in self.of:
+        if a not in self.gamma:
             return self.one(w)
         (total, gamma), k = self.gamma[a], self.pairs[a, w]
         return (max(k - self.d[min(k, 3) - 1], 0) if k else 0) / total + gamma * self.one(w)
 
+    def three(self, a, b, w):
+        if (a, b) not in self.gamma3:
+            return self.two(b, w)
+        (total, gamma), k = self.gamma3[a, b], self.triples[a, b, w]
+        return (max(k - self.t[min(k, 3) - 1], 0) if k else 0) / total + gamma * self.two(b, w)
+
     def score(self, text):
         w = tokens(text)
-        return sum(math.log10(self.two(a, b)) for a, b in zip([START, *w[:-1]], w, strict=True))
+        before = [START, START, *w]
+        return sum(math.log10(self.three(*x)) for x in zip(before, before[1:], w))
 
 
 def check(rows, texts, model):
@@ -67,7 +79,10 @@ def check(rows, texts, model):
         assert r.score == pytest.approx(model.score(texts[r.doc_id]), rel=1e-9)
 
 
-def test_against_plain_counts(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_against_plain_counts(spark, small, monkeypatch):
+    if small:  # many buckets, many flushes
+        monkeypatch.setattr(ngram, "BUCKET_BYTES", 2000)
     rng = random.Random(4)
     words = [f"w{i}" if i % 3 else f"É{i}" for i in range(60)]
     texts = {i: " ".join(rng.choice(words[: rng.choice([3, 60])]) for _ in range(rng.randrange(40))) for i in range(120)}
@@ -80,7 +95,8 @@ def test_against_plain_counts(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in rows)
     # probabilities of a context sum to one, the unseen token included
     for a in (START, "w1", "never"):
-        assert sum(model.two(a, w) for w in model.c) + model.two(a, "never") == pytest.approx(1)
+        for b in (START, "w1", "w2", "never"):
+            assert sum(model.three(a, b, w) for w in model.c) + model.three(a, b, "never") == pytest.approx(1)
 
 
 def test_driver_rows(spark):
@@ -104,3 +120,19 @@ def test_blobs():
     counts = np.array([1, 2**33 + 7, 3, 4, 5])
     k, c = decode(encode(keys, counts))
     assert (k == keys).all() and (c == counts).all()
+
+
+def test_blobs_of_triples():
+    import numpy as np
+
+    k = np.array([3, 3, 2**40, 2**40, 2**40, 2**64 - 1], dtype=np.uint64)
+    t, c = np.array([0, 2**32 - 1, 1, 2, 3, 9], dtype=np.uint32), np.array([1, 2, 2**35, 255, 256, 7])
+    for n in (0, 1, 6):
+        assert all((x == y).all() for x, y in zip(decode_triples(encode_triples(k[:n], t[:n], c[:n])), (k[:n], t[:n], c[:n]), strict=True))
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [("1", "a b a b", 5, "x"), ("1", "a b a b", 5, "x"), ("y", None, 6, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, score int, bucket string")
+    got = score(df, train(df)).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "None"] and len({r.score for r in got if r.doc_id == 1}) == 1
