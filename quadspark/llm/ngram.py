@@ -17,8 +17,8 @@ from .common import Workspace, as_long, groups_of
 from .textops import mix64, runs, string_buffers, words
 
 END = np.uint64(0x5DEECE66D1234567)  # the hash that stands for a text's end
-FLUSH = 4_000_000  # entries a task holds before it merges them
-BUCKET_BYTES = 16 << 20  # bytes of training text for each bucket of n-grams, which is one task's
+FLUSH = 1_500_000  # entries a task holds before it merges them
+BUCKET_BYTES = 8 << 20  # bytes of training text for each bucket of n-grams, which is one task's
 LONG = 16  # followers from which a context's sums are stored
 BLOCK = 64  # contexts that share the base of their offsets
 LOW = np.uint64(0xFFFFFFFF)
@@ -249,7 +249,9 @@ def _count_triples(v: Vocabulary, buckets: int):
         parts: list[tuple[np.ndarray, np.ndarray]] = []
 
         def give() -> pa.RecordBatch:
-            k, t, c = merge_triples(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            k, t = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+            parts.clear()
+            k, t, c = merge_triples(k, t)
             b = bucket_of(mix64(k), buckets)
             order = np.argsort(b, kind="stable")
             k, t, c, b = k[order], t[order], c[order], b[order]
@@ -264,7 +266,7 @@ def _count_triples(v: Vocabulary, buckets: int):
                 held += len(ids)
                 if held > FLUSH:
                     yield give()
-                    parts, held = [], 0
+                    held = 0
         if parts:
             yield give()
 
