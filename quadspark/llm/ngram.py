@@ -1,4 +1,4 @@
-"""LM scoring: an interpolated modified Kneser-Ney trigram model, counted in Spark and kept as sorted arrays."""
+"""LM scoring: an interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark and kept as sorted arrays."""
 
 from __future__ import annotations
 
@@ -273,6 +273,29 @@ def _count_triples(v: Vocabulary, buckets: int):
     return run
 
 
+def _count_pairs(v: Vocabulary, buckets: int):
+    """Each task's distinct bigrams and their counts, dealt by `pair_bucket`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+
+        def give() -> pa.RecordBatch:
+            k, c = tally.clear()
+            b = pair_bucket(v, k, buckets)
+            order = np.argsort(b, kind="stable")
+            return _sliced(k[order], c[order], b[order])
+
+        for batch in batches:
+            for _, _, h, first in _texts(batch, 0):
+                _, ids, _, one, _ = _positions(v, h, first)
+                tally.add(*np.unique(_key(one, ids), return_counts=True))
+            if tally.full:
+                yield give()
+        yield give()
+
+    return run
+
+
 def pair_bucket(v: Vocabulary, keys: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket of sorted bigram keys: by the share of training bigrams with a smaller left token, and within one left token by
     the share of tokens smaller than the right one.  A left token that is very frequent is dealt over many buckets."""
@@ -357,7 +380,7 @@ def _store_triples(path: str, v: Vocabulary, buckets: int):
 
 
 def _store_pairs(path: str, size: int, parts: int):
-    """Stores a bucket of bigrams by the number of distinct tokens before them; gives, dealt by ranges of ids, for each left
+    """Stores a bucket of bigrams and their numbers (counts, or of distinct tokens before them under trigrams); gives, dealt by ranges of ids, for each left
     token how many of its bigrams have 1, 2 and more and the sum (kind 0), for each right token how many bigrams end
     with it (kind 1), and the bucket's numbers of numbers (kind 2)."""
 
@@ -430,6 +453,7 @@ def _less(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 class Model:
     vocabulary: Vocabulary
     path: str
+    order: int
     buckets: int
     parts: int
     triple_discounts: tuple[float, float, float]
@@ -453,7 +477,7 @@ class Model:
         return out
 
     def pairs(self, keys: np.ndarray) -> np.ndarray:
-        """How many distinct tokens stand before each of sorted bigrams, 0 if it was not seen."""
+        """The number of each of sorted bigrams, 0 if it was not seen."""
         out = np.zeros(len(keys), dtype=np.int64)
         bucket = pair_bucket(self.vocabulary, keys, self.buckets)
         order = np.argsort(bucket, kind="stable")
@@ -535,7 +559,7 @@ class Model:
         rest = sum(a * b for a, b in zip(self.word_discounts, self.word_classes, strict=True)) / self.types if self.types else 1.0
         p = (_less(follow, self.word_discounts) / max(self.types, 1) + rest / (v.size + 1))[back]
 
-        # bigrams, by the number of distinct tokens before them; a context that nothing follows gives way to the lower order
+        # bigrams; a context that nothing follows gives way to the lower order
         before = one >= 0
         both = known & before
         keys, kb = np.unique(_key(one[both], ids[both]), return_inverse=True)
@@ -548,23 +572,23 @@ class Model:
         kept = _less(c[use], self.pair_discounts)
         p[use] = (kept + stats[use, :3] @ np.array(self.pair_discounts) * p[use]) / stats[use, 3]
 
-        # trigrams, by their counts
-        both = before & (two >= 0)
-        at = np.flatnonzero(both)
-        token = np.where(ids[at] >= 0, ids[at], 1 << 32)  # no token has this id
-        c, total, weight = self.triples(_key(two[at], one[at]), token)
-        use = total > 0
-        at, total = at[use], total[use]
-        p[at] = (_less(c[use], self.triple_discounts) + weight[use] * p[at]) / total
+        if self.order == 3:
+            at = np.flatnonzero(before & (two >= 0))
+            token = np.where(ids[at] >= 0, ids[at], 1 << 32)  # no token has this id
+            c, total, weight = self.triples(_key(two[at], one[at]), token)
+            use = total > 0
+            at, total = at[use], total[use]
+            p[at] = (_less(c[use], self.triple_discounts) + weight[use] * p[at]) / total
         add = lambda x: np.bincount(row, x, n)
         return np.bincount(row, minlength=n), add(known.astype(float)).astype(np.int64), add(base), add(np.log10(p))
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """Counts the trigram model of all texts of `docs`; its arrays are written to the shared folder by the tasks that sort them.
+def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
+    """Counts the model of all texts of `docs`; its arrays are written to the shared folder by the tasks that sort them.
 
-    What is counted and shuffled are each task's distinct tokens and trigrams, packed in a few blobs for each bucket; bigrams
-    follow from the trigrams.  A bucket is what `BUCKET_BYTES` of text give and one task's, so no task grows with the input.
+    Order 2 counts bigrams; order 3 counts trigrams, of which bigrams and the number of distinct tokens before them follow.
+    What is counted and shuffled are each task's distinct tokens and n-grams, packed in a few blobs for each bucket.  A
+    bucket is what `BUCKET_BYTES` of text give and one task's, so no task grows with the input.
     More than 2**32 - 2 distinct tokens are an error."""
     spark = docs.sparkSession
     ws = Workspace(spark, "ngram")
@@ -591,16 +615,21 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     v = Vocabulary(f"{path}/words", buckets, np.cumsum(n), np.cumsum(mass), sum(r.ends for r in held))
     if v.size > (1 << 32) - 2:
         raise ValueError("the vocabulary has more tokens than ids have numbers")
-    triples = dealt(texts.mapInArrow(_count_triples(v, buckets), "bucket long, blob binary"), "bucket")
-    pairs = ws.table(triples.mapInArrow(_store_triples(f"{path}/triples", v, buckets), "bucket long, blob binary"), "pairs")
-    del triples
-    done()
+    if order not in (2, 3):
+        raise ValueError("models have order 2 or 3")
     of3 = np.zeros(4, dtype=np.int64)
-    for b in range(buckets):
-        try:
-            of3 += mapped(f"{path}/triples/meta-{b}", "<i8")[1:]
-        except FileNotFoundError:
-            continue  # an empty bucket
+    if order == 2:
+        pairs = texts.mapInArrow(_count_pairs(v, buckets), "bucket long, blob binary")
+    else:
+        triples = dealt(texts.mapInArrow(_count_triples(v, buckets), "bucket long, blob binary"), "bucket")
+        pairs = ws.table(triples.mapInArrow(_store_triples(f"{path}/triples", v, buckets), "bucket long, blob binary"), "pairs")
+        del triples
+        done()
+        for b in range(buckets):
+            try:
+                of3 += mapped(f"{path}/triples/meta-{b}", "<i8")[1:]
+            except FileNotFoundError:
+                continue  # an empty bucket
     parts = buckets
     sides = ws.table(dealt(pairs, "bucket").mapInArrow(_store_pairs(f"{path}/pairs", v.size, parts), "kind long, part long, blob binary"), "sides")
     ws.clear("sides")
@@ -612,7 +641,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     sums = dealt(sides.where("kind < 2"), "kind", "part").mapInArrow(_store_sides(f"{path}/pairs", v.size, parts), schema).where("kind = 1")
     s = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "n3p", "total")]).first()
     ws.clear()
-    return Model(v, path, buckets, parts, discounts(*of3.tolist()), discounts(*of2.tolist()), discounts(s.n1, s.n2, s.n3, s.n4), s.total, (s.n1, s.n2, s.n3p))
+    return Model(v, path, order, buckets, parts, discounts(*of3.tolist()), discounts(*of2.tolist()), discounts(s.n1, s.n2, s.n3, s.n4), s.total, (s.n1, s.n2, s.n3p))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -635,8 +664,8 @@ def held_out_fold(id_col: str, folds: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def score_documents(docs: DataFrame, folds: int = 10) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 10, order: int = 2) -> DataFrame:
     """Scores all documents by a model of those that are not held out."""
-    model = train(docs.where(~held_out_fold("doc_id", folds)))
+    model = train(docs.where(~held_out_fold("doc_id", folds)), order=order)
     out = score(docs, model)
     return out.select("doc_id", held_out_fold("doc_id", folds).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

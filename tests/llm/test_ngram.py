@@ -21,15 +21,18 @@ def tokens(text):
 
 
 class Plain:
-    """The same model by plain counts: trigrams by count, bigrams and words by the number of distinct tokens before them."""
+    """The same model by plain counts: the highest order by count, the others by the number of distinct tokens before them."""
 
-    def __init__(self, texts):
+    def __init__(self, texts, order):
+        self.order = order
         self.c, self.triples = Counter(), Counter()
         for t in texts:
             w = tokens(t)
             self.c.update(w)
             self.triples.update(zip([START, START, *w[:-2]] if len(w) > 1 else [START], [START, *w[:-1]], w, strict=True))
-        self.pairs = Counter((b, c) for _, b, c in self.triples)
+        self.pairs = Counter()
+        for (_, b, c), k in self.triples.items():
+            self.pairs[b, c] += 1 if order == 3 else k
         self.follow = Counter(b for _, b in self.pairs)
         of = lambda counts: discounts(*(sum(k == i for k in counts.values()) for i in (1, 2, 3, 4)))
         self.t, self.d, self.w = of(self.triples), of(self.pairs), of(self.follow)
@@ -60,7 +63,7 @@ class Plain:
         return (max(k - self.d[min(k, 3) - 1], 0) if k else 0) / total + gamma * self.one(w)
 
     def three(self, a, b, w):
-        if (a, b) not in self.gamma3:
+        if self.order == 2 or (a, b) not in self.gamma3:
             return self.two(b, w)
         (total, gamma), k = self.gamma3[a, b], self.triples[a, b, w]
         return (max(k - self.t[min(k, 3) - 1], 0) if k else 0) / total + gamma * self.two(b, w)
@@ -79,8 +82,8 @@ def check(rows, texts, model):
         assert r.score == pytest.approx(model.score(texts[r.doc_id]), rel=1e-9)
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_against_plain_counts(spark, small, monkeypatch):
+@pytest.mark.parametrize("order, small", [(2, False), (2, True), (3, False), (3, True)])
+def test_against_plain_counts(spark, order, small, monkeypatch):
     if small:  # many buckets, many flushes
         monkeypatch.setattr(ngram, "BUCKET_BYTES", 2000)
     rng = random.Random(4)
@@ -88,8 +91,8 @@ def test_against_plain_counts(spark, small, monkeypatch):
     texts = {i: " ".join(rng.choice(words[: rng.choice([3, 60])]) for _ in range(rng.randrange(40))) for i in range(120)}
     texts |= {200: None, 201: "", 202: " \t\n", 203: "unseen words W1 w2", 204: "w1 " * 30_000, 205: "<s> </s>"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    model = Plain([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10])
-    rows = score_documents(df).collect()
+    model = Plain([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10], order)
+    rows = score_documents(df, order=order).collect()
     assert len(rows) == len(texts)
     check(rows, texts, model)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in rows)
@@ -99,10 +102,11 @@ def test_against_plain_counts(spark, small, monkeypatch):
             assert sum(model.three(a, b, w) for w in model.c) + model.three(a, b, "never") == pytest.approx(1)
 
 
-def test_driver_rows(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_driver_rows(spark, order):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     texts = {r.doc_id: r.text for r in df.collect()}
-    check(score_documents(df).collect(), texts, Plain([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]))
+    check(score_documents(df, order=order).collect(), texts, Plain([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10], order))
 
 
 def test_no_training_text(spark):
