@@ -18,7 +18,8 @@ from .textops import mix64, runs, string_buffers, words
 
 END = np.uint64(0x5DEECE66D1234567)  # the hash that stands for a text's end
 FLUSH = 1_500_000  # entries a task holds before it merges them
-BUCKET_BYTES = 8 << 20  # bytes of training text for each bucket of n-grams, which is one task's
+BUCKET_BYTES = 32 << 20  # bytes of training text for each bucket of n-grams, which is one task's
+RUN = 1 << 20  # bytes of text looked up at a time: every bucket's arrays are visited once for each
 LONG = 16  # followers from which a context's sums are stored
 BLOCK = 64  # contexts that share the base of their offsets
 LOW = np.uint64(0xFFFFFFFF)
@@ -175,7 +176,7 @@ def _sliced(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> pa.Reco
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows, their word hashes and the offsets of the rows' words."""
     data, off = string_buffers(batch.column(column))
-    for i, j in runs(off):
+    for i, j in runs(off, RUN):
         h, _, _, first = words(data[off[i] : off[j]], off[i : j + 1] - off[i])
         yield i, j, h, first
 
