@@ -42,6 +42,7 @@ _ASSIGNED = r"^([A-Za-z_][A-Za-z0-9_.-]*+)([=:])[\"'(\[{<]*+(?=[^=:/]*[0-9@])(?!
 _NAMED = r"^(?:[^\x20]+\x20)?([^\x20=:]++)\x20?([=:])$"
 #: Sides of a pattern: the word before, the word after, the two words (or the name and its sign) before, the token's own form.
 BEFORE, AFTER, TWO, FORM = range(4)
+_NEAR = 64
 _BLANK, _SOLID = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 _FOUND = "array<struct<kind:string,gap:int,before:string,token:string,after:string>>"
 
@@ -68,8 +69,22 @@ def _matches(text: Column, kind: str, pattern: str, first: str) -> Column:
     """For each match: the length of the text before it (back to the last match), the last two words of that text (without
     opening punctuation at the match), the match itself, and the first word after it."""
     parts = F.split(text, pattern, -1)
-    last = lambda p: F.lower(F.regexp_replace(F.reverse(F.regexp_extract(F.reverse(p), rf"^(?:[(\[{{<\"']++(?={_BLANK}))?+{_BLANK}*+({_SOLID}++(?:{_BLANK}++{_SOLID}++)?+)", 1)), rf"{_BLANK}++", " "))
-    next_ = lambda p: F.lower(F.regexp_extract(p, rf"^[.,;:!?)\]}}>\"']*+{_BLANK}++({_SOLID}++)", 1))
+    opening, punctuation = r"(?:[(\[{<\"']++(?=[\x20\x09-\x0D]))?+", r".,;:!?)\]}>\"'"
+    two = rf"^{opening}{_BLANK}*+({_SOLID}++(?:{_BLANK}++{_SOLID}++)?+)"
+    one = rf"^[{punctuation}]*+{_BLANK}++({_SOLID}++)"
+    # a look at the nearest characters is enough where what is sought ends among them; else the whole piece is searched
+    whole_two = rf"^{opening}{_BLANK}*+{_SOLID}++{_BLANK}++{_SOLID}++{_BLANK}"
+    whole_one = rf"^[{punctuation}]*+(?:{_BLANK}++{_SOLID}++{_BLANK}|[^{punctuation}\x20\x09-\x0D])"
+
+    def last(p: Column) -> Column:
+        near = F.reverse(F.substring(p, -_NEAR, _NEAR))
+        found = F.when((F.length(p) <= _NEAR) | near.rlike(whole_two), F.regexp_extract(near, two, 1)).otherwise(F.regexp_extract(F.reverse(p), two, 1))
+        return F.lower(F.regexp_replace(F.reverse(found), rf"{_BLANK}++", " "))
+
+    def next_(p: Column) -> Column:
+        near = F.substring(p, 1, _NEAR)
+        return F.lower(F.when((F.length(p) <= _NEAR) | near.rlike(whole_one), F.regexp_extract(near, one, 1)).otherwise(F.regexp_extract(p, one, 1)))
+
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.zip_with(found, parts, lambda m, p: F.struct(F.lit(kind).alias("kind"), F.length(p).alias("gap"), last(p).alias("before"), m.alias("token")))
     both = F.zip_with(both, F.slice(parts, F.lit(2), F.size(parts)), lambda b, p: F.struct(b["kind"].alias("kind"), b["gap"].alias("gap"), b["before"].alias("before"), b["token"].alias("token"), next_(p).alias("after")))
