@@ -1,7 +1,9 @@
 """WARC archives: exact round trips and shared payloads."""
 
 import base64
+import datetime
 import hashlib
+import re
 
 from quadspark.llm.common import Workspace
 from quadspark.llm.warc import export_warc, read_archive, read_warc, write_archive
@@ -18,6 +20,10 @@ def read(spark, rows, **k):
     return path, read_archive(spark, path)
 
 
+def fields(r):
+    return dict(x.split(": ", 1) for x in bytes(r.record).partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+
+
 def digest(html):
     return base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
 
@@ -36,8 +42,19 @@ def test_records(spark):
         assert r.record_type == ("response" if r.page_id is None or top[h] == r.page_id else "revisit")
         assert r.refers_to == (None if r.record_type == "response" else top[h])
         head, _, block = bytes(r.record).partition(b"\r\n\r\n")
-        assert head.startswith(b"WARC/1.1\r\nWARC-Type: ") and block == (h.encode() if r.record_type == "response" else b"") + b"\r\n\r\n"
+        http, _, body = block.partition(b"\r\n\r\n")
+        assert head.startswith(b"WARC/1.1\r\nWARC-Type: ") and body == (h.encode() if r.record_type == "response" else b"") + b"\r\n\r\n"
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and http.endswith(b"\r\nContent-Length: %d" % len(h.encode()))
+        assert fields(r)["Content-Length"] == str(len(block) - 4)
         assert b"\nEvil" not in head
+    by_id = {fields(r)["WARC-Record-ID"]: r for r in got}
+    assert len(by_id) == len(got) and all(re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", k) for k in by_id)
+    for r in got:
+        if r.record_type == "revisit":
+            f = fields(r)
+            to = by_id[f["WARC-Refers-To"]]
+            assert (to.page_id, to.record_type, to.payload_digest) == (r.refers_to, "response", r.payload_digest)
+            assert (f["WARC-Refers-To-Target-URI"], f["WARC-Refers-To-Date"]) == (to.url, fields(to)["WARC-Date"])
     assert spark.read.parquet(f"{path}/payloads").count() == len(top)
 
 
@@ -58,3 +75,22 @@ def test_empty_and_extra_columns(spark):
     path = Workspace(spark, "test").path
     write_archive(spark.createDataFrame([(1, "u", "h", "x", 3)], "page_id long, url string, html string, sha256 string, top int"), path)
     assert read_archive(spark, path).count() == 1
+
+
+def test_null_and_minus_one_share_a_payload(spark):
+    _, df = read(spark, [(None, "n", "same"), (-1, "m", "same"), (-1, "m2", "same"), (-7, "k", "same")])
+    got = sorted((r.page_id is None, r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in df.collect() if r.page_id is not None)
+    assert got == [(False, -7, "revisit", -1, 4), (False, -1, "response", None, 4), (False, -1, "response", None, 4)]
+    null = [r for r in df.collect() if r.page_id is None]
+    assert [(r.record_type, r.refers_to) for r in null] == [("revisit", -1)]
+    only = read(spark, [(None, "n", "a"), (None, "n", "a")])[1].collect()
+    assert [(r.page_id, r.record_type, r.refers_to) for r in only] == [(None, "response", None)] * 2
+
+
+def test_dates(spark):
+    path = Workspace(spark, "test").path
+    at = datetime.datetime(2024, 2, 29, 12, 30, 5, tzinfo=datetime.UTC)
+    write_archive(spark.createDataFrame([(1, "u", "h", at), (2, "u", "h", None)], "page_id long, url string, html string, crawled timestamp"), path, date_col="crawled")
+    got = {r.page_id: fields(r) for r in read_archive(spark, path).collect()}
+    assert got[1]["WARC-Date"] == "2024-02-29T12:30:05Z" and re.fullmatch(r"20\d\d-\d\d-\d\dT\d\d:\d\d:\d\dZ", got[2]["WARC-Date"])
+    assert got[1]["WARC-Refers-To-Date"] == got[2]["WARC-Date"]
