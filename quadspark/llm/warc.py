@@ -86,8 +86,11 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str =
     )
     rec.select(F.encode(head, "UTF-8").alias("header"), F.encode(http, "UTF-8").alias("http"), "sha256").write.parquet(f"{path}/headers")
     # each payload travels once: from a row with the largest id
-    held = rows.select("id", "payload", "sha256").join(groups.select("of", "top"), (F.col("sha256") == F.col("of")) & F.col("id").eqNullSafe(F.col("top")))
-    held.groupBy("of", "top").agg(F.first("payload").alias("payload")).select(F.col("of").alias("sha256"), "payload").write.parquet(f"{path}/payloads")
+    at = lambda c: (F.coalesce(c, F.lit(0)), c.isNull())
+    one = groups.select("of", *[k.alias(n) for n, k in zip(("at", "none"), at(F.col("top")), strict=True)])
+    held = rows.select("payload", "sha256", *[k.alias(n) for n, k in zip(("at0", "none0"), at(F.col("id")), strict=True)])
+    held = held.join(one, (F.col("sha256") == F.col("of")) & (F.col("at0") == F.col("at")) & (F.col("none0") == F.col("none")))
+    held.groupBy("of", "at", "none").agg(F.first("payload").alias("payload")).select(F.col("of").alias("sha256"), "payload").write.parquet(f"{path}/payloads")
     ws.clear()
 
 
