@@ -169,11 +169,21 @@ def terra(z: np.ndarray, max_error: float, max_points: int | None = None) -> tup
     return v, np.array(list(t.faces.values()), dtype=np.int64)
 
 
-def simplify(xyz: np.ndarray, faces: np.ndarray, ratio: float = 0.5, max_error: float | None = None, uv: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Edge collapse by quadric error until `ratio` of the edges is left or the next collapse costs more than `max_error` squared.
-
-    Edges that touch a border vertex stay, so neighbouring tiles keep fitting; a collapse that would turn a face over, or fold
-    the surface onto itself, is skipped.  Texture coordinates move along the collapsed edge."""
+def simplify(
+    xyz: np.ndarray, faces: np.ndarray, ratio: float | None = 0.5, max_error: float | None = None, uv: np.ndarray | None = None, *,
+    vertex_ratio: float | None = None, face_ratio: float | None = None, distance: float | None = None, relative_distance: float | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Edge collapse by quadric error until one of the conditions given holds: `ratio` of the edges, `vertex_ratio` of the
+    vertices or `face_ratio` of the faces is left, or the next collapse costs more than `max_error` squared.
+
+    `distance` bounds how far a point of the given surface may be from the new one, `relative_distance` the same as a share of
+    the longest side of the mesh's box: it is measured each time a twentieth of the edges has gone, and what was done since
+    the last measurement is taken back where the bound is exceeded.  Edges that touch a border vertex stay, so neighbouring
+    tiles keep fitting; a collapse that would turn a face over, or fold the surface onto itself, is skipped.  Texture
+    coordinates move along the collapsed edge."""
+    if relative_distance is not None and len(xyz):
+        own = relative_distance * float(np.ptp(xyz, axis=0).max())
+        distance = own if distance is None else min(distance, own)
     p = np.array(xyz, dtype=np.float64)
     uv = None if uv is None else np.array(uv, dtype=np.float64)
     f = {i: list(map(int, t)) for i, t in enumerate(faces)}
@@ -216,8 +226,22 @@ def simplify(xyz: np.ndarray, faces: np.ndarray, ratio: float = 0.5, max_error:
 
     for u, v in count:
         push(u, v)
-    left, target = len(count), ratio * len(count)
-    while queue and left > target:
+    left, vertices, n_faces = len(count), len({v for t in f.values() for v in t}), len(f)
+    least = (0 if ratio is None else ratio * left, 0 if vertex_ratio is None else vertex_ratio * vertices, 0 if face_ratio is None else face_ratio * n_faces)
+
+    def state() -> tuple:
+        return p.copy(), None if uv is None else uv.copy(), dict(f), left
+
+    def close() -> bool:
+        mesh = np.array(list(f.values()), dtype=np.int64).reshape(-1, 3)
+        return surface_distance(xyz, faces, p, mesh, distance / 1000, distance) + distance / 1000 <= distance
+
+    good = state() if distance is not None else None  # the last surface known to keep the distance
+    while queue and left > least[0] and vertices > least[1] and len(f) > least[2]:
+        if good is not None and left <= 0.95 * good[3]:
+            if not close():
+                break
+            good = state()
         c, u, v, su, sv = heapq.heappop(queue)
         if (stamp[u], stamp[v]) != (su, sv) or not at[u] or not at[v]:
             continue
@@ -253,8 +277,11 @@ def simplify(xyz: np.ndarray, faces: np.ndarray, ratio: float = 0.5, max_error:
         stamp[u] += 1
         stamp[v] += 1
         left -= 3
+        vertices -= 1
         for w in ring(u):
             push(min(u, w), max(u, w))
+    if good is not None and left < good[3] and not close():
+        p, uv, f, left = good
     used = sorted({v for t in f.values() for v in t})
     number = {v: i for i, v in enumerate(used)}
     out = np.array([[number[v] for v in f[i]] for i in sorted(f)], dtype=np.int64).reshape(-1, 3)
@@ -330,25 +357,96 @@ def uv_map(xyz: np.ndarray, faces: np.ndarray, weights: str = "conformal", borde
     return np.clip(out, 0, 1)
 
 
+def _to_triangles(x: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of points to triangles; the leading dimensions broadcast."""
+    dot = lambda u, v: (u * v).sum(axis=-1)
+    ab, ac, ap = b - a, c - a, x - a
+    n = np.cross(ab, ac)
+    nn = np.maximum(dot(n, n), 1e-300)
+    v, w = dot(np.cross(ap, ac), n) / nn, dot(np.cross(ab, ap), n) / nn
+    best = np.where((v >= 0) & (w >= 0) & (v + w <= 1) & (nn > 1e-300), dot(ap, n) ** 2 / nn, np.inf)
+    for p, d in ((a, ab), (a, ac), (b, c - b)):
+        s = np.clip(dot(x - p, d) / np.maximum(dot(d, d), 1e-300), 0, 1)
+        e = p + d * s[..., None] - x
+        best = np.minimum(best, dot(e, e))
+    return best
+
+
+def _near_order(x: np.ndarray, block: int) -> np.ndarray:
+    """An order in which each run of `block` points lies close together."""
+    k = max(1, int(np.sqrt(len(x) / block)))
+    cell = np.floor((x - x.min(axis=0)) / np.maximum(np.ptp(x, axis=0), 1e-300) * k).astype(np.int64).clip(0, k - 1)
+    return np.lexsort((x[:, 2], cell[:, 1], cell[:, 0]))
+
+
+class _Surface:
+    """Nearest triangles of a mesh: triangles in blocks with boxes; a block too far off for a run of points is passed over."""
+
+    BLOCK = 32
+
+    def __init__(self, xyz: np.ndarray, faces: np.ndarray):
+        t = np.asarray(xyz, dtype=np.float64)[faces]
+        self.t = t[_near_order(t.mean(axis=1), self.BLOCK)]
+        at = np.arange(0, len(t), self.BLOCK)
+        self.lo, self.hi = np.minimum.reduceat(self.t.min(axis=1), at), np.maximum.reduceat(self.t.max(axis=1), at)
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distance of each point and the triangle (an index into `t`) that has it."""
+        d, who = np.zeros(len(x)), np.zeros(len(x), dtype=np.int64)
+        order = _near_order(x, self.BLOCK)
+        for i in range(0, len(x), self.BLOCK):
+            at = order[i : i + self.BLOCK]
+            p = x[at]
+            lo, hi = p.min(axis=0), p.max(axis=0)
+            least = np.linalg.norm(np.maximum(np.maximum(self.lo - hi, lo - self.hi), 0), axis=1)
+            most = np.linalg.norm(np.maximum(self.hi - lo, hi - self.lo), axis=1)
+            blocks = np.flatnonzero(least <= most.min())
+            ids = (blocks[:, None] * self.BLOCK + np.arange(self.BLOCK)).ravel()
+            ids = ids[ids < len(self.t)]
+            e = _to_triangles(p[:, None], *(self.t[None, ids, k] for k in range(3)))
+            j = e.argmin(axis=1)
+            d[at], who[at] = np.sqrt(e[np.arange(len(at)), j]), ids[j]
+        return d, who
+
+
 def hausdorff(xyz: np.ndarray, target: np.ndarray, faces: np.ndarray) -> float:
-    """Largest distance of points to a mesh."""
-    a, b, c = (target[faces[:, i]] for i in range(3))
-    worst = 0.0
-    for x in np.asarray(xyz, dtype=np.float64):
-        best = np.inf
-        ab, ac, ap = b - a, c - a, x - a
-        n = np.cross(ab, ac)
-        nn = np.maximum((n * n).sum(axis=1), 1e-300)
-        v = (np.cross(ap, ac) * n).sum(axis=1) / nn
-        w = (np.cross(ab, ap) * n).sum(axis=1) / nn
-        inside = (v >= 0) & (w >= 0) & (v + w <= 1)
-        if inside.any():
-            best = np.sqrt(((ap[inside] * n[inside]).sum(axis=1) ** 2 / nn[inside]).min())
-        for p, d in ((a, ab), (a, ac), (b, c - b)):
-            s = np.clip(((x - p) * d).sum(axis=1) / np.maximum((d * d).sum(axis=1), 1e-300), 0, 1)
-            best = min(best, np.sqrt((((p + d * s[:, None]) - x) ** 2).sum(axis=1).min()))
-        worst = max(worst, best)
-    return worst
+    """Largest distance of points to a mesh; infinite to a mesh without faces."""
+    if not len(xyz):
+        return 0.0
+    return float(_Surface(target, faces).nearest(np.asarray(xyz, dtype=np.float64))[0].max()) if len(faces) else float("inf")
+
+
+def surface_distance(xyz: np.ndarray, faces: np.ndarray, target: np.ndarray, target_faces: np.ndarray, tolerance: float, bound: float | None = None) -> float:
+    """Largest distance of any point of a surface to another (one-sided Hausdorff distance), too small by `tolerance` at most.
+
+    Triangles are halved along their sides until none can hold a larger distance: within a piece it is at most that of the
+    middle plus the piece's radius, and at most the largest of its corners' distances to one and the same triangle.  With a
+    `bound` the search ends at the first distance above it, and pieces that stay below it are not refined."""
+    if not len(faces):
+        return 0.0
+    if not len(target_faces):
+        return float("inf")
+    other = _Surface(target, target_faces)
+    t = np.asarray(xyz, dtype=np.float64)[faces]
+    found = 0.0
+    while len(t):
+        keep = []
+        for part in np.array_split(t, -(-len(t) // 8192)):  # bounded memory
+            corners, who = (r.reshape(len(part), 3, *r.shape[1:]) for r in other.nearest(part.reshape(-1, 3)))
+            mid = part.mean(axis=1)
+            centre, _ = other.nearest(mid)
+            found = max(found, float(corners.max()), float(centre.max()))
+            if bound is not None and found > bound:
+                return found
+            radius = np.linalg.norm(part - mid[:, None], axis=2).max(axis=1)
+            same = other.t[who]  # (piece, corner whose nearest triangle it is, corner of that triangle, axis)
+            one = np.sqrt(_to_triangles(part[:, None], *(same[:, :, None, k] for k in range(3)))).max(axis=2).min(axis=1)
+            keep.append((part, np.minimum(centre + radius, one)))
+        t = np.concatenate([part[most > max(found + tolerance, bound or 0.0)] for part, most in keep])
+        m = (t + np.roll(t, -1, axis=1)) / 2  # middles of ab, bc, ca
+        a, b, c = t[:, 0], t[:, 1], t[:, 2]
+        t = np.concatenate([np.stack(q, axis=1) for q in ((a, m[:, 0], m[:, 2]), (m[:, 0], b, m[:, 1]), (m[:, 2], m[:, 1], c), (m[:, 0], m[:, 1], m[:, 2]))])
+    return found
 
 
 MESH = f"{M} long, kind string, i long, a double, b double, c double, u double, v double"
@@ -403,13 +501,13 @@ def terra_meshes(pixels: DataFrame, max_error: float, max_points: int | None = N
     return pixels.selectExpr(f"cast({M} as long) {M}", "cast(row as int) row", "cast(col as int) col", "z").groupBy(M).applyInPandas(run, MESH)
 
 
-def simplify_meshes(vertices: DataFrame, faces: DataFrame, ratio: float = 0.5, max_error: float | None = None) -> DataFrame:
-    """Each mesh simplified; `split` parts the result."""
+def simplify_meshes(vertices: DataFrame, faces: DataFrame, ratio: float | None = 0.5, max_error: float | None = None, **conditions: float) -> DataFrame:
+    """Each mesh simplified under the conditions of `simplify`; `split` parts the result."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p, f, uv = _parts(pdf)
         mean = p.mean(axis=0)  # small numbers keep the quadrics exact
-        p, f, uv = simplify(p - mean, f, ratio, max_error, None if np.isnan(uv).any() else uv)
+        p, f, uv = simplify(p - mean, f, ratio, max_error, None if np.isnan(uv).any() else uv, **conditions)
         return _rows(pdf[M].iloc[0], p + mean, f, uv)
 
     return joined(vertices, faces).groupBy(M).applyInPandas(run, MESH)

@@ -74,8 +74,9 @@ def leaf_meshes(pixels: DataFrame, zoom: int, tile_size: int) -> tuple[DataFrame
     return mesh.renumber(vertices, faces)
 
 
-def parent_meshes(vertices: DataFrame, faces: DataFrame, zoom: int, ratio: float = 0.25, max_error: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """Meshes of the parents of tiles of a zoom: children welded where positions are equal, then simplified with the border kept.
+def parent_meshes(vertices: DataFrame, faces: DataFrame, zoom: int, ratio: float | None = 0.25, max_error: float | None = None, **conditions: float) -> tuple[DataFrame, DataFrame]:
+    """Meshes of the parents of tiles of a zoom: children welded where positions are equal, then simplified with the border kept
+    under the conditions of `local.simplify`.
 
     All parents of the level are merged in one job: the exact weld is a grouping by parent and position."""
     n = 1 << zoom
@@ -91,17 +92,21 @@ def parent_meshes(vertices: DataFrame, faces: DataFrame, zoom: int, ratio: float
         f = f.join(to.select("mesh_id", F.col("vid").alias(k), F.col("new").alias(f"n{k}"), F.col("p").alias(f"p{k}")), ["mesh_id", k])
     f = f.select(F.col("pa").alias("mesh_id"), (F.col("mesh_id") * F.lit(1 << 32) + F.col("fid")).alias("order"), F.col("na").alias("a"), F.col("nb").alias("b"), F.col("nc").alias("c")).where("a <> b and b <> c and a <> c")
     f = mesh.numbered(f, "mesh_id", "order", "fid", bits=32).select("mesh_id", "fid", "a", "b", "c")
-    rows = mesh.written(local.simplify_meshes(merged, f, ratio, max_error), "simplified")
+    rows = mesh.written(local.simplify_meshes(merged, f, ratio, max_error, **conditions), "simplified")
     v, f = local.split(rows)
     return v.drop("u", "v"), f
 
 
-def build_hierarchy(pixels: DataFrame, zoom: int, tile_size: int, ratio: float = 0.25) -> dict[int, tuple[DataFrame, DataFrame]]:
-    """Meshes of every zoom from the leaves to the root; each level is a table in the shared folder."""
+def build_hierarchy(pixels: DataFrame, zoom: int, tile_size: int, ratio: float | None = 0.25, errors: dict[int, float] | None = None) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """Meshes of every zoom from the leaves to the root; each level is a table in the shared folder.
+
+    `errors` (zoom: distance in the units of the pixels, as `merge_list` gives them in metres) bounds how far a merged surface
+    may be from the one it simplifies."""
     v, f = leaf_meshes(pixels, zoom, tile_size)
     out = {zoom: (mesh.written(v, "leaf-v"), mesh.written(f, "leaf-f"))}
     for z in range(zoom, 0, -1):
-        out[z - 1] = parent_meshes(*out[z], z, ratio)
+        within = {} if errors is None or z - 1 not in errors else {"distance": errors[z - 1]}
+        out[z - 1] = parent_meshes(*out[z], z, ratio, **within)
     return out
 
 

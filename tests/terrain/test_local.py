@@ -76,3 +76,63 @@ def test_uv(weights, border):
     assert uv.min() >= 0 and uv.max() <= 1
     a = areas2(uv, f)
     assert (a > -1e-9).all() and (a > 1e-6).sum() >= len(f) - 4
+
+
+def bumps(n, seed):
+    r, c = np.mgrid[0:n, 0:n]
+    z = np.random.default_rng(seed).normal(0, 0.4, (n, n)) + np.sin(c * 0.5) * 2
+    f = np.array([t for i in range(n - 1) for j in range(n - 1) for t in ((i * n + j, i * n + j + 1, i * n + j + n), (i * n + j + 1, i * n + j + n + 1, i * n + j + n))])
+    return np.stack((c.ravel(), r.ravel(), z.ravel()), axis=1).astype(float), f
+
+
+def sampled(p, f, q, g, n=12):
+    """Distance of many points of each triangle of one mesh to the other, by all triangles."""
+    w = np.array([(i, j, n - i - j) for i in range(n + 1) for j in range(n + 1 - i)]) / n
+    x = np.einsum("wk,fkd->fwd", w, p[f]).reshape(-1, 3)
+    return max(np.sqrt(local._to_triangles(y[:, None], *(q[g][None, :, k] for k in range(3))).min(axis=1).max()) for y in np.array_split(x, 50))
+
+
+def test_distance_to_a_triangle():
+    t = [np.array([[0.0, 0, 0]]), np.array([[2.0, 0, 0]]), np.array([[0.0, 2, 0]])]
+    x = np.array([(0.5, 0.5, 3), (-1, 1, 0), (2, 2, 0), (3, 0, 0), (-3, -4, 0), (1, 1, 0)], float)
+    assert np.allclose(np.sqrt(local._to_triangles(x[:, None], *t)[:, 0]), [3, 1, np.sqrt(2), 1, 5, 0])
+    flat = [np.array([[0.0, 0, 0]]), np.array([[2.0, 0, 0]]), np.array([[4.0, 0, 0]])]  # no area
+    assert np.allclose(np.sqrt(local._to_triangles(np.array([[[3.0, 1, 0]]]), *flat)), 1)
+
+
+def test_surface_distance_is_that_of_dense_samples():
+    p, f = bumps(9, 1)
+    q, g = bumps(9, 2)
+    for a, b in (((p, f), (q, g)), ((q, g), (p, f)), ((p, f), (q, g[:40]))):
+        want, got = sampled(*a, *b), local.surface_distance(*a, *b, 1e-4)
+        assert want - 1e-4 <= got <= want + 0.05
+        assert local.hausdorff(a[0], *b) <= got + 1e-4
+    assert local.surface_distance(p, f, p, f, 1e-6) < 1e-9
+    # a ridge between vertices: every vertex of the first lies on the second
+    ridge = (np.array([(0, 0, 0), (2, 0, 0), (0, 2, 0)], float), np.array([(0, 1, 2)]))
+    bent = (np.array([(0, 0, 0), (2, 0, 0), (0, 2, 0), (1, 1, 1)], float), np.array([(0, 1, 3), (0, 3, 2)]))
+    assert local.hausdorff(ridge[0], *bent) == 0 and local.surface_distance(*ridge, *bent, 1e-4) > 0.5
+    assert local.surface_distance(p, f, q, g[:0], 1) == float("inf") and local.surface_distance(p, f[:0], q, g, 1) == 0
+
+
+@pytest.mark.parametrize("bound", [0.3, 1.0])
+def test_simplify_keeps_a_distance(bound):
+    p, f = bumps(14, 3)
+    q, g, _ = local.simplify(p, f, None, distance=bound)
+    assert len(g) < len(f) and sampled(p, f, q, g) <= bound
+    edge = lambda x: {tuple(v) for v in x[(x[:, :2].min(axis=1) == 0) | (x[:, :2].max(axis=1) == 13)]}
+    assert edge(q) == edge(p)
+    r, h, _ = local.simplify(p, f, None, relative_distance=bound / np.ptp(p, axis=0).max())
+    assert np.allclose(q, r) and (g == h).all()
+    # nothing to spare: the mesh as it was
+    q, g, _ = local.simplify(p, f, None, distance=1e-9)
+    assert len(g) == len(f) and np.allclose(q, p)
+
+
+def test_simplify_ratios():
+    p, f = bumps(14, 4)
+    faces, vertices = len(f), len(p)
+    assert 0.6 * faces - 2 <= len(local.simplify(p, f, None, face_ratio=0.6)[1]) <= 0.6 * faces
+    assert len(local.simplify(p, f, None, vertex_ratio=0.7)[0]) == int(0.7 * vertices)
+    assert len(local.simplify(p, f, 0.9, vertex_ratio=0.1, face_ratio=0.2)[0]) > 0.85 * vertices  # the first that holds
+    assert all(len(x) == 0 for x in local.simplify(np.zeros((0, 3)), np.zeros((0, 3), dtype=int), None, distance=1, relative_distance=1)[:2])
