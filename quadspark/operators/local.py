@@ -177,7 +177,7 @@ def simplify(
     vertices or `face_ratio` of the faces is left, or the next collapse costs more than `max_error` squared.
 
     `distance` bounds how far a point of the given surface may be from the new one, `relative_distance` the same as a share of
-    the longest side of the mesh's box: it is measured each time a twentieth of the edges has gone, and what was done since
+    the longest side of the mesh's box: it is measured each time a tenth of the edges has gone, and what was done since
     the last measurement is taken back where the bound is exceeded.  Edges that touch a border vertex stay, so neighbouring
     tiles keep fitting; a collapse that would turn a face over, or fold the surface onto itself, is skipped.  Texture
     coordinates move along the collapsed edge."""
@@ -234,11 +234,11 @@ def simplify(
 
     def close() -> bool:
         mesh = np.array(list(f.values()), dtype=np.int64).reshape(-1, 3)
-        return surface_distance(xyz, faces, p, mesh, distance / 1000, distance) + distance / 1000 <= distance
+        return surface_distance(xyz, faces, p, mesh, distance / 50, 0.98 * distance) <= 0.98 * distance
 
     good = state() if distance is not None else None  # the last surface known to keep the distance
     while queue and left > least[0] and vertices > least[1] and len(f) > least[2]:
-        if good is not None and left <= 0.95 * good[3]:
+        if good is not None and left <= 0.9 * good[3]:
             if not close():
                 break
             good = state()
@@ -380,32 +380,46 @@ def _near_order(x: np.ndarray, block: int) -> np.ndarray:
 
 
 class _Surface:
-    """Nearest triangles of a mesh: triangles in blocks with boxes; a block too far off for a run of points is passed over."""
+    """Nearest triangles of a mesh: triangles in blocks with boxes; for each point the block whose box is nearest is looked at
+    first, then those whose boxes are nearer than the triangle found."""
 
-    BLOCK = 32
+    BLOCK = 8
 
     def __init__(self, xyz: np.ndarray, faces: np.ndarray):
         t = np.asarray(xyz, dtype=np.float64)[faces]
-        self.t = t[_near_order(t.mean(axis=1), self.BLOCK)]
-        at = np.arange(0, len(t), self.BLOCK)
+        t = t[_near_order(t.mean(axis=1), self.BLOCK)]
+        self.t = np.concatenate((t, np.repeat(t[-1:], -len(t) % self.BLOCK, axis=0)))  # whole blocks
+        at = np.arange(0, len(self.t), self.BLOCK)
         self.lo, self.hi = np.minimum.reduceat(self.t.min(axis=1), at), np.maximum.reduceat(self.t.max(axis=1), at)
 
+    def _in_blocks(self, x: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d, who = np.empty(len(x)), np.empty(len(x), dtype=np.int64)
+        for i in range(0, len(x), 4096):
+            ids = block[i : i + 4096, None] * self.BLOCK + np.arange(self.BLOCK)
+            e = _to_triangles(x[i : i + 4096, None], *(self.t[ids, k] for k in range(3)))
+            j = e.argmin(axis=1)[:, None]
+            d[i : i + 4096], who[i : i + 4096] = np.take_along_axis(e, j, 1)[:, 0], np.take_along_axis(ids, j, 1)[:, 0]
+        return d, who
+
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distance of each point and the triangle (an index into `t`) that has it."""
-        d, who = np.zeros(len(x)), np.zeros(len(x), dtype=np.int64)
-        order = _near_order(x, self.BLOCK)
-        for i in range(0, len(x), self.BLOCK):
-            at = order[i : i + self.BLOCK]
-            p = x[at]
-            lo, hi = p.min(axis=0), p.max(axis=0)
-            least = np.linalg.norm(np.maximum(np.maximum(self.lo - hi, lo - self.hi), 0), axis=1)
-            most = np.linalg.norm(np.maximum(self.hi - lo, hi - self.lo), axis=1)
-            blocks = np.flatnonzero(least <= most.min())
-            ids = (blocks[:, None] * self.BLOCK + np.arange(self.BLOCK)).ravel()
-            ids = ids[ids < len(self.t)]
-            e = _to_triangles(p[:, None], *(self.t[None, ids, k] for k in range(3)))
-            j = e.argmin(axis=1)
-            d[at], who[at] = np.sqrt(e[np.arange(len(at)), j]), ids[j]
+        d, who = np.empty(len(x)), np.empty(len(x), dtype=np.int64)
+        step = max(1, (1 << 21) // len(self.lo))
+        for i in range(0, len(x), step):
+            p = x[i : i + step]
+            box = sum(np.maximum(np.maximum(self.lo[:, k] - p[:, k, None], p[:, k, None] - self.hi[:, k]), 0) ** 2 for k in range(3))
+            first = box.argmin(axis=1)
+            best, at = self._in_blocks(p, first)
+            more = box < best[:, None]
+            more[np.arange(len(p)), first] = False
+            q, block = np.nonzero(more)
+            if len(q):
+                e, ids = self._in_blocks(p[q], block)
+                last = np.lexsort((-e, q))  # the least of each point comes last and stays
+                least, who_least = np.full(len(p), np.inf), np.zeros(len(p), dtype=np.int64)
+                least[q[last]], who_least[q[last]] = e[last], ids[last]
+                at, best = np.where(least < best, who_least, at), np.minimum(least, best)
+            d[i : i + step], who[i : i + step] = np.sqrt(best), at
         return d, who
 
 
@@ -432,7 +446,8 @@ def surface_distance(xyz: np.ndarray, faces: np.ndarray, target: np.ndarray, tar
     while len(t):
         keep = []
         for part in np.array_split(t, -(-len(t) // 8192)):  # bounded memory
-            corners, who = (r.reshape(len(part), 3, *r.shape[1:]) for r in other.nearest(part.reshape(-1, 3)))
+            points, which = np.unique(part.reshape(-1, 3), axis=0, return_inverse=True)
+            corners, who = (r[which.reshape(-1, 3)] for r in other.nearest(points))
             mid = part.mean(axis=1)
             centre, _ = other.nearest(mid)
             found = max(found, float(corners.max()), float(centre.max()))

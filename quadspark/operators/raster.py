@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import srs
+
 ID = "raster_id"
 
 
@@ -286,6 +288,22 @@ def resample(targets: DataFrame, pixels: DataFrame) -> DataFrame:
     return s.select(*keep, ID, "u", "v", F.when(F.col("w") >= 0.5, F.col("s") / F.col("w")).alias("z"))
 
 
+def warp(pixels: DataFrame, gt: tuple[float, ...], source: int, bounds: tuple[float, float, float, float], target: int, width: int, height: int) -> DataFrame:
+    """Cubic read of rasters of one geotransform into a grid of `width` x `height` pixels of bounds in another system.
+
+    The middle of each target pixel is carried into the raster's system; z is null where less than half of the weight is at
+    hand."""
+    xmin, ymin, xmax, ymax = bounds
+    rows = pixels.select(ID).distinct().withColumn("tr", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))) if height > 0 and width > 0 else pixels.select(ID, "row").limit(0).withColumnRenamed("row", "tr")
+    t = rows.withColumn("tc", F.explode(F.sequence(F.lit(0), F.lit(max(width, 1) - 1))))
+    x = F.lit(xmin) + (F.col("tc") + 0.5) * ((xmax - xmin) / max(width, 1))
+    y = F.lit(ymax) - (F.col("tr") + 0.5) * ((ymax - ymin) / max(height, 1))
+    sx, sy, _ = srs.transform(target, source, x, y)
+    u, v = srs.crs_to_pixel([F.lit(float(k)) for k in gt], sx, sy)
+    t = t.select(ID, "tr", "tc", (u - 0.5).alias("u"), (v - 0.5).alias("v"))
+    return resample(t, pixels).select(ID, F.col("tr").alias("row"), F.col("tc").alias("col"), "z")
+
+
 def level_for(ratio: float, levels: int) -> int:
     """Coarsest pyramid level that still has at least a pixel for each pixel asked for (ratio: source pixels a target pixel)."""
     k = 0

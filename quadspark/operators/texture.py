@@ -54,8 +54,22 @@ def region(grid: Grid, zoom: Column, x: Column, y: Column, bounds: dict[str, Col
     }
 
 
-def paint(regions: DataFrame, pixels: DataFrame, width: int, height: int) -> DataFrame:
-    """Texture pixels (row, col, value) painted by tiles, nearest pixel; finer tiles over coarser ones.
+def _weighed(t: DataFrame, keep: list[str], rows: tuple[str, str, str, str], cols: tuple[str, str, str, str]) -> DataFrame:
+    """The source pixels (row, col) and weights k of target pixels, bilinear with pixel centres aligned.
+
+    rows and cols name the target's position, the first and end of the target range that the source fills, and the source's
+    size; beyond the outer centres the edge's value holds."""
+    at = lambda c, lo, hi, n: F.least(F.greatest((F.col(c) - F.col(lo) + 0.5) * F.col(n) / (F.col(hi) - F.col(lo)) - 0.5, F.lit(0.0)), F.col(n) - F.lit(1.0))
+    t = t.withColumns({"pv": at(*rows), "pu": at(*cols)})
+    fr, fc = F.col("pv") - F.floor("pv"), F.col("pu") - F.floor("pu")
+    one = lambda i, j: F.struct((F.floor("pv") + i).cast("int").alias("row"), (F.floor("pu") + j).cast("int").alias("col"), ((fr if i else F.lit(1.0) - fr) * (fc if j else F.lit(1.0) - fc)).alias("k"))
+    asks = F.array(*[one(i, j) for i in (0, 1) for j in (0, 1)])
+    return t.select(*keep, F.explode(asks).alias("a")).select(*keep, "a.*").where("k > 0")
+
+
+def paint(regions: DataFrame, pixels: DataFrame, width: int, height: int, bilinear: bool = False) -> DataFrame:
+    """Texture pixels (row, col, value) painted by tiles, by the nearest pixel or bilinear between the centres of a tile's own
+    pixels; finer tiles over coarser ones.  Bilinear values are of the tiles that win, missing pixels of a tile left out.
 
     regions: zoom, x, y, left, top, right, bottom, and w and h (the tile image's size); pixels: zoom, x, y, row, col, value.
     """
@@ -64,6 +78,11 @@ def paint(regions: DataFrame, pixels: DataFrame, width: int, height: int) -> Dat
     cols = F.sequence(F.greatest("left", F.lit(0)), F.least("right", F.lit(width)) - 1)
     seen = (F.least("bottom", F.lit(height)) > F.greatest("top", F.lit(0))) & (F.least("right", F.lit(width)) > F.greatest("left", F.lit(0)))
     t = r.where(seen).select("*", F.explode(rows).alias("tr")).select("*", F.explode(cols).alias("tc"))
+    if bilinear:
+        top = F.max(F.struct("zoom", "y", "x", "top", "bottom", "left", "right", "w", "h"))
+        t = t.join(pixels.select("zoom", "x", "y").distinct(), ["zoom", "x", "y"], "left_semi").groupBy("tr", "tc").agg(top.alias("t")).select("tr", "tc", "t.*")
+        each = _weighed(t, ["zoom", "x", "y", "tr", "tc"], ("tr", "top", "bottom", "h"), ("tc", "left", "right", "w")).join(pixels, ["zoom", "x", "y", "row", "col"])
+        return each.groupBy(F.col("tr").alias("row"), F.col("tc").alias("col")).agg((F.sum(F.col("value") * F.col("k")) / F.sum("k")).alias("value"))
     near = lambda at, lo, hi, n: F.least(F.floor((F.col(at) - F.col(lo) + 0.5) * F.col(n) / (F.col(hi) - F.col(lo))).cast("int"), F.col(n) - 1)
     t = t.select("zoom", "x", "y", "tr", "tc", near("tr", "top", "bottom", "h").alias("row"), near("tc", "left", "right", "w").alias("col"))
     got = t.join(pixels, ["zoom", "x", "y", "row", "col"])
@@ -76,21 +95,15 @@ def resize(pixels: DataFrame, size: tuple[int, int], target: tuple[int, int], ke
     th, tw = target
     ids = pixels.select(key).distinct()
     t = ids.select(key, F.explode(F.sequence(F.lit(0), F.lit(th - 1))).alias("tr")).select(key, "tr", F.explode(F.sequence(F.lit(0), F.lit(tw - 1))).alias("tc"))
-    at = lambda c, n, m: F.least(F.greatest((F.col(c) + 0.5) * (n / m) - 0.5, F.lit(0.0)), F.lit(float(n - 1)))
-    t = t.select(key, "tr", "tc", at("tr", h, th).alias("v"), at("tc", w, tw).alias("u"))
-    fr, fc = F.col("v") - F.floor("v"), F.col("u") - F.floor("u")
-    r0, c0 = F.floor("v").cast("int"), F.floor("u").cast("int")
-    r1, c1 = F.least(r0 + 1, F.lit(h - 1)), F.least(c0 + 1, F.lit(w - 1))
-    one = lambda r, c, k: F.struct(r.alias("row"), c.alias("col"), k.alias("k"))
-    asks = F.array(one(r0, c0, (F.lit(1.0) - fr) * (F.lit(1.0) - fc)), one(r0, c1, (F.lit(1.0) - fr) * fc), one(r1, c0, fr * (F.lit(1.0) - fc)), one(r1, c1, fr * fc))
-    each = t.select(key, "tr", "tc", F.explode(asks).alias("a")).select(key, "tr", "tc", "a.*").join(pixels, [key, "row", "col"])
+    t = t.withColumns({"top": F.lit(0), "left": F.lit(0), "bottom": F.lit(th), "right": F.lit(tw), "h": F.lit(h), "w": F.lit(w)})
+    each = _weighed(t, [key, "tr", "tc"], ("tr", "top", "bottom", "h"), ("tc", "left", "right", "w")).join(pixels, [key, "row", "col"])
     return each.groupBy(key, F.col("tr").alias("row"), F.col("tc").alias("col")).agg(F.sum(F.col("value") * F.col("k")).alias("value"))
 
 
-def texture(pixels: DataFrame, grid: Grid, bounds: tuple[float, float, float, float], root: tuple[int, int, int], max_zoom: int, tile: tuple[int, int], size: tuple[int, int]) -> DataFrame:
+def texture(pixels: DataFrame, grid: Grid, bounds: tuple[float, float, float, float], root: tuple[int, int, int], max_zoom: int, tile: tuple[int, int], size: tuple[int, int], bilinear: bool = False) -> DataFrame:
     """Texture of bounds from tile images (zoom, x, y, row, col, value) of one size: choice, regions and painting."""
     tiles = tiles_to_paint(pixels.select("zoom", "x", "y").distinct(), grid, bounds, root, max_zoom)
     b = dict(zip(("xmin", "ymin", "xmax", "ymax"), map(F.lit, bounds), strict=True))
     at = region(grid, F.col("zoom"), F.col("x"), F.col("y"), b, F.lit(size[1]), F.lit(size[0]))
     r = tiles.select("zoom", "x", "y", *[c.alias(k) for k, c in at.items()], F.lit(tile[1]).alias("w"), F.lit(tile[0]).alias("h"))
-    return paint(r, pixels, size[1], size[0])
+    return paint(r, pixels, size[1], size[0], bilinear)

@@ -559,6 +559,22 @@ def cubic_resample(spark, d):
     return raster.resample(t, ras(spark, d)).where("z is not null").select("id", F.round("z", 6).alias("z"))
 
 
+@query(f"""
+WITH g AS (SELECT tr, tc, 1000000 + (tc+0.5e0)*20000 AS x, 5500000 + (40-tr-0.5e0)*25000 AS y FROM (SELECT CAST(unnest(range(40)) AS INT) AS tr), (SELECT CAST(unnest(range(30)) AS INT) AS tc)),
+ k AS (SELECT tr, tc, (degrees(x/6378137e0) - 9)/0.1e0 - 0.5e0 AS u, (50 - degrees(2*atan(exp(y/6378137e0)) - pi()/2))/0.05e0 - 0.5e0 AS v FROM g),
+ t AS (SELECT *, floor(u) AS c0, floor(v) AS r0, u-floor(u) AS fu, v-floor(v) AS fv FROM k),
+ w AS (SELECT tr, tc, r0+j-1 AS "row", c0+i-1 AS col,
+   list_extract([-0.5e0*(fu+1)*(fu+1)*(fu+1)+2.5e0*(fu+1)*(fu+1)-4*(fu+1)+2, 1.5e0*fu*fu*fu-2.5e0*fu*fu+1, 1.5e0*(1-fu)*(1-fu)*(1-fu)-2.5e0*(1-fu)*(1-fu)+1, -0.5e0*(2-fu)*(2-fu)*(2-fu)+2.5e0*(2-fu)*(2-fu)-4*(2-fu)+2], i+1)
+  *list_extract([-0.5e0*(fv+1)*(fv+1)*(fv+1)+2.5e0*(fv+1)*(fv+1)-4*(fv+1)+2, 1.5e0*fv*fv*fv-2.5e0*fv*fv+1, 1.5e0*(1-fv)*(1-fv)*(1-fv)-2.5e0*(1-fv)*(1-fv)+1, -0.5e0*(2-fv)*(2-fv)*(2-fv)+2.5e0*(2-fv)*(2-fv)-4*(2-fv)+2], j+1) AS w
+  FROM t, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j))
+SELECT tr AS "row", tc AS col, round(sum(w.w*r.z)/sum(w.w), 6) AS z FROM w JOIN {RAS} r USING ("row", col) GROUP BY ALL HAVING sum(w.w) >= 0.5e0""")
+def warped_read(spark, d):
+    """A raster in degrees read into a grid of 40 x 30 pixels in Mercator metres."""
+    gt = (9.0, 0.1, 0.0, 50.0, 0.0, -0.05)
+    out = raster.warp(ras(spark, d), gt, 4326, (1000000.0, 5500000.0, 1600000.0, 6500000.0), 3857, 30, 40)
+    return out.where("z is not null").select("row", "col", F.round("z", 6).alias("z"))
+
+
 @query(f"SELECT CAST(0 AS INT) AS raster_id, CAST(col AS DOUBLE)*1.5e0+42 AS x, 23+({ROWS}-1-\"row\")*1.5e0 AS y, z FROM {RAS}")
 def raster_to_points(spark, d):
     return raster.to_points(ras(spark, d), 42.0, 23.0, 1.5, height(spark, d))
@@ -992,6 +1008,19 @@ def texture_paint(spark, d):
     return texture.texture(px, MERC, (-h, -h, h, h), (0, 0, 0), 3, (4, 4), (64, 64)).select("row", "col", "value")
 
 
+@query(_painted(3) + """, p AS (SELECT tr, tc, arg_max(struct_pack(zoom := zoom, x := x, y := y), zoom) AS t FROM painted, (SELECT CAST(unnest(range(64)) AS INT) AS tr), (SELECT CAST(unnest(range(64)) AS INT) AS tc)
+  WHERE tc >= x * (64 >> zoom) AND tc < (x+1) * (64 >> zoom) AND tr >= 64 - (y+1) * (64 >> zoom) AND tr < 64 - y * (64 >> zoom) GROUP BY ALL),
+ q AS (SELECT tr, tc, t.zoom AS zoom, t.x AS x, t.y AS y, 64 >> t.zoom AS s, least(greatest((tr - (64 - (t.y+1) * (64 >> t.zoom)) + 0.5e0) * 4 / (64 >> t.zoom) - 0.5e0, 0), 3) AS v, least(greatest((tc - t.x * (64 >> t.zoom) + 0.5e0) * 4 / (64 >> t.zoom) - 0.5e0, 0), 3) AS u FROM p),
+ w AS (SELECT *, (CASE i WHEN 0 THEN 1-(v-floor(v)) ELSE v-floor(v) END)*(CASE j WHEN 0 THEN 1-(u-floor(u)) ELSE u-floor(u) END) AS k, least(floor(v)+i, 3) AS r, least(floor(u)+j, 3) AS c FROM q, (SELECT unnest([0,1]) AS i), (SELECT unnest([0,1]) AS j))
+SELECT tr AS "row", tc AS col, round(sum(k * (zoom*1000 + ((x*31 + y*17 + CAST(r*7 + c*5 AS INT)) % 97))), 6) AS value FROM w GROUP BY ALL""")
+def texture_paint_bilinear(spark, d):
+    t = images(spark, d).where("zoom <= 3")
+    px = t.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("row")).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("col"))
+    px = px.withColumn("value", F.col("zoom") * 1000 + (F.col("x") * 31 + F.col("y") * 17 + F.col("row") * 7 + F.col("col") * 5) % 97)
+    h = MERC.half_width
+    return texture.texture(px, MERC, (-h, -h, h, h), (0, 0, 0), 3, (4, 4), (64, 64), bilinear=True).select("row", "col", F.round("value", 6).alias("value"))
+
+
 @query(f"""
 WITH p AS MATERIALIZED (SELECT "row" AS image_id, col // 8 AS r, col % 8 AS c, z FROM {RAS}),
  t AS (SELECT tr, tc, least(greatest((tr+0.5e0)*8/5-0.5e0, 0), 7) AS v, least(greatest((tc+0.5e0)*8/12-0.5e0, 0), 7) AS u FROM (SELECT CAST(unnest(range(5)) AS INT) AS tr), (SELECT CAST(unnest(range(12)) AS INT) AS tc)),
