@@ -1073,6 +1073,16 @@ def simplified(spark, d):
     return _counts(local.simplify_meshes(*grid_mesh(spark, d), 0.5))
 
 
+@query(f"""WITH r AS (SELECT "row" // 50 AS mesh_id, "row" % 50 AS r, col, z, max("row" % 50) OVER (PARTITION BY "row" // 50) AS last FROM {RAS})
+SELECT CAST(mesh_id AS BIGINT) AS mesh_id, CAST(col AS DOUBLE) AS x, CAST(-r AS DOUBLE) AS y, round(z, 6) AS z FROM r WHERE last > 0 AND (col IN (0, 63) OR r IN (0, last))""")
+def simplified_border(spark, d):
+    """The border of every simplified mesh: all vertices of the border before, none moved and none new."""
+    v, f = local.split(mesh.written(local.simplify_meshes(*grid_mesh(spark, d), None, face_ratio=0.4), "simplified"))
+    e = mesh.border_edges(f)
+    ends = e.select("mesh_id", F.explode(F.array("a", "b")).alias("vid")).distinct()
+    return v.join(ends, ["mesh_id", "vid"], "left_semi").select("mesh_id", "x", F.expr("y + 0.0").alias("y"), F.round("z", 6).alias("z"))
+
+
 @query()
 def uv_map(spark, d):
     return _counts(local.uv_meshes(*grid_mesh(spark, d), "mean_value", "square"))
