@@ -6,7 +6,8 @@ import re
 import numpy as np
 import pytest
 
-from quadspark.llm.neardup import near_duplicates
+from quadspark.llm import neardup
+from quadspark.llm.neardup import COUNTS, _counts, _most, _sizes_and_counts, near_duplicates
 from quadspark.llm.sketch import sketch
 from quadspark.llm.textops import mix64
 
@@ -106,3 +107,49 @@ def test_ids_of_other_types_and_repeated_rows(spark):
     got = near_duplicates(spark.createDataFrame(rows, "doc_id string, text string, sketch string")).collect()
     assert len(got) == len(rows)
     assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(7, 7, True), (None, None, True), (8, 7, False), (9, 7, False)}
+
+
+def test_counts_rule_out_no_link():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 300, 20_000, 400_000):
+        x = mix64(rng.choice(2**62, 2 * n, replace=False).astype(np.uint64))
+        x[: n // 2] &= ~np.uint64(COUNTS - 1)  # a cell of many
+        for k in (0, 1, n // 8, n // 2, n):
+            a, b = x[:n], x[k : k + n + k // 2]
+            v = np.concatenate((a, b))
+            rows = [bytes(r) for r in _counts(v, np.array([0, len(a), len(v)]))]
+            (na, ca), (nb, cb) = (_sizes_and_counts([r]) for r in rows)
+            same = n - k
+            assert (na[0], nb[0]) == (len(a), len(b))
+            assert _most(na, ca, nb, cb)[0] >= same / (len(a) + len(b) - same)
+            assert k or _most(na, ca, nb, cb)[0] == 1.0
+
+
+def bare_links(groups, others):
+    """Groups of documents that share a passage, where only the last two are alike, and barely."""
+    texts = []
+    for g in groups:
+        shared = [f"g{g}w{j}" for j in range(116)]
+        texts += [" ".join(shared + [f"g{g}x{k}y{j}" for j in range(100)]) for k in range(others)]
+        texts += [" ".join(shared + [f"g{g}{c}{j}" for j in range(18)]) for c in "ab"]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("hot", [10**6, 10])
+def test_bare_links_among_many_classes(spark, hot):
+    """Pairs that meet only in buckets whose hub is far from both.  In sketches of 512 bins these pairs
+    differ in a band before the first that they share, but not in the low bytes of its bins."""
+    rows = bare_links((411, 626, 1107, 1135, 1192, 1227), 60)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), hot=hot).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.component_id != r.doc_id) == [(62 * k + 61, 62 * k + 60) for k in range(6)]
+
+
+def test_hot_buckets_with_one_band(spark, monkeypatch):
+    """Pairs that share no more than one band, which is hot, are found."""
+    rows = bare_links(range(60), 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "BANDS", 2)
+    cool = {r.doc_id: r.component_id for r in near_duplicates(docs, sure=0.0).collect()}
+    assert len(set(cool.values())) < len(rows)
+    hot = {r.doc_id: r.component_id for r in near_duplicates(docs, sure=0.0, hot=1).collect()}
+    assert [d for d, c in cool.items() if hot[d] != hot[c]] == []
