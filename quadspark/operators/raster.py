@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -218,28 +220,66 @@ def fill_missing(df: DataFrame, samples: int = 1, max_radius: int = 64) -> DataF
     """Missing pixels as the mean of the smoothed values on the nearest circles that hold `samples` of them; others stay.
 
     Circles are rings of pixels whose rounded distance is the radius, from 1 on, and the mean covers all rings up to the first
-    that reaches the count.  Only missing pixels look around; the radius doubles for those that are not filled yet, so
-    near gaps never pay for far ones.
+    that reaches the count.  A value goes to the blocks of pixels within the radius, twice or so, and a block looks its missing
+    pixels up by itself; the radius doubles for those that are not filled yet, so near gaps never pay for far ones.
     """
+    from .mesh import written  # mesh builds on this module
+
     values = smooth(df).where("smooth is not null").select(ID, F.col("row").alias("r"), F.col("col").alias("c"), "smooth")
     todo = df.where("z is null").select(ID, "row", "col")
     out = df.where("z is not null").select(ID, "row", "col", "z")
+    schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in todo.schema) + ", z double, found boolean"
     radius = 0
     while radius < max_radius:
         radius = min(max_radius, max(4, 2 * radius))
-        span = F.sequence(F.lit(-radius), F.lit(radius))
-        near = todo.select("*", F.explode(span).alias("dr")).select("*", F.explode(span).alias("dc"))
-        near = near.withColumn("ring", F.rint(F.sqrt(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc"))).cast("int")).where((F.col("ring") > 0) & (F.col("ring") <= radius))
-        near = near.withColumns({"r": F.col("row") + F.col("dr"), "c": F.col("col") + F.col("dc")}).join(values, [ID, "r", "c"])
-        rings = near.groupBy(ID, "row", "col", "ring").agg(F.sum("smooth").alias("s"), F.count(F.lit(1)).alias("n"))
-        w = Window.partitionBy(ID, "row", "col").orderBy("ring").rowsBetween(Window.unboundedPreceding, 0)
-        rings = rings.withColumns({"s": F.sum("s").over(w), "n": F.sum("n").over(w)}).where(F.col("n") >= samples)
-        found = rings.groupBy(ID, "row", "col").agg(F.min_by(F.col("s") / F.col("n"), "ring").alias("z"))
-        out = out.unionByName(found)
-        todo = todo.join(found, [ID, "row", "col"], "left_anti")
+        side = max(32, 4 * radius)
+        block = lambda c, by=0: F.floor((F.col(c) + by) / side)
+        span = lambda c, by: F.explode(F.sequence(block(c, -by), block(c, by)))
+        gaps = todo.withColumns({"i": block("row"), "j": block("col")})
+        sent = values.withColumn("i", span("r", radius)).withColumn("j", span("c", radius))
+        sent = sent.join(gaps.select(ID, "i", "j").distinct().hint("merge"), [ID, "i", "j"], "left_semi")
+        of = [F.col(ID).alias("of"), "i", "j"]  # a name of its own: both sides come from one table
+        left, right = sent.select(*of, "r", "c", "smooth"), gaps.select(*of, ID, "row", "col")
+        filled = left.groupBy("of", "i", "j").cogroup(right.groupBy("of", "i", "j")).applyInPandas(_filler(samples, radius), schema)
+        filled = written(filled, "filled")
+        out = out.unionByName(filled.where("found").drop("found"))
+        todo = filled.where("not found").select(ID, "row", "col")
+        if todo.isEmpty():
+            break
     return out.unionByName(todo.withColumn("z", F.lit(None).cast("double")))
 
 
+def _filler(samples: int, radius: int):
+    """The function that fills the missing pixels of a block from the values within the radius (r, c, smooth)."""
+
+    def run(near: pd.DataFrame, gaps: pd.DataFrame) -> pd.DataFrame:
+        row, col = gaps.row.to_numpy(np.int64), gaps.col.to_numpy(np.int64)
+        z, n, open_ = np.full(len(gaps), np.nan), np.zeros(len(gaps), np.int64), np.arange(len(gaps))
+        s, found = np.zeros(len(gaps)), np.zeros(len(gaps), bool)
+        if len(gaps) and len(near):
+            top, left = row.min() - radius, col.min() - radius
+            value, there = (np.zeros((row.max() + radius + 1 - top, col.max() + radius + 1 - left), t) for t in (float, np.int64))
+            r, c = near.r.to_numpy(np.int64) - top, near.c.to_numpy(np.int64) - left
+            seen = (r >= 0) & (r < value.shape[0]) & (c >= 0) & (c < value.shape[1])
+            np.add.at(value, (r[seen], c[seen]), near.smooth.to_numpy(float)[seen])
+            np.add.at(there, (r[seen], c[seen]), 1)
+            dr, dc = (x.ravel() for x in np.mgrid[-radius : radius + 1, -radius : radius + 1])
+            ring = np.rint(np.sqrt(dr * dr + dc * dc)).astype(int)
+            for k in range(1, radius + 1):
+                for a, b in zip(dr[ring == k], dc[ring == k], strict=True):
+                    at = row[open_] - top + a, col[open_] - left + b
+                    s[open_] += value[at]
+                    n[open_] += there[at]
+                full = open_[n[open_] >= max(samples, 1)]
+                z[full], found[full] = s[full] / n[full], True
+                open_ = open_[~found[open_]]
+                if not len(open_):
+                    break
+        return gaps[[ID, "row", "col"]].assign(z=z, found=found)
+
+    return run
+
+
 def dilate(mask: DataFrame, top: int = 0, right: int = 0, bottom: int = 0, left: int = 0) -> DataFrame:
     """Grows a mask (inside boolean) by pixels on each side."""
     offsets = [(r, c) for r in range(-bottom, top + 1) for c in range(-right, left + 1) if (r, c) != (0, 0)]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from quadspark import queries, queries_files
-from quadspark.operators import mesh
+from quadspark.operators import mesh, raster
 from quadspark.sources import meshes
 
 
@@ -68,3 +68,37 @@ def test_faces_of_packed_files_are_not_broadcast(spark, strips, name):
     got = queries.QUERIES[name](spark, strips)
     assert "SortMergeJoin" in plan(got) and "Broadcast" not in plan(got)
     assert got.count() == (49 + 5) * 63 * 2 and got.select("mesh_id", "fid").distinct().count() == got.count()
+
+
+def test_fill_sends_values_by_blocks(spark):
+    """Values in numpy by hand; and what a round deals out is a few rows a pixel, not one for each pixel of every circle."""
+    rng = np.random.default_rng(7)
+    z = np.where(rng.random((70, 90)) < 0.6, np.nan, rng.normal(0, 1, (70, 90)))
+    z[20:60, 30:80] = np.nan
+    px = [(r - 7, c - 11, None if np.isnan(z[r, c]) else float(z[r, c])) for r in range(70) for c in range(90)]
+    df = spark.createDataFrame(px, "row int, col int, z double").selectExpr("'a' as raster_id", "row", "col", "z")
+    smooth = {(r.row, r.col): r.smooth for r in raster.smooth(df).where("smooth is not null").collect()}
+    got = {(r.row, r.col): r.z for r in raster.fill_missing(df, 3, 10).collect()}
+    assert len(got) == len(px) and any(v is None for v in got.values())
+    for r, c, v in px:
+        near: dict[int, list[float]] = {}
+        for a in range(-10, 11):
+            for b in range(-10, 11):
+                if (r + a, c + b) in smooth and v is None:
+                    near.setdefault(round((a * a + b * b) ** 0.5), []).append(smooth[r + a, c + b])
+        held: list[float] = []
+        for k in range(1, 11):
+            if v is None and len(held) < 3:
+                held += near.get(k, [])
+        want = v if v is not None else sum(held) / len(held) if len(held) >= 3 else None
+        assert (got[r, c] is None) == (want is None) and (want is None or abs(got[r, c] - want) < 1e-9)
+
+
+def test_fill_does_not_broadcast(spark, strips, monkeypatch):
+    """Neither the plan of the result nor those of its rounds."""
+    plans = []
+    write = mesh.written
+    monkeypatch.setattr(mesh, "written", lambda df, name: plans.append(plan(df)) or write(df, name))
+    got = queries.nearest_valid_fill(spark, strips)
+    assert "Broadcast" not in "".join([*plans, plan(got)])
+    assert got.count() == 56 * 64 and got.where("z is null").count() == 0
