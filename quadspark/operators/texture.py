@@ -89,15 +89,29 @@ def paint(regions: DataFrame, pixels: DataFrame, width: int, height: int, biline
     return got.groupBy(F.col("tr").alias("row"), F.col("tc").alias("col")).agg(F.max_by("value", F.struct("zoom", "y", "x")).alias("value"))
 
 
+def _reached(c: str, n: int, m: int) -> Column:
+    """The targets t of m pixels of an axis that pixel c of n has a share in, and their weights k, bilinear with pixel centres
+    aligned: what `_weighed` says of an axis, from the source's side."""
+    at = F.col(c)
+    first = F.when(at > 0, F.greatest(F.floor((at - 0.5) * m / n - 0.5), F.lit(0))).otherwise(0).cast("int")
+    last = F.when(at < n - 1, F.least(F.ceil((at + 1.5) * m / n - 0.5), F.lit(m - 1))).otherwise(m - 1).cast("int")
+
+    def one(t: Column) -> Column:
+        p = F.least(F.greatest((t + 0.5) * n / m - 0.5, F.lit(0.0)), F.lit(n - 1.0))
+        part = p - F.floor(p)
+        return F.struct(t.alias("t"), F.when(F.floor(p) == at, F.lit(1.0) - part).when(F.floor(p) + 1 == at, part).otherwise(0.0).alias("k"))
+
+    return F.filter(F.transform(F.sequence(first, last), one), lambda s: s["k"] > 0)
+
+
 def resize(pixels: DataFrame, size: tuple[int, int], target: tuple[int, int], key: str = "image_id") -> DataFrame:
-    """Bilinear resize of images (key, row, col, value) of one size (height, width), pixel centres aligned."""
-    h, w = size
-    th, tw = target
-    ids = pixels.select(key).distinct()
-    t = ids.select(key, F.explode(F.sequence(F.lit(0), F.lit(th - 1))).alias("tr")).select(key, "tr", F.explode(F.sequence(F.lit(0), F.lit(tw - 1))).alias("tc"))
-    t = t.withColumns({"top": F.lit(0), "left": F.lit(0), "bottom": F.lit(th), "right": F.lit(tw), "h": F.lit(h), "w": F.lit(w)})
-    each = _weighed(t, [key, "tr", "tc"], ("tr", "top", "bottom", "h"), ("tc", "left", "right", "w")).join(pixels, [key, "row", "col"])
-    return each.groupBy(key, F.col("tr").alias("row"), F.col("tc").alias("col")).agg(F.sum(F.col("value") * F.col("k")).alias("value"))
+    """Bilinear resize of images (key, row, col, value) of one size (height, width), pixel centres aligned.
+
+    Each pixel is sent to the targets that it has a share in, and one aggregation gathers them: no join, so nothing is broadcast."""
+    (h, w), (th, tw) = size, target
+    p = pixels.where(F.col("row").between(0, h - 1) & F.col("col").between(0, w - 1))
+    p = p.select(key, "col", "value", F.explode(_reached("row", h, th)).alias("r")).select(key, "value", "r", F.explode(_reached("col", w, tw)).alias("c"))
+    return p.groupBy(key, F.col("r.t").alias("row"), F.col("c.t").alias("col")).agg(F.sum(F.col("value") * (F.col("r.k") * F.col("c.k"))).alias("value"))
 
 
 def texture(pixels: DataFrame, grid: Grid, bounds: tuple[float, float, float, float], root: tuple[int, int, int], max_zoom: int, tile: tuple[int, int], size: tuple[int, int], bilinear: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from quadspark import queries, queries_files
-from quadspark.operators import mesh, raster
+from quadspark.operators import mesh, raster, texture
 from quadspark.sources import meshes
 
 
@@ -102,3 +102,17 @@ def test_fill_does_not_broadcast(spark, strips, monkeypatch):
     got = queries.nearest_valid_fill(spark, strips)
     assert "Broadcast" not in "".join([*plans, plan(got)])
     assert got.count() == 56 * 64 and got.where("z is null").count() == 0
+
+
+@pytest.mark.parametrize(("size", "target"), [((8, 8), (5, 12)), ((1, 7), (3, 2)), ((9, 1), (2, 4)), ((3, 5), (17, 5)), ((40, 3), (1, 1))])
+def test_resize_without_a_join(spark, size, target):
+    (h, w), (th, tw) = size, target
+    z = np.random.default_rng(1).normal(0, 1, (h, w))
+    df = spark.createDataFrame([(4, r, c, float(z[r, c])) for r in range(h) for c in range(w)], "image_id int, row int, col int, value double")
+    out = texture.resize(df, size, target)
+    assert "Join" not in plan(out)
+    at = lambda n, m: np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+    want = np.array([np.interp(at(h, th), np.arange(h), z[:, c]) for c in range(w)]).T
+    want = np.array([np.interp(at(w, tw), np.arange(w), want[r]) for r in range(th)])
+    got = {(r.row, r.col): r.value for r in out.collect()}
+    assert len(got) == th * tw and all(abs(got[r, c] - want[r, c]) < 1e-9 for r in range(th) for c in range(tw))
