@@ -97,7 +97,8 @@ def rgb_to_height(r: Column, g: Column, b: Column) -> Column:
 
 
 def data_uri(mime: Column, content: Column) -> Column:
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+    """In one line: Spark breaks base64 after 76 characters."""
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.translate(F.base64(content), "\r\n", ""))
 
 
 def mime_type(path: Column) -> Column:

@@ -141,3 +141,9 @@ def listed(rows: int) -> list[tuple[int, ...]]:
 def test_faces_of_a_short_strip_come_back(spark, strips, kind):
     got = sorted((r.mesh_id, r.fid, r.a, r.b, r.c) for r in queries.QUERIES[f"{kind}_faces"](spark, strips).collect())
     assert got == sorted((m, *f) for m, n in ((0, 50), (1, 6)) for f in listed(n))
+
+
+def test_data_uris_have_no_line_breaks(spark):
+    content = bytes(range(200))
+    uri = spark.createDataFrame([(content,)], "c binary").select(encode.data_uri(F.lit("image/png"), F.col("c")).alias("u")).first().u
+    assert uri == "data:image/png;base64," + base64.b64encode(content).decode()
