@@ -87,7 +87,9 @@ def _files(parts: DataFrame, content: Column, suffix: str) -> DataFrame:
 
 
 def _number(c: str) -> Column:
-    return F.format_string("%.18f", F.col(c))
+    """18 decimals, or the shortest form with an exponent where those lose digits of a small number."""
+    fixed = F.format_string("%.18f", F.col(c))
+    return F.when(fixed.try_cast("double") == F.col(c), fixed).otherwise(F.col(c).cast("string"))
 
 
 def obj_files(vertices: DataFrame, faces: DataFrame) -> DataFrame:

@@ -152,3 +152,12 @@ def test_data_uris_have_no_line_breaks(spark):
 def test_report_of_a_short_strip_has_the_kinds_of_sql(spark, strips):
     assert {(r.mesh_id, r.kind) for r in queries.mesh_report(spark, strips).collect()} == {(m, k) for m in (0, 1) for k in ("duplicate", "non-manifold")}
     assert mesh.mesh_report(queries.verts(spark, strips), queries.faces(spark, strips)).where("kind = 'index' and mesh_id = 1").count() == 1
+
+
+def test_lines_of_obj_files_are_exact(spark, tmp_path):
+    rows = [(i, [(i * 64 + c + 1) / 7 * 10.0 ** -(c % 12) for c in range(64)], 0) for i in range(6)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    z = np.array([r[1] for r in rows], np.float32).astype(float)
+    got = queries.QUERIES["obj_lines"](spark, str(tmp_path)).collect()
+    assert {(r.p, -r.q): r.r for r in got if r.kind == "v"} == {(c, r): z[r, c] for r in range(6) for c in range(64)}
+    assert sorted((r.p, r.q, r.r) for r in got if r.kind == "f") == sorted((a + 1, b + 1, c + 1) for _, a, b, c in listed(6))
